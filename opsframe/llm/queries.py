@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, token_counts, warc
+from . import chat, decontam, langid, neardup, packing, token_counts, warc
 from .common import fold, table
 
 
@@ -35,6 +35,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(more)))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -45,5 +53,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op5_chat_format, op8_warc, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op5_chat_format, op6_decontaminate, op7_minhash_near_dup, op8_warc, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontam.ORACLE, "op7_minhash_near_dup": neardup.ORACLE}
