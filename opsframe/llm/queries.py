@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, token_counts, warc
+from . import chat, decontam, langid, licenses, lm, neardup, packing, search, token_counts, warc
 from .common import fold, table
 
 
@@ -28,6 +28,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.search(docs, docs.where(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -48,10 +57,27 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold("doc_id") == 1, F.lit(False))
+    model = lm.train_model(docs.where(~held))
+    return lm.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op5_chat_format, op6_decontaminate, op7_minhash_near_dup, op8_warc, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontam.ORACLE, "op7_minhash_near_dup": neardup.ORACLE}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = (
+    op1_best_fit_packing, op2_language_id, op3_topk_search, op4_license_scan, op5_chat_format, op6_decontaminate, op7_minhash_near_dup, op8_warc, op9_lm_score, op10_token_counts,
+    pipeline,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {"op6_decontaminate": decontam.ORACLE, "op7_minhash_near_dup": neardup.ORACLE}
