@@ -21,7 +21,7 @@ BROADCAST_ROWS = 1 << 20
 
 def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
     """docs without the rows of dropped's doc_ids; texts move only where the ids are too many to broadcast."""
-    dropped = materialize(dropped.select("doc_id").where("doc_id is not null").distinct(), name)
+    dropped = materialize(dropped.select("doc_id").where("doc_id is not null").distinct(), name, 0)
     return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti")
 
 
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicates(docs)
     repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     kept = _without(docs, groups.where("not kept"), "dropped")
-    again = materialize(repeated.select("doc_id"), "repeated")
+    again = materialize(repeated.select("doc_id"), "repeated", 0)
     if again.isEmpty():
         return kept
     return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, with their sequences and offsets."""
     pieces = packing.encode_pieces(docs, tokenizer("byte_bpe_50k.json"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), rows=docs.count())
 
 
 STAGES = [("language_id", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]

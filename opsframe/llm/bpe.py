@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import numpy as np
 
@@ -52,3 +53,9 @@ class ByteBpe:
         if self._fast is not None:
             return np.asarray(self._fast.encode(text, allowed_special="all"), dtype=np.uint32)
         return np.asarray(self._slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
+@lru_cache(maxsize=2)
+def worker_bpe(spec: bytes) -> ByteBpe:
+    """One a worker: an encoder holds tens of MB, and a worker runs many tasks."""
+    return ByteBpe(spec)

@@ -42,10 +42,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/opsframe-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives a lost executor."""
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df in at most max(24, rows / 4096) partitions, for results whose size follows `rows`: no swarm of tiny files."""
+    return df.coalesce(max(24, rows >> 12))
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage and survives a lost executor. rows: see few_files()."""
     spark = df.sparkSession
-    df.write.parquet(path := fresh_path(spark, name))
+    (df if rows is None else few_files(df, rows)).write.parquet(path := fresh_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ByteBpe
-from .common import materialize, small_batches
+from .bpe import worker_bpe
+from .common import few_files, materialize, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -36,7 +36,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer, "rb").read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBpe(spec.value)
+        bpe = worker_bpe(spec.value)
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
@@ -104,8 +104,8 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """pieces (doc_id, piece, length and any other columns) with sequence_id and offset added.
+def pack(pieces: DataFrame, capacity: int = 2048, rows: int | None = None) -> DataFrame:
+    """pieces (doc_id, piece, length and any other columns) with sequence_id and offset added; rows: about how many there are, for the number of files.
 
     Sequences hold at most `capacity`, offsets are gapless from 0. Equal lengths are ranked by
     (bucket, doc_id, piece). Lengths outside 1..capacity raise. No piece gives no sequence.
@@ -114,13 +114,13 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     keys = [c for c in ("doc_id", "piece") if c in pieces.columns]
     tag = "__bucket"
     # a hot length is dealt over many buckets; n is known only after the pieces are written
-    pieces = materialize(pieces.withColumn(tag, F.pmod(F.xxhash64(*keys), F.lit(1 << 20))), "pieces")
+    pieces = materialize(pieces.withColumn(tag, F.pmod(F.xxhash64(*keys), F.lit(1 << 20))), "pieces", rows)
     n = pieces.count()
     buckets = max(64, n >> 14)
     pieces = pieces.withColumn(tag, F.pmod(tag, F.lit(buckets)))
     per = pieces.groupBy("length", tag).agg(F.count(F.lit(1)).alias("__n"))
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    rows = spark.sparkContext.broadcast(plan(counts, capacity))
+    places = spark.sparkContext.broadcast(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select("length", tag, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     ranked = pieces.withColumn("__rank", F.row_number().over(Window.partitionBy("length", tag).orderBy(*keys)))
@@ -128,11 +128,11 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     @F.pandas_udf("struct<sequence_id: long, offset: long>")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        p = rows.value
+        p = places.value
         key = p[:, 0] << 44 | p[:, 1]
         r = p[np.searchsorted(key, length.to_numpy() << 44 | rank.to_numpy(), side="right") - 1]
         k = rank.to_numpy() - r[:, 1]
         return pd.DataFrame({"sequence_id": r[:, 3] + k // r[:, 4], "offset": r[:, 5] + k % r[:, 4] * r[:, 0]})
 
     at = place(F.col("length"), F.col("__before") + F.col("__rank") - 1)
-    return ranked.withColumn("__at", at).select(*[c for c in pieces.columns if c != tag], "__at.sequence_id", "__at.offset")
+    return few_files(ranked.withColumn("__at", at).select(*[c for c in pieces.columns if c != tag], "__at.sequence_id", "__at.offset"), n)

@@ -16,8 +16,9 @@ def tokenizer(name: str) -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.encode_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.encode_pieces(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), rows=docs.count())
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
