@@ -1 +1,249 @@
-"""..."""
+"""Sources and sinks, inventory maintenance, scalar functions, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from opsframe.functions import scalars as sc
+from opsframe.operators.documents import tail
+from opsframe.sources import exposition, upsert
+from opsframe.sources.tables import SAMPLES_SQL, micros, read, samples, select_source
+
+from .registry import query
+
+T0, DAY = 1_704_067_200_000_000, 86_400_000_000
+
+
+@query("s4_label_stamping", f"WITH {SAMPLES_SQL} SELECT 'cloud=edge,host=' || host || ',name=' || name AS series, count(*) AS n FROM samples GROUP BY 1")
+def s4(spark, sf):
+    from opsframe.operators.vector import series_key
+
+    own = F.create_map(F.lit("name"), F.col("name"), F.lit("host"), F.col("host").cast("string"), F.lit("__reserved"), F.lit("x"))
+    kept = F.map_filter(own, lambda k, v: ~k.startswith("__"))
+    stamped = F.map_concat(kept, F.create_map(F.lit("cloud"), F.lit("edge")))
+    return samples(spark, sf).groupBy(series_key(stamped).alias("series")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s5_exposition_parse", f"WITH {SAMPLES_SQL} SELECT name, host::VARCHAR AS host, 'a\"b' AS note, value, t // 1000 AS ts_ms FROM samples")
+def s5(spark, sf):
+    line = F.format_string('%s{host="%s",note="a\\"b"} %s %s', "name", F.col("host").cast("string"), F.col("value").cast("string"), F.floor(F.col("t") / F.lit(1000)).cast("string"))
+    lines = samples(spark, sf).select(line.alias("value")).unionByName(spark.createDataFrame([("# HELP x y",), ("",), ("broken{",)], "value string"))
+    return exposition.parse(lines).select("name", F.col("labels")["host"].alias("host"), F.col("labels")["note"].alias("note"), "value", "ts_ms")
+
+
+@query("s6_scrape_up", "SELECT event_type AS name, value FROM events WHERE event_id < 100 UNION ALL SELECT 'up', 1.0")
+def s6(spark, sf):
+    e = read(spark, sf, "events").where("event_id < 100").select(F.col("event_type").alias("name"), F.create_map(F.lit("a"), F.lit("b")).alias("labels"), "value", F.lit(None).cast("long").alias("ts_ms"))
+    return exposition.scrape(e, "host:9100", 100).select("name", "value")
+
+
+@query("s7_flattened_families", """WITH b AS (SELECT event_type AS name, count(*)::DOUBLE AS n, round(sum(value), 2) AS s, count(*) FILTER (value <= 50)::DOUBLE AS c50, count(*) FILTER (value <= 100)::DOUBLE AS c100 FROM events GROUP BY 1)
+SELECT name || '_bucket' AS name, '50' AS le, c50 AS value FROM b UNION ALL SELECT name || '_bucket', '100', c100 FROM b UNION ALL SELECT name || '_bucket', '+Inf', n FROM b UNION ALL SELECT name || '_sum', NULL, s FROM b UNION ALL SELECT name || '_count', NULL, n FROM b""")
+def s7(spark, sf):
+    g = read(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("count"), F.round(F.sum("value"), 2).alias("sum"), F.count_if(F.col("value") <= 50).cast("double").alias("a"), F.count_if(F.col("value") <= 100).cast("double").alias("b"))
+    part = lambda at, v: F.struct(F.lit(at).alias("at"), F.col(v).alias("value"))
+    f = g.select("name", F.lit("histogram").alias("kind"), F.create_map().cast("map<string,string>").alias("labels"), F.lit(None).cast("double").alias("value"), "sum", "count", F.array(part(50.0, "a"), part(100.0, "b")).alias("parts"))
+    return exposition.flatten_families(f).select("name", F.col("labels")["le"].alias("le"), "value")
+
+
+@query("s8_composite_scan", "SELECT event_id AS id, value, event_type AS kind FROM events UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders")
+def s8(spark, sf):
+    e = read(spark, sf, "events").select(F.col("event_id").alias("id"), "value", F.col("event_type").alias("kind"))
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    return e.unionByName(o, allowMissingColumns=True)
+
+
+@query("s12_source_router", "SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1")
+def s12(spark, sf):
+    return select_source(spark, sf, "samples").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s13_tag_values", "SELECT DISTINCT event_type AS value FROM events")
+def s13(spark, sf):
+    return read(spark, sf, "events").select(F.col("event_type").alias("value")).distinct()
+
+
+@query("s15_sql_scan", "SELECT r_regionkey, r_name FROM region WHERE r_name <> 'ASIA'")
+def s15(spark, sf):
+    read(spark, sf, "region").createOrReplaceTempView("region")
+    return spark.sql("SELECT r_regionkey, r_name FROM region WHERE r_name <> 'ASIA'")
+
+
+@query("s16_upsert", "SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 0.0::DOUBLE ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT -1, 5.0")
+def s16(spark, sf):
+    s = read(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    changes = s.where("s_suppkey % 10 = 0").withColumn("s_acctbal", F.lit(0.0)).unionByName(spark.createDataFrame([(-1, 5.0)], "s_suppkey long, s_acctbal double"))
+    return upsert.upsert(s, changes, ["s_suppkey"])
+
+
+@query("s16_insert_or_ignore", "SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT -1, 5.0")
+def s16b(spark, sf):
+    s = read(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return upsert.upsert(s, spark.createDataFrame([(-1, 5.0), (1, 7.0)], "s_suppkey long, s_acctbal double"), ["s_suppkey"], do_nothing=True)
+
+
+@query("s17_delete_by_filter", "SELECT p_partkey FROM part WHERE NOT (p_size > 10 AND p_brand = 'Brand#11')")
+def s17(spark, sf):
+    return upsert.delete_where(read(spark, sf, "part"), (F.col("p_size") > 10) & (F.col("p_brand") == "Brand#11")).select("p_partkey")
+
+
+@query("s22_watch_deltas", "SELECT user_id AS key, arg_max(event_id, event_id) AS seq FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def s22(spark, sf):
+    c = read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("apply").alias("op"))
+    return upsert.apply_changes(c, ["key"], "seq")
+
+
+@query("s25_find_large", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def s25(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(25)
+
+
+@query("s26_packet_artifacts", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def s26(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("n1_snapshot_gc", f"SELECT event_id FROM events WHERE NOT (event_type = 'view' AND epoch_us(ts) < {T0 + 10 * DAY})")
+def n1(spark, sf):
+    return upsert.delete_where(read(spark, sf, "events"), (F.col("event_type") == "view") & (micros("ts") < T0 + 10 * DAY)).select("event_id")
+
+
+@query("n2_event_retention", f"SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE epoch_us(ts) >= {T0 + 5 * DAY}) WHERE n <= 100")
+def n2(spark, sf):
+    e = read(spark, sf, "events").where(micros("ts") >= T0 + 5 * DAY)
+    n = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
+    return e.withColumn("n", n).where("n <= 100").select("event_id")
+
+
+@query("n3_effective_status", f"SELECT user_id, CASE WHEN {T0 + 30 * DAY} - max(epoch_us(ts)) > {DAY // 8} THEN 'offline' ELSE arg_max(CASE WHEN event_type = 'error' THEN 'degraded' ELSE 'online' END, row(ts, event_id)) END AS status FROM events GROUP BY user_id")
+def n3(spark, sf):
+    own = F.max_by(F.when(F.col("event_type") == "error", "degraded").otherwise("online"), F.struct("ts", "event_id"))
+    return read(spark, sf, "events").groupBy("user_id").agg(F.max(micros("ts")).alias("t"), own.alias("s")).select("user_id", F.when(T0 + 30 * DAY - F.col("t") > DAY // 8, "offline").otherwise(F.col("s")).alias("status"))
+
+
+@query("n4_cluster_health", """SELECT n_nationkey, coalesce(c, 0)::BIGINT AS customers, coalesce(bad, 0)::BIGINT AS bad, coalesce(s, 0)::BIGINT AS suppliers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c, count(*) FILTER (c_acctbal < 0) AS bad FROM customer GROUP BY 1) ON c_nationkey = n_nationkey
+LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""")
+def n4(spark, sf):
+    c = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col("c_acctbal") < 0).alias("bad"))
+    s = read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
+    return read(spark, sf, "nation").select("n_nationkey").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left").fillna(0)
+
+
+@query("n5_duplicate_nodes", "SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name")
+def n5(spark, sf):
+    return upsert.latest(read(spark, sf, "part"), ["p_name"], [F.asc("p_partkey")]).select("p_name", "p_partkey")
+
+
+@query("n6_delete_by_reference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def n6(spark, sf):
+    gone = read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return upsert.delete_keys(read(spark, sf, "customer").select("c_custkey"), gone, ["c_custkey"])
+
+
+@query("n7_due_polls", "SELECT c_custkey FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey ORDER BY coalesce(last, TIMESTAMP '1990-01-01'), c_custkey LIMIT 20")
+def n7(spark, sf):
+    last = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
+    d = read(spark, sf, "customer").select("c_custkey").join(last, "c_custkey", "left")
+    return d.orderBy(F.coalesce("last", F.lit("1990-01-01").cast("timestamp_ntz")), "c_custkey").select("c_custkey").limit(20)
+
+
+@query("n8_preferred_address", "SELECT s_nationkey, arg_min(s_name, row((s_acctbal < 0)::INT, s_name)) AS address, count(*) AS candidates FROM supplier GROUP BY s_nationkey")
+def n8(spark, sf):
+    rank = F.struct((F.col("s_acctbal") < 0).cast("int").alias("a"), F.col("s_name").alias("b"))
+    return read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min_by("s_name", rank).alias("address"), F.count(F.lit(1)).alias("candidates"))
+
+
+@query("n9_redaction", "SELECT event_id, 'token=*** user=' || user_id || ' Authorization: Bearer ***' AS text FROM events")
+def n9(spark, sf):
+    text = F.concat(F.lit("token="), F.col("event_type"), F.lit(" user="), F.col("user_id").cast("string"), F.lit(" Authorization: Bearer abc.def=="))
+    return read(spark, sf, "events").select("event_id", sc.redact(text).alias("text"))
+
+
+@query("n10_tail", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS text, len(p) AS n FROM l) SELECT doc_id, line, text FROM x WHERE line > n - 2")
+def n10(spark, sf):
+    return tail(read(spark, sf, "documents"), 2).select("doc_id", F.col("line").cast("long").alias("line"), "text")
+
+
+@query("n11_change_events", f"SELECT event_id, event_type, epoch_us(ts) AS t FROM events WHERE event_type IN ('purchase', 'signup') AND value > 50 ORDER BY ts DESC, event_id DESC LIMIT 100")
+def n11(spark, sf):
+    e = read(spark, sf, "events").where(F.col("event_type").isin("purchase", "signup") & (F.col("value") > 50))
+    return e.select("event_id", "event_type", micros("ts").alias("t")).orderBy(F.desc("t"), F.desc("event_id")).limit(100)
+
+
+@query("n12_recent_run_guard", f"SELECT count(*) AS n, count(*) > 3 AS blocked FROM events WHERE nullif(user_id, 5) IS NOT DISTINCT FROM NULL AND epoch_us(ts) > {T0 + 10 * DAY} AND epoch_us(ts) <= {T0 + 20 * DAY}")
+def n12(spark, sf):
+    t = micros("ts")
+    e = read(spark, sf, "events").where(F.nullif("user_id", F.lit(5)).eqNullSafe(F.lit(None)) & (t > T0 + 10 * DAY) & (t <= T0 + 20 * DAY))
+    return e.agg(F.count(F.lit(1)).alias("n")).withColumn("blocked", F.col("n") > 3)
+
+
+@query("n14_version_comparison", "SELECT event_type, round(avg(value) FILTER (user_id % 2 = 1) - avg(value) FILTER (user_id % 2 = 0), 4) AS difference FROM events GROUP BY event_type")
+def n14(spark, sf):
+    mean = lambda k: F.avg(F.when(F.col("user_id") % 2 == k, F.col("value")))
+    return read(spark, sf, "events").groupBy("event_type").agg(F.round(mean(1) - mean(0), 4).alias("difference"))
+
+
+@query("n15_traffic_bands", "SELECT user_id, CASE WHEN n >= 80 THEN 'high' WHEN n >= 60 THEN 'medium' ELSE 'low' END AS band FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
+def n15(spark, sf):
+    n = read(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("user_id", F.when(F.col("n") >= 80, "high").when(F.col("n") >= 60, "medium").otherwise("low").alias("band"))
+
+
+# --- scalar functions ------------------------------------------------------------------------------
+
+
+@query("fn_strings", """SELECT p_partkey, array_to_string(list_transform(range(1, len(string_split(p_type, ' ')) + 1), lambda i: array_to_string(string_split(p_type, ' ')[1:i], '/')), ',') AS prefixes,
+CASE WHEN length(p_name) > 10 THEN substr(p_name, 1, 10) || '...' ELSE p_name END AS short, array_to_string(list_sort(list_distinct([lower(trim(p_brand)), 'x', lower(p_type)])), ',') AS tags FROM part""")
+def fn_strings(spark, sf):
+    path = F.replace("p_type", F.lit(" "), F.lit("/"))
+    return read(spark, sf, "part").select("p_partkey", F.array_join(sc.path_prefixes(path), ",").alias("prefixes"), sc.truncate(F.col("p_name"), 10).alias("short"), F.array_join(sc.normal_tags(F.array("p_brand", F.lit(" X "), "p_type", F.lit(""))), ",").alias("tags"))
+
+
+@query("fn_log_levels", "SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'error' WHEN user_id % 4 = 1 THEN 'warn' WHEN user_id % 4 = 2 THEN 'info' END AS level, CASE WHEN user_id % 4 = 0 THEN 17 WHEN user_id % 4 = 1 THEN 13 WHEN user_id % 4 = 2 THEN 9 ELSE 0 END AS number FROM events")
+def fn_levels(spark, sf):
+    u = F.col("user_id") % 4
+    message = F.when(u == 0, F.lit('{"level":"ERR"}')).when(u == 1, F.lit("W0102 15:04:05.1 x.go:1] m")).when(u == 2, F.lit("2024 Notice: up")).otherwise(F.lit("nothing"))
+    level = sc.detect_level(message)
+    return read(spark, sf, "events").select("event_id", level.alias("level"), sc.severity_number(level).alias("number"))
+
+
+@query("fn_periods", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%G-W%V') AS week, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
+def fn_periods(spark, sf):
+    d = F.col("o_orderdate")
+    return read(spark, sf, "orders").select("o_orderkey", *[sc.period(d, k).alias(k) for k in ("day", "week", "month")])
+
+
+@query("fn_math", "SELECT p_partkey, round((p_retailprice - 997) / 997 * 100, 1) AS delta, CASE WHEN p_size = 7 THEN NULL ELSE p_size / 2.0 END AS half FROM part WHERE p_partkey % 3 = 0")
+def fn_math(spark, sf):
+    x = F.when(F.col("p_size") == 7, F.lit(float("nan"))).otherwise(F.col("p_size") / 2.0)
+    return read(spark, sf, "part").where("p_partkey % 3 = 0").select("p_partkey", sc.delta_percent(F.col("p_retailprice"), F.lit(997.0)).alias("delta"), sc.finite(x).alias("half"))
+
+
+@query("fn_hashes", "SELECT c_custkey, sha256(concat(length(c_name), ':', c_name, length(c_mktsegment), ':', c_mktsegment)) AS fingerprint, lpad(lower(to_hex(c_custkey)), 16, '0') AS id FROM customer")
+def fn_hashes(spark, sf):
+    from opsframe.sources.otlp import canonical_id
+
+    return read(spark, sf, "customer").select("c_custkey", sc.fingerprint(F.col("c_name"), F.col("c_mktsegment")).alias("fingerprint"), F.coalesce(canonical_id(F.hex("c_custkey"), 16), F.lit("0" * 16)).alias("id"))
+
+
+@query("fn_maps", "SELECT user_id, 'a=2,b=' || user_id || ',c=3' AS labels FROM events GROUP BY user_id")
+def fn_maps(spark, sf):
+    from opsframe.operators.vector import series_key
+
+    one = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.col("user_id").cast("string"))
+    two = F.create_map(F.lit("a"), F.lit("2"), F.lit("c"), F.lit("3"))
+    merged = F.map_concat(F.map_filter(one, lambda k, v: ~F.map_contains_key(two, k)), two)
+    return read(spark, sf, "events").select("user_id").distinct().select("user_id", series_key(merged).alias("labels"))
+
+
+@query("fn_bytes", "SELECT p_partkey, CASE WHEN p_size >= 1024 THEN '' ELSE p_size || ' B' END AS size, (p_partkey & 255) || '.' || ((p_partkey >> 8) & 255) || '.0.0' AS ip FROM part")
+def fn_bytes(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", sc.human_bytes(F.col("p_size")).alias("size"), sc.ip_little_endian(F.col("p_partkey")).alias("ip"))
+
+
+@query("rp_period_over_period", "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) SELECT month, total, round((total - lag(total) OVER (ORDER BY month)) / nullif(lag(total) OVER (ORDER BY month), 0) * 100, 1) AS change FROM m")
+def rp(spark, sf):
+    m = read(spark, sf, "orders").groupBy(sc.period(F.col("o_orderdate"), "month").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    before = m.select(F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM").alias("month"), F.col("total").alias("b"))
+    return m.join(before, "month", "left").select("month", "total", sc.delta_percent(F.col("total"), F.col("b")).alias("change"))
