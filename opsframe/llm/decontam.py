@@ -1,10 +1,11 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
-Words are hashed as K-grams; of every W consecutive K-grams the least hash is kept with its
-neighbours (ties: all). A shared span of WINDOW = W + K - 1 words has the same W hashes in document and
-item, so both keep its least one: joining kept hashes misses no shared window. A match is then
-extended to the windows around it. A window of 10 words is told by the hashes of its first and its
-last 6 words, which cover it: 128 bits.
+Words are hashed as K-grams; of every W consecutive K-grams the least hash is kept. A shared span of
+WINDOW = W + K - 1 words has the same W hashes in document and item, so both keep its least one:
+joining kept hashes misses no shared window. Windows in a row with the same least hash share one mark,
+at most W of them, which has the hashes of the K-grams there, so that a match is extended to them
+without the text. A window of 10 words is told by the hashes of its first and its last 6 words, which
+cover it: 128 bits.
 
 Documents are read once: each gives a row for itself and a row per kept hash. Kept hashes meet those
 of the items in a broadcast join if the items have at most BROADCAST_ROWS of them, else in a shuffled
@@ -19,9 +20,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, few_files, materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words: fixed value.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 6
 W = WINDOW - K + 1
 #: Kept hashes of the items that are broadcast at most, 8 bytes each.
@@ -34,7 +36,9 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Hashes of the words; empty for null."""
+    found = F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
+    return F.coalesce(F.transform(found, lambda w: F.xxhash64(w)), F.array().cast("array<long>"))
 
 
 def _upto(n: Column, f: Callable[[Column], Column], kind: str) -> Column:
@@ -50,16 +54,15 @@ _MARK = "struct<len:int,fp:long,at:int,near:array<long>>"
 
 
 def _kept(w: Column) -> Column:
-    """Marks of the kept hashes: len WINDOW, the hash, the place of the first neighbour, the neighbours' hashes."""
+    """Marks of the kept hashes: len WINDOW, the hash, the place of the first window, the K-grams of it and the next ones."""
     grams = _upto(F.size(w) - (K - 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(K))), "long")
 
     def marks(h: Column) -> Column:
         least = _upto(F.size(h) - (W - 1), lambda s: F.array_min(F.slice(h, s, F.lit(W))), "long")
 
         def chosen(m: Column) -> Column:
-            first = lambda p: F.greatest(p - (W - 1), F.lit(1))
-            at = F.filter(F.sequence(F.lit(1), F.size(h)), lambda p: F.get(h, p - 1) == F.array_max(F.slice(m, first(p), p - first(p) + 1)))
-            return F.transform(at, lambda p: _mark(F.lit(WINDOW), F.get(h, p - 1), first(p), F.slice(h, first(p), p - first(p) + W)))
+            at = F.filter(F.sequence(F.lit(1), F.size(m)), lambda s: (s % W == 1) | (F.get(m, s - 1) != F.get(m, s - 2)))
+            return F.transform(at, lambda s: _mark(F.lit(WINDOW), F.get(m, s - 1), s, F.slice(h, s, F.lit(2 * W - 1))))
 
         return F.when(F.size(h) >= W, let(least, chosen)).otherwise(F.array().cast(f"array<{_MARK}>"))
 
@@ -86,13 +89,13 @@ def _windows(marks: DataFrame, *keys: str) -> DataFrame:
 def benchmark_windows(items: DataFrame) -> tuple[DataFrame, list[int]]:
     """(windows: fp array, a, b, items), the lengths of items shorter than a window. Null ids and items without words are left out."""
     w = items.where("item_id is not null and text is not null").select("item_id", words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
-    w = materialize(w.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("ids")), "items")
+    w = materialize(w.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("ids")), "items", items.count())
     lengths = sorted(r[0] for r in w.select(F.size("w")).where(F.size("w") < WINDOW).distinct().collect())
     marks = w.select("ids", F.explode(F.when(F.size("w") >= WINDOW, _kept(F.col("w"))).otherwise(
         _by_length(F.col("w"), lengths))).alias("m")).select("ids", "m.*")
     around = _windows(marks.select("*"), "fp", "ids")
     found = around.groupBy("a", "b").agg(F.collect_set("fp").alias("fps"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
-    return materialize(found.withColumn("set", F.xxhash64("items")), "windows"), lengths
+    return materialize(found.withColumn("set", F.xxhash64("items")), "windows", items.count()), lengths
 
 
 def _by_length(w: Column, lengths: list[int]) -> Column:
@@ -138,7 +141,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = per.groupBy(*keys).agg(F.first("n_words").alias("n_words"), F.first("copies").alias("copies"), F.first("n_hit").alias("n_hit"), ids.alias("ids"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     named = F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ",")
-    return out.select(
+    return few_files(out, docs.count()).select(
         "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
