@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import math
 import struct
+import uuid
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize, small_batches
 from .warc import store
+from .wordhash import word_hashes
 
-#: What stands for a document's end and begin among the word hashes.
-END = b"</s>\x00"
-#: Documents for each shard, words a worker's cache holds, counts that a task holds before it sends them.
-SHARD_DOCS, CACHE_SIZE, HELD = 16384, 1 << 19, 1 << 21
+#: Fixed value: what stands for a document's end among the word hashes.
+END = 0xE2D0_F7E8_17A9_5C33
+#: Documents for each shard, tokens that a task holds before it sends their counts.
+SHARD_DOCS, HELD = 16384, 1 << 21
 BINS = 256
 
 
@@ -46,9 +47,11 @@ def hash_word(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased, then the end."""
-    return [*(text.encode().lower().split() if text else []), END]
+def token_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens, tokens of each text): a text's words with A-Z lower-cased, then the end."""
+    got = word_hashes(texts)
+    end = np.array([END], dtype=np.uint64)
+    return np.concatenate([x for g in got for x in (g, end)] or [end[:0]]), np.array([len(g) + 1 for g in got], dtype=np.int64)
 
 
 # --- Elias-Fano -----------------------------------------------------------------------------------
@@ -80,6 +83,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, first: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
         self.n, self.low_bits, self.first, self.low, self.high, self.ranks = n, low_bits, first, low, high, ranks
+        self.zeros: np.ndarray | None = None
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -105,11 +109,10 @@ class EliasFano:
         end = start + 8 * (nl + nh) + 8 * (nh + 1)
         return cls(n, bits, first, low, high, raw[start + 8 * (nl + nh) : end].view("<i8")), end
 
-    def _select(self, k: np.ndarray) -> np.ndarray:
-        """The place of the k-th set bit (from 0) in high."""
-        word = np.searchsorted(self.ranks, k, side="right") - 1
-        left, bits = k - self.ranks[word], self.high[word]
-        at = word * 64
+    @staticmethod
+    def _within(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The place of the left-th set bit (from 0) in each word."""
+        at = np.zeros(len(bits), dtype=np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             half = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
             up = left >= half
@@ -117,20 +120,48 @@ class EliasFano:
             bits = np.where(up, bits >> np.uint64(width), bits)
         return at
 
+    def _select(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th set bit (from 0) in high."""
+        word = np.searchsorted(self.ranks, k, side="right") - 1
+        return word * 64 + self._within(self.high[word], k - self.ranks[word])
+
+    def _before(self, h: np.ndarray) -> np.ndarray:
+        """How many values have a high part below h: the set bits before the zero that ends part h - 1."""
+        if self.zeros is None:
+            self.zeros = np.arange(len(self.ranks), dtype=np.int64) * 64 - self.ranks
+        k = np.minimum(np.maximum(h - 1, 0), self.zeros[-1] - 1)
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        at = word * 64 + self._within(~self.high[word], k - self.zeros[word])
+        return np.where(h > 0, np.where(h - 1 < self.zeros[-1], np.minimum(at - k, self.n), self.n), 0)
+
     def get(self, k: np.ndarray) -> np.ndarray:
         k = k.astype(np.int64)
         high = (self._select(k) - k).astype(np.uint64)
         return (high << np.uint64(self.low_bits) | _unpack(self.low, self.low_bits, k)) + np.uint64(self.first)
 
-    def find(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The index in [lo, hi) of each value's successor, hi if there is none; all ranges at once."""
+    def find(self, values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index in [lo, hi) of each value's successor, hi if there is none; whether that is the value itself).
+
+        The high part gives the few values that share it, so only their low bits are compared.
+        """
         lo, hi = lo.astype(np.int64), hi.astype(np.int64)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = np.zeros(len(lo), dtype=bool)
-            less[open_] = self.get(mid[open_]) < values[open_]
-            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-        return lo
+        rest = np.maximum(values, np.uint64(self.first)) - np.uint64(self.first)
+        low = rest & np.uint64((1 << self.low_bits) - 1)
+        high = (rest >> np.uint64(self.low_bits)).astype(np.int64)
+        ends = self._before(np.concatenate((high, high + 1)))
+        a = np.clip(ends[: len(high)], lo, hi)
+        b = end = np.clip(ends[len(high) :], a, hi)
+        open_ = np.flatnonzero(a < b)
+        a, b = a.copy(), b.copy()
+        while len(open_):
+            mid = (a[open_] + b[open_]) >> 1
+            less = _unpack(self.low, self.low_bits, mid) < low[open_]
+            a[open_[less]], b[open_[~less]] = mid[less] + 1, mid[~less]
+            open_ = open_[a[open_] < b[open_]]
+        same = np.zeros(len(a), dtype=bool)
+        inside = np.flatnonzero(a < end)
+        same[inside] = (_unpack(self.low, self.low_bits, a[inside]) == low[inside]) & (values[inside] >= np.uint64(self.first))
+        return a, same
 
 
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +180,14 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _save(folder: str, name: str, parts: list[bytes]) -> str:
-    fs, path = store(f"{folder}/{name}")
+    """Write a file under a name of this attempt's own; the committed table of names says which attempts count."""
+    name = f"{folder}/{name}-{uuid.uuid4().hex}"
+    fs, path = store(name)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(path, compression=None) as out:
         for p in parts:
             out.write(p + b"\0" * (-len(p) % 8))
-    return f"{folder}/{name}"
+    return name
 
 
 def _load(uri: str) -> np.ndarray:
@@ -210,7 +243,7 @@ class Words:
             self.shards.append((seq, raw[end:].view("<i8")))
             self.starts.append(n)
             n += seq.n
-        self.n, self.cache = n, {}
+        self.n = n
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts); id -1 and count 0 for unknown words."""
@@ -221,22 +254,15 @@ class Words:
             at = np.flatnonzero(shard == s)
             if not seq.n:
                 continue
-            k = seq.find(hashes[at], np.zeros(len(at)), np.full(len(at), seq.n))
-            hit = k < seq.n
-            hit[hit] = seq.get(k[hit]) == hashes[at][hit]
+            k, hit = seq.find(hashes[at], np.zeros(len(at)), np.full(len(at), seq.n))
             ids[at[hit]], counts[at[hit]] = k[hit] + self.starts[s], c[k[hit]]
         return ids, counts
 
-    def ids(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        """Ids of the words of each document; fills self.cache with (id, count) of what it had not."""
-        if len(self.cache) > CACHE_SIZE:
-            self.cache.clear()
-        new = list({w for d in docs for w in d} - self.cache.keys())
-        if new:
-            got = self.look_up(np.fromiter(map(hash_word, new), dtype=np.uint64, count=len(new)))
-            self.cache.update(zip(new, zip(got[0].tolist(), got[1].tolist(), strict=True), strict=True))
-        get = self.cache.__getitem__
-        return [np.array([get(w) for w in d], dtype=np.int64).reshape(-1, 2) for d in docs]
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """look_up(), once for each distinct hash."""
+        distinct, back = np.unique(hashes, return_inverse=True)
+        ids, counts = self.look_up(distinct)
+        return ids[back], counts[back]
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -259,29 +285,27 @@ def _words_level(train: DataFrame, folder: str, shards: int) -> list[tuple]:
     """Rows (shard, file, words, tokens) of level 1."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        held, n = [], 0
 
         def send() -> pd.DataFrame:
-            h = np.fromiter(map(hash_word, seen), dtype=np.uint64, count=len(seen))
-            c = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-            order = np.argsort(h)
-            return _sent(h[order], c[order], shard_of(h[order], shards))
+            h, c = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint64), return_counts=True)
+            return _sent(h, c, shard_of(h, shards))
 
         for b in batches:
-            for t in b["text"]:
-                seen.update(tokens(t))
-            if len(seen) > CACHE_SIZE:
+            held.append(token_hashes(b["text"])[0])
+            n += len(held[-1])
+            if n > HELD:
                 yield send()
-                seen.clear()
+                held, n = [], 0
         yield send()
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merge(list(zip(rows["keys"], rows["n"], strict=True)))
-        name = _save(folder, f"words-{key[0]}-{hash_word(repr(len(rows)).encode()) & 0xFFFF:x}", [EliasFano.encode(keys), counts.astype("<i8").tobytes()])
+        name = _save(folder, f"words-{key[0]}", [EliasFano.encode(keys), counts.astype("<i8").tobytes()])
         return pd.DataFrame({"shard": [key[0]], "file": [name], "n": [len(keys)], "total": [counts.sum()]})
 
     made = train.select("text").mapInPandas(count, _BLOCK).groupBy("shard").applyInPandas(build, "shard int, file string, n long, total long")
-    return [(r["shard"], r["file"], r["n"], r["total"]) for r in materialize(made, "words").collect()]
+    return [(r["shard"], r["file"], r["n"], r["total"]) for r in materialize(made, "words", 0).collect()]
 
 
 class Bigrams:
@@ -322,9 +346,8 @@ class Bigrams:
             at, c, lo, hi = at[seen], c[seen], lo[seen], hi[seen]
             w = word[at]
             key = (c * self.words + np.maximum(w, 0)).astype(np.uint64)
-            k = runs.find(key, lo, hi)
-            hit = (k < hi) & (w >= 0)
-            hit[hit] = runs.get(k[hit]) == key[hit]
+            k, hit = runs.find(key, lo, hi)
+            hit &= w >= 0
             low = base[at] + backs[bcode[c]]
             low[hit] = np.log10(10.0 ** low[hit] + 10.0 ** probs[pcode[k[hit]]])
             out[at] = low
@@ -345,10 +368,12 @@ def _bigram_level(train: DataFrame, folder: str, words: list[str], total: int, s
             return _sent(keys, counts, (keys >> np.uint64(32)).astype(np.int64) // per)
 
         for b in batches:
-            for got in level.ids([tokens(t) for t in b["text"]]):
-                w = got[:, 0]
-                held.append(np.concatenate(([total], w[:-1])).astype(np.uint64) << np.uint64(32) | w.astype(np.uint64))
-                n += len(w)
+            hashes, sizes = token_hashes(b["text"])
+            w = level.of(hashes)[0].astype(np.uint64)
+            c = np.concatenate((w[:1], w[:-1]))
+            c[np.cumsum(sizes) - sizes] = total
+            held.append(c << np.uint64(32) | w)
+            n += len(w)
             if n > HELD:
                 yield send()
                 held, n = [], 0
@@ -358,7 +383,7 @@ def _bigram_level(train: DataFrame, folder: str, words: list[str], total: int, s
         keys, counts = _merge(list(zip(rows["keys"], rows["n"], strict=True)))
         return pd.DataFrame({"shard": [key[0]], "n": [len(keys)], "keys": [_block(keys, counts)], "n1": [(counts == 1).sum()], "n2": [(counts == 2).sum()]}).astype({"shard": "int32", "n": "int32"})
 
-    merged = materialize(train.select("text").mapInPandas(count, _BLOCK).groupBy("shard").applyInPandas(tally, _BLOCK + ", n1 long, n2 long"), "bigrams")
+    merged = materialize(train.select("text").mapInPandas(count, _BLOCK).groupBy("shard").applyInPandas(tally, _BLOCK + ", n1 long, n2 long"), "bigrams", shards << 12)
     n1, n2 = merged.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
     discount = min(0.999, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
@@ -380,7 +405,7 @@ def _bigram_level(train: DataFrame, folder: str, words: list[str], total: int, s
                 yield pd.DataFrame({"shard": [s], "file": [name]}).astype({"shard": "int32"})
 
     files = merged.repartition(shards, "shard").mapInPandas(build, "shard int, file string")
-    return {r["shard"]: r["file"] for r in materialize(files, "files").collect()}, per
+    return {r["shard"]: r["file"] for r in materialize(files, "files", 0).collect()}, per
 
 
 class Model:
@@ -422,15 +447,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         words, pairs = _once(key + "/score", lambda: (Words(m.words), Bigrams(m.bigrams, m.per, m.n)))
         lowest = math.log10(0.5 / (m.tokens + 0.5 * (m.n + 1)))
         for b in batches:
-            got = words.ids([tokens(t) for t in b])
-            sizes = np.array([len(g) for g in got])
-            flat = np.concatenate(got) if got else np.empty((0, 2), dtype=np.int64)
-            base = np.log10(flat[:, 1] + 0.5) - math.log10(0.5) + lowest
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if len(sizes) else np.empty(0, dtype=np.int64)
-            context = np.concatenate(([-1], flat[:-1, 0])) if len(flat) else np.empty(0, dtype=np.int64)
+            hashes, sizes = token_hashes(b)
+            ids, counts = words.of(hashes)
+            base = np.log10(counts + 0.5) - math.log10(0.5) + lowest
+            starts = np.cumsum(sizes) - sizes
+            context = np.concatenate((ids[:1], ids[:-1]))
             context[starts] = m.n
-            full = pairs.score(context, flat[:, 0], base)
-            known = (flat[:, 1] > 0).astype(np.int64)
+            full = pairs.score(context, ids, base)
+            known = (counts > 0).astype(np.int64)
             sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (known, base, full)]
             yield pd.DataFrame({"n_tokens": sizes.astype(np.int64), "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
 
