@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LINE = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{((?:[^\"}]|\"(?:[^\"\\]|\\.)*\")*)\})?\s+([^\s]+)(?:\s+(-?[0-9]+))?\s*$"
 _LABEL = r"([A-Za-z_][A-Za-z0-9_]*)\s*=\s*\"((?:[^\"\\]|\\.)*)\""
+_LABELS = r"\s*(?:{0}\s*(?:,\s*{0}\s*)*,?\s*)?".format(_LABEL.replace("(", "(?:").replace("(?:?:", "(?:"))
+_LINE = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(" + _LABELS + r")\})?\s+([^\s]+)(?:\s+(-?[0-9]+))?\s*$"
 
 
 def _unescape(v: Column) -> Column:
@@ -19,7 +20,7 @@ def _unescape(v: Column) -> Column:
 def _number(text: Column) -> Column:
     low = F.lower(text)
     special = F.when(low.isin("+inf", "inf"), F.lit(float("inf"))).when(low == "-inf", F.lit(float("-inf"))).when(low == "nan", F.lit(float("nan")))
-    return F.coalesce(special, F.expr("null").cast("double") if text is None else text.try_cast("double"))
+    return F.coalesce(special, text.try_cast("double"))
 
 
 def parse(lines: DataFrame, column: str = "value", max_line: int = 1 << 20) -> DataFrame:
