@@ -1,11 +1,15 @@
 """Exact top-k search by BM25 over a sharded inverted index with block-max pruning.
 
 Shards index their documents alone, but with the corpus' average length, and queries carry the corpus'
-document frequencies, so scores don't depend on the shards and their top k merge exactly. A shard's
-postings lie by term; documents fall into blocks, and each term has its largest impact in each block.
-For a query the sum of those, weighted, bounds every score in a block. The blocks with the highest
-bounds are scored first; they set the k-th best score, and of the others only blocks whose bound
-reaches it are scored at all.
+document frequencies, so scores don't depend on the shards and their top k merge exactly.
+
+In a shard, documents fall into blocks. Rare terms have posting lists. The COMMON most frequent terms
+have their impacts by block instead, as small dense tiles, and their largest impact in each block.
+Queries run in blocks: posting lists give a document its rare part, which with the weighted block
+maxima bounds every score of a block. The blocks with the highest bounds are scored first; they set
+each query's k-th best score, and of the others only blocks whose bound reaches it for some query are
+scored at all. Tiles are multiplied in single precision, so all documents within its error of the k-th
+best score are scored again, term by term in double precision, and ranked by that.
 
 Queries are written to the shared folder and read by every shard in blocks of a fixed size.
 """
@@ -15,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,50 +27,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, small_batches
-from .lm import _block, _merge, _sent, hash_word, shard_of
+from .lm import _block, _merge, _sent, shard_of
 from .warc import store
+from .wordhash import word_hashes
 
 K1, B = 1.2, 0.75
-#: Documents of a shard and of a block, queries read at once, blocks that are scored first.
-SHARD, BLOCK_BITS, QUERY_BLOCK, FIRST_BLOCKS = 8192, 5, 256, 8
-CACHE_SIZE = 1 << 19
+#: Documents of a shard and of a block, queries of a block, blocks that are scored first, terms with tiles.
+SHARD, BLOCK, QUERY_BLOCK, FIRST_BLOCKS, COMMON = 8192, 32, 128, 2, 384
+#: Hashes that a task holds before it sends their counts; relative error of single precision sums, with room.
+HELD, ERROR = 1 << 21, 1e-4
 
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_cache: dict[bytes, int] = {}
+Bag = tuple[np.ndarray, np.ndarray]
 
 
-def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct words (A-Z lower-cased, letters, digits and all beyond ASCII) and how often each occurs."""
-    words = _WORD.findall(text.encode().lower()) if text else []
-    if len(_cache) > CACHE_SIZE:
-        _cache.clear()
-    for w in words:
-        if w not in _cache:
-            _cache[w] = hash_word(w)
-    return np.unique(np.fromiter(map(_cache.__getitem__, words), dtype=np.uint64, count=len(words)), return_counts=True)
+def bags(texts: Sequence[str | None]) -> list[Bag]:
+    """For each text the sorted hashes of its distinct words (A-Z lower-cased; letters, digits and all beyond ASCII) and how often each occurs."""
+    return [np.unique(h, return_counts=True) for h in word_hashes(texts, letters=True)]
 
 
 def _frequencies(docs: DataFrame, shards: int) -> DataFrame:
     """(term, df, words): a row per term, and one with a null term for the number of words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        held: list[np.ndarray] = []
         words = 0
 
         def send() -> pd.DataFrame:
-            keys = np.sort(np.fromiter(seen, dtype=np.uint64, count=len(seen)))
-            counts = np.fromiter((seen[k] for k in keys.tolist()), dtype=np.int64, count=len(keys))
-            return _sent(keys, counts, shard_of(keys, shards))
+            keys, n = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint64), return_counts=True)
+            return _sent(keys, n, shard_of(keys, shards)).assign(words=0)
 
         for b in batches:
-            for t in b["text"]:
-                got, n = terms(t)
-                seen.update(got.tolist())
+            for t, n in bags(b["text"]):
+                held.append(t)
                 words += int(n.sum())
-            if len(seen) > CACHE_SIZE:
-                yield send().assign(words=0)
-                seen.clear()
-        yield send().assign(words=0)
+            if sum(map(len, held)) > HELD:
+                yield send()
+                held = []
+        yield send()
         yield pd.DataFrame({"shard": [-1], "n": [0], "keys": [_block(np.empty(0, dtype=np.uint64), np.empty(0))], "words": [words]}).astype({"shard": "int32", "n": "int32"})
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -81,64 +78,84 @@ def _frequencies(docs: DataFrame, shards: int) -> DataFrame:
 class Shard:
     """The index of some documents."""
 
-    def __init__(self, ids: list, docs: list[tuple[np.ndarray, np.ndarray]], average: float):
-        self.ids, n = np.array(ids, dtype=np.int64), len(docs)
+    def __init__(self, ids: list, docs: list[Bag], average: float):
+        self.ids, self.docs, n = np.array(ids, dtype=np.int64), docs, len(docs)
+        self.blocks = -(-n // BLOCK)
+        self.norm = K1 * (1 - B + B * np.array([c.sum() for _, c in docs], dtype=np.float64) / max(average, 1e-9))
         sizes = np.array([len(t) for t, _ in docs], dtype=np.int64)
-        term, tf = (np.concatenate([d[i] for d in docs]) if n else np.empty(0) for i in (0, 1))
+        term, tf = (np.concatenate([d[i] for d in docs]) for i in (0, 1))
         doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        length = np.array([c.sum() for _, c in docs], dtype=np.float64)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(average, 1e-9))[doc])
         order = np.argsort(term, kind="stable")
-        term, self.doc, self.impact = term[order], doc[order], impact[order]
+        term, doc, tf = term[order], doc[order], tf[order]
+        impact = tf * (K1 + 1) / (tf + self.norm[doc])
         at = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.empty(0, dtype=np.int64)
-        self.terms, self.starts = term[at], np.append(at, len(term))
-        self.blocks = (n >> BLOCK_BITS) + 1
-        # a run per term and block: its block and its largest impact
-        block = self.doc >> BLOCK_BITS
-        new = np.ones(len(term), dtype=bool)
-        new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
-        runs = np.flatnonzero(new)
-        self.run_block = block[runs]
-        self.run_max = np.maximum.reduceat(self.impact, runs) if len(runs) else self.impact
-        self.run_posts = np.append(runs, len(term))
-        self.run_starts = np.searchsorted(runs, self.starts)
+        ends = np.append(at[1:], len(term)).astype(np.int64)
+        often = np.sort(np.argsort(at - ends, kind="stable")[:COMMON])
+        often = often[(ends - at)[often] > 1]
+        self.common = term[at[often]]
+        self.tiles = np.zeros((self.blocks * BLOCK, len(often)), dtype=np.float32)
+        for k, i in enumerate(often):
+            self.tiles[doc[at[i] : ends[i]], k] = impact[at[i] : ends[i]]
+        self.most = self.tiles.reshape(self.blocks, BLOCK, len(often)).max(axis=1)
+        rare = np.ones(len(at), dtype=bool)
+        rare[often] = False
+        self.terms, self.starts, self.ends = term[at[rare]], at[rare], ends[rare]
+        self.doc, self.impact = doc, impact.astype(np.float32)
 
     @staticmethod
-    def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        n = hi - lo
-        return np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, dtype=np.int64)
-
-    def top(self, terms_: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(doc_ids, scores) of the k best documents with a positive score; ties by id."""
-        at = np.searchsorted(self.terms, terms_)
-        at[at == len(self.terms)] = 0
-        hit = self.terms[at] == terms_ if len(self.terms) else np.zeros(len(terms_), dtype=bool)
-        at, weights = at[hit], weights[hit]
-        runs = self._ranges(self.run_starts[at], self.run_starts[at + 1])
-        w = np.repeat(weights, self.run_starts[at + 1] - self.run_starts[at])
-        block = self.run_block[runs]
-        bound = np.bincount(block, weights=w * self.run_max[runs], minlength=self.blocks)
-        scores = np.zeros(self.blocks << BLOCK_BITS)
-        alive = bound > 0
+    def _find(within: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in asked, places in within) of what both have."""
+        if not len(within):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(within, asked), len(within) - 1)
+        hit = np.flatnonzero(within[at] == asked)
+        return hit, at[hit]
+
+    def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores in double precision, summed in the order of the terms."""
+        have = np.concatenate([self.docs[d][0] for d in docs])
+        tf = np.concatenate([self.docs[d][1] for d in docs])
+        of = np.repeat(np.arange(len(docs)), [len(self.docs[d][0]) for d in docs])
+        at, q = self._find(terms, have)
+        tf, of = tf[at], of[at]
+        return np.bincount(of, weights=weights[q] * (tf * (K1 + 1) / (tf + self.norm[docs][of])), minlength=len(docs))
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (sorted terms, weights) the (doc_ids, scores) of its k best documents with a positive score; ties by id."""
+        n, rows = len(queries), self.blocks * BLOCK
+        asked = np.zeros((n, len(self.common)), dtype=np.float32)
+        scores = np.zeros((n, rows), dtype=np.float32)
+        for i, (t, w) in enumerate(queries):
+            q, c = self._find(self.common, t)
+            asked[i, c] = w[q]
+            q, r = self._find(self.terms, t)
+            size = self.ends[r] - self.starts[r]
+            posts = np.repeat(self.starts[r] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            scores[i] = np.bincount(self.doc[posts], weights=np.repeat(w[q], size) * self.impact[posts], minlength=rows)
+        bound = asked @ self.most.T + scores.reshape(n, self.blocks, BLOCK).max(axis=2)
+        full = scores.reshape(n, self.blocks, BLOCK)
+        done = np.zeros(self.blocks, dtype=bool)
 
         def add(chosen: np.ndarray) -> None:
-            use = chosen[block]
-            r = runs[use]
-            lo, hi = self.run_posts[r], self.run_posts[r + 1]
-            posts = self._ranges(lo, hi)
-            scores[:] += np.bincount(self.doc[posts], weights=np.repeat(w[use], hi - lo) * self.impact[posts], minlength=len(scores))
-
-        if self.blocks > FIRST_BLOCKS:
-            first = np.zeros(self.blocks, dtype=bool)
-            first[np.argpartition(bound, -FIRST_BLOCKS)[-FIRST_BLOCKS:]] = True
-            add(first & alive)
-            worst = np.partition(scores, -k)[-k] if k <= len(scores) else 0.0
-            alive &= ~first & (bound >= worst * (1 - 1e-9))
-        add(alive)
-        cut = np.partition(scores, -k)[-k] if k <= len(scores) else 0.0
-        found = np.flatnonzero((scores >= cut) & (scores > 0))
-        order = np.lexsort((self.ids[found], -scores[found]))[:k]
-        return self.ids[found][order], scores[found][order]
+            done[chosen] = True
+            tiles = self.tiles.reshape(self.blocks, BLOCK, len(self.common))[chosen].reshape(len(chosen) * BLOCK, len(self.common))
+            full[:, chosen] += (asked @ tiles.T).reshape(n, len(chosen), BLOCK)
+
+        best = np.argpartition(bound, -min(FIRST_BLOCKS, self.blocks), axis=1)[:, -FIRST_BLOCKS:]
+        add(np.unique(best))
+        known = full[:, done].reshape(n, -1)
+        worst = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] >= k else np.zeros(n)
+        alive = (bound >= (worst * (1 - ERROR))[:, None]).any(axis=0)
+        add(np.flatnonzero(alive & ~done))
+        out = []
+        for i, (t, w) in enumerate(queries):
+            s = np.where(np.repeat(done, BLOCK), scores[i], 0)
+            cut = np.partition(s, -k)[-k] if rows >= k else 0.0
+            found = np.flatnonzero((s >= cut * (1 - ERROR)) & (s > 0))
+            value = self.exact(found, t, w) if len(found) else np.empty(0)
+            order = np.lexsort((self.ids[found], -value))[:k]
+            out.append((self.ids[found][order], value[order]))
+        return out
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -162,7 +179,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [terms(t) for t in b["text"]]
+            got = bags(b["text"])
             yield pd.DataFrame({"query_id": b["query_id"], "q": [[{"term": int(t), "n": int(c)} for t, c in zip(g[0].view(np.int64), g[1], strict=True)] for g in got]})
 
     asked = queries.mapInPandas(split, "query_id long, q array<struct<term: long, n: long>>").select("query_id", F.inline("q"))
@@ -181,18 +198,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             shard = Shard(ids, held, average)
             fs, folder = store(path)
             for block in ds.dataset(folder, filesystem=fs, format="parquet").to_batches(batch_size=QUERY_BLOCK):
-                out = []
+                named, asked_ = [], []
                 for q, t, w in zip(*(block.column(c) for c in ("query_id", "terms", "weights")), strict=True):
                     t = t.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    found, scores = shard.top(*(x[np.argsort(t)] for x in (t, w.values.to_numpy(zero_copy_only=False))), k)
-                    out.append(pd.DataFrame({"query_id": q.as_py(), "doc_id": found, "score": scores}))
-                if out:
-                    yield pd.concat(out)
+                    order = np.argsort(t)
+                    named.append(q.as_py())
+                    asked_.append((t[order], w.values.to_numpy(zero_copy_only=False)[order]))
+                if named:
+                    found = shard.top(asked_, k)
+                    yield pd.DataFrame({"query_id": np.repeat(named, [len(d) for d, _ in found]), "doc_id": np.concatenate([d for d, _ in found]), "score": np.concatenate([s for _, s in found])})
 
         for b in batches:
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
+            for i, bag in zip(b["doc_id"], bags(b["text"]), strict=True):
                 ids.append(i)
-                held.append(terms(t))
+                held.append(bag)
                 if len(ids) == SHARD:
                     yield from answer()
                     ids, held = [], []
@@ -206,16 +225,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def brute_force(docs: list[tuple[int, str | None]], queries: list[tuple[int, str | None]], k: int) -> list[tuple]:
     """The same by scoring every document, for tests."""
-    bags = [(i, dict(zip(*(x.tolist() for x in terms(t)), strict=True))) for i, t in docs]
-    average = sum(sum(b.values()) for _, b in bags) / max(len(bags), 1)
-    df = Counter(t for _, b in bags for t in b)
+    words = lambda t: Counter(re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()))
+    all_ = [(i, words(t)) for i, t in docs]
+    average = sum(sum(b.values()) for _, b in all_) / max(len(all_), 1)
+    df = Counter(t for _, b in all_ for t in b)
     out = []
     for q, text in queries:
-        asked = dict(zip(*(x.tolist() for x in terms(text)), strict=True))
-        scored = []
-        for i, b in bags:
+        asked, scored = words(text), []
+        for i, b in all_:
             norm = K1 * (1 - B + B * sum(b.values()) / max(average, 1e-9))
-            s = sum(n * math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * (K1 + 1) / (b[t] + norm) for t, n in asked.items() if t in b)
+            s = sum(n * math.log(1 + (len(all_) - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * (K1 + 1) / (b[t] + norm) for t, n in asked.items() if t in b)
             if s > 0:
                 scored.append((-s, i))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]

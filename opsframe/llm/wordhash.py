@@ -25,8 +25,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=2)
 def _tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R)) | np.uint64(1)
-    space = np.zeros(256, dtype=bool)
-    space[[0x20, *range(0x09, 0x0E)]] = True
+    space = np.zeros((2, 256), dtype=bool)
+    space[0, [0x20, *range(0x09, 0x0E)]] = True
+    space[1, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
     def powers(r: int) -> np.ndarray:
         out = np.full(size, r, dtype=np.uint64)
@@ -47,8 +48,9 @@ def _chunks(raws: Sequence[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(raws)
 
 
-def word_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
-    """For each text the hashes of its words: runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. None has none."""
+def word_hashes(texts: Sequence[str | None], letters: bool = False) -> list[np.ndarray]:
+    """For each text the hashes of its words, A-Z lower-cased: runs of bytes other than 0x20 and 0x09-0x0D, or with
+    `letters` of a-z, 0-9 and all beyond ASCII. None has none."""
     raws = [t.encode().lower() if t else b"" for t in texts]
     out: list[np.ndarray] = []
     for lo, hi in _chunks(raws):
@@ -56,7 +58,7 @@ def word_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
         raw = np.frombuffer(b" ".join([b"", *raws[lo:hi], b""]), dtype=np.uint8)
         n = len(raw)
         values, space, up, down = _tables(max(CHUNK + 2, 1 << (n - 1).bit_length()))
-        blank = space[raw]
+        blank = space[int(letters)][raw]
         edge = np.flatnonzero(blank[1:] != blank[:-1])
         # a word's first byte is at start + 1, its last one at end
         start, end = edge[::2], edge[1::2]
