@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, small_batches
+from .common import few_files, fresh_path, materialize, small_batches
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -175,7 +175,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_payload: int
         if bundle:
             yield made(bundle.close())
 
-    return materialize(rows.mapInPandas(run, INDEX), "index")
+    return materialize(rows.mapInPandas(run, INDEX), "index", pages.count())
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -201,4 +201,4 @@ def read_archives(index: DataFrame) -> DataFrame:
         if reader:
             reader.close()
 
-    return rows.mapInPandas(run, RECORDS)
+    return few_files(rows.mapInPandas(run, RECORDS), index.count())
