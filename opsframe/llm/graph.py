@@ -12,15 +12,15 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of edges that isn't its component's smallest; component is that smallest one.
 
     Each round hangs a node's larger neighbours on its smallest one, then its smaller ones; the number
     of rounds grows with the log of the longest path. Minima are aggregated before the shuffle, so a
-    node with many neighbours is no hot group. No edge gives no row.
+    node with many neighbours is no hot group. No edge gives no row. rows: about how many nodes there are, for the number of files.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = materialize(e, "edges")
+    e = materialize(e, "edges", rows)
     before = _mark(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "edges")
+        e = materialize(small, "edges", rows)
         if (now := _mark(e)) == before:
             break
         before = now

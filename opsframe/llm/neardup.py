@@ -1,101 +1,120 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 Every shingle has one 64-bit hash. A sketch retains a document's k least values in one order of all
-shingles, k = n - ceil(t n) + 1 for n shingles and the threshold t: then two documents with Jaccard
-t or more have a retained value in common, for any order. The order is (commonness, hash): rare
+shingles, k = n - ceil(t n) + SHARED for n shingles and the threshold t: then two documents with
+Jaccard t or more have SHARED retained values in common, for any order. The order is (commonness, hash): rare
 shingles come first, so that inverted lists stay short and a passage or phrase that many documents
 share leads to no list at all. Commonness is the log of a bucket's count over all documents, in a
 table of fixed size; a bucket's collisions change the order and so the speed, never the result.
 
-Equal sets are one node. Inverted lists of retained values give overlaps:
-1. a node is compared with the head of the list that it shares most values with;
-2. then, in the lists that still have several components, with the nodes of other components.
-So a large group of near copies takes about one comparison a node, not one a pair, and yet each pair
-of a list is compared or already known to be in one component. Compared pairs pass the length filter
-and the union-sketch estimate, from the SKETCH least hashes of both; the exact Jaccard of the full
-sets decides. The estimate's bar lies so low that a pair at t passes but for a chance of about 1e-9.
+Equal sets are one node. Inverted lists of retained values give overlaps. Linked nodes share either a
+list of more than SMALL nodes, or SHARED shorter ones. Of the shorter ones pairs are counted; in the
+longer ones
+1. a node is compared with the head that it shares most lists with;
+2. in the lists that still have several components, with a node of the largest component, another
+   one in each list;
+3. in those that have several components even then, with all nodes of other components.
+So a large group of near copies takes a few comparisons a node, not one a pair, and yet each pair of a
+list is compared or already known to be in one component. Pairs are first held to two bounds that
+lose no link, by sizes and by parity bitmaps, then to the union-sketch estimate, from the SKETCH least
+hashes of both; the exact Jaccard of the full sets decides. The estimate's bar lies so low that a pair at t passes but for a chance of about 1e-9.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import few_files, materialize, small_batches
 from .graph import components
+from .wordhash import mix, word_hashes
 
-#: Buckets of the commonness table: a byte each, broadcast. Chunks that its parts are summed by.
-BUCKET_BITS, CHUNKS = 22, 64
+#: Buckets of the commonness table, half a byte each, broadcast; the chunks that it is summed by; hashes a task holds.
+BUCKET_BITS, CHUNK_BITS, HELD = 25, 6, 1 << 21
+#: Longest list whose pairs are counted, and how many retained values linked nodes share at least.
+SMALL, SHARED = 8, 3
 #: Values of a union sketch, and the share of it that both must have, below t.
 SKETCH, SLACK = 64, 0.35
 #: Ids that are broadcast at most, 8 bytes each.
 BROADCAST_ROWS = 1 << 20
-#: Words whose hashes a worker keeps.
-CACHE_SIZE = 1 << 19
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def shingles(text: str | None, width: int = 2) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `width` words of the text, A-Z lower-cased; fewer words are one run; none without words."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = min(width, len(words))
-    out = np.full(len(h) - k + 1, k if k < width else 0, dtype=np.uint64)
-    for i in range(k):
-        out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ out >> np.uint64(32))
+#: 64-bit words of a node's parity bitmap, see _near().
+WORDS = 16
+BITS = [f"b{i}" for i in range(WORDS)]
+
+
+def shingle_sets(texts: Sequence[str | None], width: int = 2) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of `width` words, A-Z lower-cased; fewer words are one run; none without words."""
+    out = []
+    for h in word_hashes(texts):
+        k = min(width, len(h))
+        s = np.full(max(len(h) - k + 1, 0) if k else 0, k if k < width else 0, dtype=np.uint64)
+        for i in range(k):
+            s = (s ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            s ^= s >> np.uint64(29)
+        s = mix(s)
+        s.sort()
+        out.append(s[np.append(True, s[1:] != s[:-1])] if len(s) else s)
+    return out
 
 
 def retained(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """How many values: two sets at the threshold have SHARED of them in common, as they have so many at all unless they are equal."""
+    return min(n, n - -(-percent * n // 100) + SHARED)
 
 
 def _commonness(docs: DataFrame, width: int) -> bytes:
-    """The level, bits of the count, of each bucket of shingle hashes; counts saturate at 65535 a task."""
-    size = 1 << BUCKET_BITS
+    """The level of each bucket of shingle hashes, bits of its count up to 15; two levels a byte."""
+    part = 1 << BUCKET_BITS - CHUNK_BITS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(size, dtype=np.int32)
+        held: list[np.ndarray] = []
+
+        def send() -> pd.DataFrame:
+            got, n = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint32), return_counts=True)
+            chunk = got >> np.uint32(BUCKET_BITS - CHUNK_BITS)
+            at = np.searchsorted(chunk, np.arange((1 << CHUNK_BITS) + 1))
+            gaps = np.minimum(np.diff(got, prepend=np.uint32(0)), (1 << 32) - 1).astype("<u4")
+            n = np.minimum(n, 255).astype(np.uint8)
+            rows = [(c, int(got[i]), zlib.compress(gaps[i:j].view(np.uint8).reshape(-1, 4).T.tobytes() + n[i:j].tobytes(), 1)) for c, (i, j) in enumerate(zip(at, at[1:], strict=False)) if i < j]
+            return pd.DataFrame(rows, columns=["chunk", "first", "counts"]).astype({"chunk": "int32", "first": "int64"})
+
         for b in batches:
-            got = [shingles(t, width) >> np.uint64(64 - BUCKET_BITS) for t in b["text"]]
-            if got:
-                seen += np.bincount(np.concatenate(got).astype(np.int64), minlength=size).astype(np.int32)
-        parts = np.minimum(seen, 65535).astype("<u2").reshape(CHUNKS, -1)
-        yield pd.DataFrame({"chunk": range(CHUNKS), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
+            held += [(s >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32) for s in shingle_sets(b["text"], width)]
+            if sum(map(len, held)) > HELD:
+                yield send()
+                held = []
+        yield send()
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for chunk, raw in zip(b["chunk"], b["counts"], strict=True):
-                part = np.frombuffer(zlib.decompress(raw), dtype="<u2")
-                sums[chunk] = sums.get(chunk, np.zeros(len(part), dtype=np.int64)) + part
-        levels = {c: np.minimum(63, np.ceil(np.log2(x + 1))).astype(np.uint8).tobytes() for c, x in sums.items()}
-        yield pd.DataFrame({"chunk": list(levels), "levels": list(levels.values())}).astype({"chunk": "int32"})
-
-    made = docs.select("text").mapInPandas(count, "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInPandas(total, "chunk int, levels binary")
-    rows = sorted((r["chunk"], bytes(r["levels"])) for r in made.collect())
-    return b"".join(x for _, x in rows) or bytes(size)
+            for chunk, first, raw in zip(b["chunk"], b["first"], b["counts"], strict=True):
+                data = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+                k = len(data) // 5
+                gaps = np.ascontiguousarray(data[: 4 * k].reshape(4, k).T).view("<u4").ravel().astype(np.int64)
+                gaps[0] = first
+                sums.setdefault(chunk, np.zeros(part, dtype=np.int64))[np.cumsum(gaps) - chunk * part] += data[4 * k :]
+        rows = []
+        for c, x in sums.items():
+            level = np.minimum(15, np.ceil(np.log2(x + 1))).astype(np.uint8)
+            rows.append((c, (level[::2] | level[1::2] << 4).tobytes()))
+        yield pd.DataFrame(rows, columns=["chunk", "levels"]).astype({"chunk": "int32"})
+
+    sent = docs.select("text").mapInPandas(count, "chunk int, first long, counts binary").repartition(1 << CHUNK_BITS, "chunk")
+    rows = {r["chunk"]: bytes(r["levels"]) for r in sent.mapInPandas(total, "chunk int, levels binary").collect()}
+    return b"".join(rows.get(c, bytes(part // 2)) for c in range(1 << CHUNK_BITS))
+
+
+def _levels(packed: bytes) -> np.ndarray:
+    b = np.frombuffer(packed, dtype=np.uint8)
+    out = np.empty(2 * len(b), dtype=np.uint8)
+    out[::2], out[1::2] = b & 15, b >> 4
+    return out
 
 
 def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -105,60 +124,90 @@ def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_commonness(docs, width))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = np.frombuffer(sent.value, dtype=np.uint8)
+        levels = _levels(sent.value)
         for b in batches:
             out = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                s = shingles(text, width)
+            for doc, s in zip(b["doc_id"], shingle_sets(b["text"], width), strict=True):
                 if len(s):
                     order = levels[s >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(57) | s >> np.uint64(7)
                     k = retained(len(s), percent)
                     kept = np.partition(order, k - 1)[:k].view(np.int64)
                 else:
                     kept = np.empty(0, dtype=np.int64)
-                out.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), kept, (s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "sig", "kept", "sketch"]).astype({"doc_id": "Int64"})
+                odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+                bits = np.packbits(odd.astype(np.uint8)).view("<i8")
+                out.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), kept, (s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), *bits.tolist()))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "sig", "kept", "sketch", *BITS]).astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(run, "doc_id long, n long, sig binary, kept array<long>, sketch binary")
+    return docs.mapInPandas(run, "doc_id long, n long, sig binary, kept array<long>, sketch binary, " + ", ".join(f"{b} long" for b in BITS))
 
 
-def _lists(nodes: DataFrame) -> DataFrame:
-    """(value, node, n, head) of inverted lists of two nodes or more; the head is a list's smallest node.
+def _lists(nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Inverted lists of two nodes or more. Of a list of up to SMALL nodes (null, a, b) for each pair, a < b;
+    of a longer one (value, node, head) for each node, where the head is the smallest one.
 
     Lists are read as a sorted stream, so that no list has to fit in memory.
     """
-    post = nodes.select(F.explode("kept").alias("value"), F.col("doc_id").alias("node"), "n")
+    post = nodes.select(F.explode("kept").alias("value"), F.col("doc_id").alias("node"))
     post = post.repartition("value").sortWithinPartitions("value", "node")
 
+    def long(v: np.ndarray, node: np.ndarray, head: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"value": v, "node": node, "head": head}).astype({"value": "Int64"})
+
+    def whole(v: np.ndarray, node: np.ndarray) -> Iterator[pd.DataFrame]:
+        if not len(v):
+            return
+        at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        size = np.diff(np.append(at, len(v)))
+        of = np.repeat(size, size)
+        if (big := of > SMALL).any():
+            yield long(v[big], node[big], np.repeat(node[at], size)[big])
+        v, node = v[~big], node[~big]
+        for d in range(1, min(SMALL, len(v))):
+            same = v[d:] == v[:-d]
+            if same.any():
+                yield pd.DataFrame({"value": pd.NA, "node": node[:-d][same], "head": node[d:][same]}).astype({"value": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, head, open_list = None, None, False  # the last row, not yet given; its list's head; whether that has an earlier node
+        v = node = np.empty(0, dtype=np.int64)
+        open_value, head = None, None  # a long list of which rows are out already
         for b in batches:
-            if not len(b):
+            v, node = np.concatenate((v, b["value"].to_numpy())), np.concatenate((node, b["node"].to_numpy()))
+            if open_value is not None and len(v):
+                k = len(v) if (v == open_value).all() else int(np.argmax(v != open_value))
+                yield long(v[:k], node[:k], np.full(k, head))
+                v, node = v[k:], node[k:]
+            if not len(v):
                 continue
-            v, node, n = (b[c].to_numpy() for c in ("value", "node", "n"))
-            if last is not None:
-                v, node, n = (np.concatenate(([x], y)) for x, y in zip(last, (v, node, n), strict=True))
-            new = np.empty(len(v), dtype=bool)
-            new[0] = last is None or not open_list
-            new[1:] = v[1:] != v[:-1]
-            heads = node[np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))]
-            if last is not None and head is not None:
-                heads[: int(np.argmax(v != v[0])) or len(v)] = head
-            whole = ~new
-            whole[:-1] |= v[1:] == v[:-1]
-            yield pd.DataFrame({"value": v, "node": node, "n": n, "head": heads})[:-1][whole[:-1]]
-            last, head, open_list = (v[-1], node[-1], n[-1]), heads[-1], bool(not new[-1])
-        if last is not None and open_list:
-            yield pd.DataFrame({"value": [last[0]], "node": [last[1]], "n": [last[2]], "head": [head]})
-
-    return materialize(post.mapInPandas(run, "value long, node long, n long, head long"), "lists")
-
-
-def _long_enough(n: str, m: str, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
+            last = len(v) - int(np.argmax(v[::-1] != v[-1])) if (v != v[-1]).any() else 0
+            yield from whole(v[:last], node[:last])
+            v, node, open_value = v[last:], node[last:], None
+            if len(v) > SMALL:
+                open_value, head = v[0], node[0]
+                yield long(v, node, np.full(len(v), head))
+                v, node = v[:0], node[:0]
+        yield from whole(v, node)
+
+    return materialize(post.mapInPandas(run, "value long, node long, head long"), "lists", rows)
+
+
+def _near(percent: int, left: str = "x", right: str = "y") -> Column:
+    """Whether two nodes can be linked by their sizes, <side>n, and parity bitmaps, <side>b0 and so on.
+
+    A bit is the parity of the shingles that fall on it, so bitmaps differ in at most as many bits as the
+    sets in shingles. Sets with Jaccard t differ in at most (1 - t) / (1 + t) of the sum of their sizes.
+    """
+    n, m = F.col(left + "n"), F.col(right + "n")
+    differ = sum((F.bit_count(F.col(left + b).bitwiseXOR(F.col(right + b))) for b in BITS), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def _named(nodes: DataFrame, side: str) -> DataFrame:
+    """doc_id as the side's name, with its size and bitmap."""
+    return nodes.select(F.col("doc_id").alias(side), *[F.col(c).alias(side + c) for c in ("n", *BITS)])
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
     """The distinct pairs (a, b) that are linked."""
     least = percent / 100 - SLACK
     side = sketches.select("doc_id", "sketch")
@@ -179,15 +228,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int,
 
     pairs = pairs.join(side.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
     pairs = pairs.join(side.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    pairs = materialize(pairs.where(likely("sa", "sb")).select("a", "b"), "pairs")
+    pairs = materialize(pairs.where(likely("sa", "sb")).select("a", "b"), "pairs", rows)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     small = pairs.count() * 2 <= BROADCAST_ROWS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "s": [shingles(t, width).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "s": [s.tobytes() for s in shingle_sets(b["text"], width)]})
 
-    sets = materialize(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, s binary"), "sets")
+    sets = materialize(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, s binary"), "sets", rows)
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -205,6 +254,16 @@ def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int,
     return pairs.where(alike("sa", "sb")).select("a", "b")
 
 
+def _mixed(lists: DataFrame, groups: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(value, node, c: component) of the lists with several components, and (value, main: the largest of them)."""
+    of = groups.select("node", F.col("component").alias("c"))
+    placed = lists.join(of, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    sizes = placed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("value").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("m")).where("m > 1").select("value", "main")
+    main = materialize(main, "main", rows)
+    return materialize(placed.join(main.select("value"), "value", "left_semi"), "placed", rows), main
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
@@ -217,36 +276,46 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = materialize(_sketches(docs, width, percent), "sketches")
+    rows = docs.count()
+    made = materialize(_sketches(docs, width, percent), "sketches", rows)
     some = made.where("n > 0 and doc_id is not null")
     firsts = some.groupBy("sig").agg(F.min("doc_id").alias("node"))
     nodes = some.join(firsts, "sig").where("doc_id = node")
-    lists = _lists(nodes.select("doc_id", "n", "kept"))
-
-    heads = made.select(F.col("doc_id").alias("head"), F.col("n").alias("m"))
-    votes = lists.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    votes = votes.join(heads, "head").where(_long_enough("n", "m", percent))
-    best = votes.groupBy("node").agg(F.max(F.struct(F.col("c"), (-F.col("head")).alias("h")))["h"].alias("h"))
-    tried = materialize(best.select((-F.col("h")).alias("a"), F.col("node").alias("b")), "tried")
-    links = materialize(_linked(tried, docs, made, width, percent), "links")
-    groups = components(links)
-
-    of = groups.select("node", F.col("component").alias("c"))
-    placed = lists.select("value", "node", "n").join(of, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
-    placed = materialize(placed.join(mixed, "value"), "placed")
-    main = placed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("value").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
-    rest = placed.join(main, "value").where("c <> main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), "main")
-    other = placed.select("value", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    pairs = rest.join(other, "value").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _long_enough("nx", "ny", percent))
+    found = _lists(nodes.select("doc_id", "kept"), rows)
+    lists = found.where("value is not null")
+
+    sides = some.select("doc_id", "n", *BITS)
+    # 1: overlaps in short lists, and the head that a node shares most long lists with
+    short = found.where("value is null").groupBy(F.col("node").alias("x"), F.col("head").alias("y")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARED)
+    short = short.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y").where(_near(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    votes = lists.where("node <> head").groupBy(F.col("node").alias("y"), F.col("head").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    votes = votes.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y").where(_near(percent))
+    best = votes.groupBy("y").agg(F.max(F.struct(F.col("c"), (-F.col("x")).alias("x")))["x"].alias("x"))
+    tried = materialize(best.select((-F.col("x")).alias("a"), F.col("y").alias("b")).union(short).distinct(), "tried", rows)
+    links = materialize(_linked(tried, docs, made, width, percent, rows), "links", rows)
+    groups = components(links, rows)
+    # 2: in each list that has several components still, a node of the largest one
+    placed, main = _mixed(lists.select("value", "node"), groups, rows)
+    pivot = placed.join(main, "value").where("c = main").groupBy("value").agg(F.min_by("node", F.xxhash64("value", "node")).alias("x"))
+    pairs = placed.join(main, "value").where("c <> main").select("value", F.col("node").alias("y")).join(pivot, "value").select("x", "y").distinct()
+    pairs = pairs.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y").where(_near(percent))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tried, ["a", "b"], "left_anti")
+    links = links.union(materialize(_linked(pairs, docs, made, width, percent, rows), "links", rows))
+    groups = components(links.union(groups.select("component", "node")), rows)
+    # 3: what is left, exactly: the nodes outside a list's largest component with all nodes of others
+    placed, main = _mixed(placed.select("value", "node"), groups, rows)
+    placed = placed.join(main, "value")
+    rest = placed.where("c <> main").select("value", F.col("node").alias("x"), F.col("c").alias("cx"), "main").join(_named(sides, "x"), "x")
+    other = placed.select("value", F.col("node").alias("y"), F.col("c").alias("cy")).join(_named(sides, "y"), "y")
+    pairs = rest.join(other, "value").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _near(percent))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(_linked(pairs, docs, made, width, percent), "links")
-    groups = components(links.union(more).union(groups.select("component", "node")))
+    more = materialize(_linked(pairs, docs, made, width, percent, rows), "links", rows)
+    groups = components(more.union(groups.select("component", "node")), rows)
 
     node_of = firsts.join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = made.select("doc_id", "n", "sig").join(node_of, "sig", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return few_files(out, rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 ORACLE = """
