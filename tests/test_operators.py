@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as sc
 from opsframe.functions import tools
-from opsframe.operators import documents, graph, logs, red, rollup, rules, runs, select
+from opsframe.operators import documents, graph, logs, promql, red, rollup, rules, runs, select
 from opsframe.operators import range as r
 from opsframe.operators import vector as v
 from opsframe.sources import exposition, otlp, tables, upsert
@@ -273,3 +273,28 @@ def test_latest_by_batches(spark, files):
 def test_sampling_batch(spark):
     d = spark.createDataFrame([("a", False), ("a", True), ("b", False)], "trace_id string, sdk boolean")
     assert [x["trace_id"] for x in windows.sampled(d, "sdk").collect()] == ["b"]
+
+
+@pytest.mark.parametrize("bad", ["sum(", "view[5m", "view offset", "a +", "rate(view)", "{a=b}", "nope(view)", "view[5m] > 1"])
+def test_promql_rejects(spark, bad):
+    d = spark.createDataFrame([("view", "1", 1.0, 0)], "name string, host string, value double, t long")
+    with pytest.raises(ValueError):
+        promql.evaluate(bad, d, ["host"], 0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet='abs(){}[]="5m+-*/<>!, :@', max_size=20))
+def test_promql_parser_never_panics(text):
+    try:
+        promql.Parser(text).parse()
+    except ValueError:
+        pass
+
+
+def test_promql_scalars_and_functions(spark):
+    d = spark.createDataFrame([("m", "a", float(x), x * 60 * S) for x in range(11)] + [("m", "b", 7.0, 600 * S)], "name string, host string, value double, t long")
+    one = lambda q: sorted((x["host"] if "host" in x else None, round(x["value"], 4)) for x in map(lambda z: z.asDict(), promql.evaluate(q, d, ["host"], 600 * S).df.collect()))
+    assert one("1 + 2 * 3 ^ 2") == [(None, 19.0)] and one("-m{host='a'}") == [("a", -10.0)] and one("m > bool 8") == [("a", 1.0), ("b", 0.0)]
+    assert one("increase(m[10m])") == [("a", 10.0)] and one("clamp_min(m, 8)") == [("a", 10.0), ("b", 8.0)] and one("count(m) by (host)") == [("a", 1.0), ("b", 1.0)]
+    assert one("m offset 5m") == [("a", 5.0)] and one("sum without (host) (m)") == [(None, 17.0)] and one("scalar(m{host='b'})") == [(None, 7.0)] and one("time()") == [(None, 600.0)]
+    assert one('label_replace(m{host="b"}, "x", "$1!", "host", "(.*)")') == [("b", 7.0)] and one("quantile(0.5, m)") == [(None, 8.5)]
