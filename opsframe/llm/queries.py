@@ -31,7 +31,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search.search(docs, docs.where(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id"))
+    found = search.search(docs, docs.where(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +82,33 @@ _ALL = (
     pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op6_decontaminate": decontam.ORACLE, "op7_minhash_near_dup": neardup.ORACLE}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("text") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_SEARCH_SQL = f"""
+WITH w AS (SELECT doc_id, unnest({_WORDS}) AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY ALL), l AS (SELECT doc_id, sum(n) AS len FROM b GROUP BY doc_id),
+g AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(len) FROM l) / (SELECT count(*) FROM documents) AS mean), f AS (SELECT t, count(*) AS df FROM b GROUP BY t),
+s AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.n * ln(1 + (docs - df + 0.5) / (df + 0.5)) * d.n * 2.2 / (d.n + 1.2 * (0.25 + 0.75 * len / mean))) AS score
+ FROM b q JOIN b d USING (t) JOIN f USING (t) JOIN l ON l.doc_id = d.doc_id CROSS JOIN g WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10
+"""
+
+_CONTROL = "<\\\\*s>|<\\\\*/s>|\\[\\\\*INST\\]|\\[\\\\*/INST\\]|<\\\\*<SYS>>|<\\\\*</SYS>>|<\\\\*\\|endoftext\\|>|<\\\\*\\|image\\|>|<\\\\*\\|audio\\|>|<\\\\*\\|document\\|>"
+_CHAT_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(9 + length(role) + length(text) + len(regexp_extract_all(text, '{_CONTROL}')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM m
+"""
+
+ORACLE_SQL = {
+    "op3_topk_search": _SEARCH_SQL, "op5_chat_format": _CHAT_SQL, "op6_decontaminate": decontam.ORACLE, "op7_minhash_near_dup": neardup.ORACLE, "op8_warc": _WARC_SQL,
+}
