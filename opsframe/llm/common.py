@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
+    ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Rows and bytes of one Arrow batch: a worker holds one batch of whole texts at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
@@ -47,19 +54,54 @@ def few_files(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(24, rows >> 12))
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives a lost executor. rows: see few_files()."""
-    spark = df.sparkSession
-    (df if rows is None else few_files(df, rows)).write.parquet(path := fresh_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, rows: int | None = None, native: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage and survives a lost executor. rows: see few_files().
+
+    On a shared mount (file:), Spark's writer starts several processes a file to set permissions; there
+    the tasks write Parquet through Arrow, unless `native`. Each attempt writes a file of its own name and
+    only the names that successful tasks return are read, so a task that runs twice does no harm.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df = df if rows is None else few_files(df, rows)
+    if native or not path.startswith("file:"):
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
+    return _through_arrow(df, path, lambda batches: batches, df.schema)
 
-def drop_table(df: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing reads it any more."""
+
+def map_to_table(df: DataFrame, f: ArrowMap, schema: str, name: str, rows: int | None = None) -> DataFrame:
+    """materialize(df.mapInArrow(f, schema)), where the worker that runs f writes its file too."""
+    path = fresh_path(df.sparkSession, name)
+    df = df if rows is None else few_files(df, rows)
+    if not path.startswith("file:"):
+        df.mapInArrow(f, schema).write.parquet(path)
+        return df.sparkSession.read.schema(schema).parquet(path)
+    return _through_arrow(df, path, f, schema)
+
+
+def _through_arrow(df: DataFrame, path: str, f: ArrowMap, schema) -> DataFrame:
     spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        out, file = None, f"{path}/part-{uuid.uuid4().hex}.parquet"
+        for b in f(batches):
+            if b.num_rows:
+                if out is None:
+                    store, at = fs.FileSystem.from_uri(file)
+                    store.create_dir(at.rpartition("/")[0], recursive=True)
+                    out = pq.ParquetWriter(at, b.schema, filesystem=store, compression="snappy")
+                out.write_batch(b)
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"file": [file]})
+
+    files = [r["file"] for r in df.mapInArrow(write, "file string").collect()]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
 
 def fold(id_col: str, n: int = 5) -> Column:

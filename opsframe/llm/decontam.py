@@ -28,6 +28,8 @@ WINDOW, K = 10, 6
 W = WINDOW - K + 1
 #: Kept hashes of the items that are broadcast at most, 8 bytes each.
 BROADCAST_ROWS = 1 << 20
+#: Files of the items' tables at most.
+PARTS = 64
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -89,13 +91,13 @@ def _windows(marks: DataFrame, *keys: str) -> DataFrame:
 def benchmark_windows(items: DataFrame) -> tuple[DataFrame, list[int]]:
     """(windows: fp array, a, b, items), the lengths of items shorter than a window. Null ids and items without words are left out."""
     w = items.where("item_id is not null and text is not null").select("item_id", words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
-    w = materialize(w.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("ids")), "items", items.count())
+    w = materialize(w.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).coalesce(PARTS), "items", native=True)
     lengths = sorted(r[0] for r in w.select(F.size("w")).where(F.size("w") < WINDOW).distinct().collect())
     marks = w.select("ids", F.explode(F.when(F.size("w") >= WINDOW, _kept(F.col("w"))).otherwise(
         _by_length(F.col("w"), lengths))).alias("m")).select("ids", "m.*")
     around = _windows(marks.select("*"), "fp", "ids")
     found = around.groupBy("a", "b").agg(F.collect_set("fp").alias("fps"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
-    return materialize(found.withColumn("set", F.xxhash64("items")), "windows", items.count()), lengths
+    return materialize(found.withColumn("set", F.xxhash64("items")).coalesce(PARTS), "windows", native=True), lengths
 
 
 def _by_length(w: Column, lengths: list[int]) -> Column:

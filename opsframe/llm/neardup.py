@@ -24,16 +24,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_files, materialize, small_batches
+from .common import few_files, map_to_table, materialize, small_batches
 from .graph import components
 from .wordhash import mix, word_hashes
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Buckets of the commonness table, half a byte each, broadcast; the chunks that it is summed by; hashes a task holds.
 BUCKET_BITS, CHUNK_BITS, HELD = 25, 6, 1 << 21
 #: Longest list whose pairs are counted, and how many retained values linked nodes share at least.
@@ -71,29 +74,33 @@ def _commonness(docs: DataFrame, width: int) -> bytes:
     """The level of each bucket of shingle hashes, bits of its count up to 15; two levels a byte."""
     part = 1 << BUCKET_BITS - CHUNK_BITS
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
         held: list[np.ndarray] = []
 
-        def send() -> pd.DataFrame:
+        def send() -> pa.RecordBatch:
             got, n = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint32), return_counts=True)
             chunk = got >> np.uint32(BUCKET_BITS - CHUNK_BITS)
             at = np.searchsorted(chunk, np.arange((1 << CHUNK_BITS) + 1))
             gaps = np.minimum(np.diff(got, prepend=np.uint32(0)), (1 << 32) - 1).astype("<u4")
             n = np.minimum(n, 255).astype(np.uint8)
             rows = [(c, int(got[i]), zlib.compress(gaps[i:j].view(np.uint8).reshape(-1, 4).T.tobytes() + n[i:j].tobytes(), 1)) for c, (i, j) in enumerate(zip(at, at[1:], strict=False)) if i < j]
-            return pd.DataFrame(rows, columns=["chunk", "first", "counts"]).astype({"chunk": "int32", "first": "int64"})
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["chunk", "first", "counts"])
 
         for b in batches:
-            held += [(s >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32) for s in shingle_sets(b["text"], width)]
+            held += [(s >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32) for s in shingle_sets(b.column("text").to_pylist(), width)]
             if sum(map(len, held)) > HELD:
                 yield send()
                 held = []
         yield send()
 
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for chunk, first, raw in zip(b["chunk"], b["first"], b["counts"], strict=True):
+            for chunk, first, raw in zip(*(b.column(c).to_pylist() for c in ("chunk", "first", "counts")), strict=True):
                 data = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
                 k = len(data) // 5
                 gaps = np.ascontiguousarray(data[: 4 * k].reshape(4, k).T).view("<u4").ravel().astype(np.int64)
@@ -103,43 +110,47 @@ def _commonness(docs: DataFrame, width: int) -> bytes:
         for c, x in sums.items():
             level = np.minimum(15, np.ceil(np.log2(x + 1))).astype(np.uint8)
             rows.append((c, (level[::2] | level[1::2] << 4).tobytes()))
-        yield pd.DataFrame(rows, columns=["chunk", "levels"]).astype({"chunk": "int32"})
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "levels"])
 
-    sent = docs.select("text").mapInPandas(count, "chunk int, first long, counts binary").repartition(1 << CHUNK_BITS, "chunk")
-    rows = {r["chunk"]: bytes(r["levels"]) for r in sent.mapInPandas(total, "chunk int, levels binary").collect()}
+    sent = docs.select("text").mapInArrow(count, "chunk int, first long, counts binary").repartition(1 << CHUNK_BITS, "chunk")
+    rows = {r["chunk"]: bytes(r["levels"]) for r in sent.mapInArrow(total, "chunk int, levels binary").collect()}
     return b"".join(rows.get(c, bytes(part // 2)) for c in range(1 << CHUNK_BITS))
 
 
-def _levels(packed: bytes) -> np.ndarray:
-    b = np.frombuffer(packed, dtype=np.uint8)
-    out = np.empty(2 * len(b), dtype=np.uint8)
-    out[::2], out[1::2] = b & 15, b >> 4
-    return out
-
+def _level(packed: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return packed[bucket >> np.uint64(1)] >> ((bucket & np.uint64(1)) << np.uint64(2)).astype(np.uint8) & np.uint8(15)
 
-def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of the whole set), kept (retained values), sketch (least hashes, 4 bytes each)."""
-    import xxhash
 
+def _sketches(docs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
+    """doc_id, n, sig (of the whole set), kept (retained values), sketch (least hashes, 4 bytes each), b0 ... (parity bitmap)."""
     sent = docs.sparkSession.sparkContext.broadcast(_commonness(docs, width))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = _levels(sent.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import xxhash
+
+        packed = np.frombuffer(sent.value, dtype=np.uint8)
         for b in batches:
-            out = []
-            for doc, s in zip(b["doc_id"], shingle_sets(b["text"], width), strict=True):
-                if len(s):
-                    order = levels[s >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(57) | s >> np.uint64(7)
-                    k = retained(len(s), percent)
-                    kept = np.partition(order, k - 1)[:k].view(np.int64)
-                else:
-                    kept = np.empty(0, dtype=np.int64)
+            sets = shingle_sets(b.column("text").to_pylist(), width)
+            kept, bits = [], []
+            for s in sets:
+                order = _level(packed, s >> np.uint64(64 - BUCKET_BITS)).astype(np.uint64) << np.uint64(57) | s >> np.uint64(7)
+                k = retained(len(s), percent)
+                kept.append((np.partition(order, k - 1)[:k] if k else order).view(np.int64))
                 odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
-                bits = np.packbits(odd.astype(np.uint8)).view("<i8")
-                out.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), kept, (s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), *bits.tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "sig", "kept", "sketch", *BITS]).astype({"doc_id": "Int64"})
+                bits.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
+            ends = np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int32)
+            wide = np.array(bits, dtype=np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.ListArray.from_arrays(ends, np.concatenate([*kept, np.empty(0, dtype=np.int64)])), pa.array([(s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
+                    *[pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WORDS)],
+                ],
+                ["doc_id", "n", "sig", "kept", "sketch", *BITS],
+            )
 
-    return docs.mapInPandas(run, "doc_id long, n long, sig binary, kept array<long>, sketch binary, " + ", ".join(f"{b} long" for b in BITS))
+    return map_to_table(docs, run, "doc_id long, n long, sig binary, kept array<long>, sketch binary, " + ", ".join(f"{b} long" for b in BITS), "sketches", rows)
 
 
 def _lists(nodes: DataFrame, rows: int | None = None) -> DataFrame:
@@ -151,31 +162,33 @@ def _lists(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     post = nodes.select(F.explode("kept").alias("value"), F.col("doc_id").alias("node"))
     post = post.repartition("value").sortWithinPartitions("value", "node")
 
-    def long(v: np.ndarray, node: np.ndarray, head: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"value": v, "node": node, "head": head}).astype({"value": "Int64"})
+    def made(v: np.ndarray | None, node: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()) if v is None else pa.array(v), pa.array(node), pa.array(head)], ["value", "node", "head"])
 
-    def whole(v: np.ndarray, node: np.ndarray) -> Iterator[pd.DataFrame]:
+    def whole(v: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(v):
             return
         at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         size = np.diff(np.append(at, len(v)))
         of = np.repeat(size, size)
         if (big := of > SMALL).any():
-            yield long(v[big], node[big], np.repeat(node[at], size)[big])
+            yield made(v[big], node[big], np.repeat(node[at], size)[big])
         v, node = v[~big], node[~big]
         for d in range(1, min(SMALL, len(v))):
             same = v[d:] == v[:-d]
             if same.any():
-                yield pd.DataFrame({"value": pd.NA, "node": node[:-d][same], "head": node[d:][same]}).astype({"value": "Int64"})
+                yield made(None, node[:-d][same], node[d:][same])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = node = np.empty(0, dtype=np.int64)
         open_value, head = None, None  # a long list of which rows are out already
         for b in batches:
-            v, node = np.concatenate((v, b["value"].to_numpy())), np.concatenate((node, b["node"].to_numpy()))
+            v, node = np.concatenate((v, b.column("value").to_numpy())), np.concatenate((node, b.column("node").to_numpy()))
             if open_value is not None and len(v):
                 k = len(v) if (v == open_value).all() else int(np.argmax(v != open_value))
-                yield long(v[:k], node[:k], np.full(k, head))
+                yield made(v[:k], node[:k], np.full(k, head))
                 v, node = v[k:], node[k:]
             if not len(v):
                 continue
@@ -184,11 +197,11 @@ def _lists(nodes: DataFrame, rows: int | None = None) -> DataFrame:
             v, node, open_value = v[last:], node[last:], None
             if len(v) > SMALL:
                 open_value, head = v[0], node[0]
-                yield long(v, node, np.full(len(v), head))
+                yield made(v, node, np.full(len(v), head))
                 v, node = v[:0], node[:0]
         yield from whole(v, node)
 
-    return materialize(post.mapInPandas(run, "value long, node long, head long"), "lists", rows)
+    return map_to_table(post, run, "value long, node long, head long", "lists", rows)
 
 
 def _near(percent: int, left: str = "x", right: str = "y") -> Column:
@@ -208,50 +221,47 @@ def _named(nodes: DataFrame, side: str) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
-    """The distinct pairs (a, b) that are linked."""
+    """The distinct pairs (a, b) that are linked, as a table."""
     least = percent / 100 - SLACK
-    side = sketches.select("doc_id", "sketch")
-
-    @F.pandas_udf("boolean")
-    def likely(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            s, t = np.frombuffer(p, dtype="<u4"), np.frombuffer(q, dtype="<u4")
-            both = np.concatenate((s, t))
-            both.sort()
-            same = np.append(both[1:] == both[:-1], False)
-            first = np.insert(both[1:] != both[:-1], 0, True)
-            k = min(SKETCH, int(first.sum()))
-            limit = both[first][k - 1]
-            out.append(int((same & (both <= limit)).sum()) >= least * k)
-        return pd.Series(out, dtype=bool)
-
-    pairs = pairs.join(side.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
-    pairs = pairs.join(side.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    pairs = materialize(pairs.where(likely("sa", "sb")).select("a", "b"), "pairs", rows)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    small = pairs.count() * 2 <= BROADCAST_ROWS
+    def likely(p: bytes, q: bytes) -> bool:
+        both = np.concatenate((np.frombuffer(p, dtype="<u4"), np.frombuffer(q, dtype="<u4")))
+        both.sort()
+        same = np.append(both[1:] == both[:-1], False)
+        first = np.insert(both[1:] != both[:-1], 0, True)
+        k = min(SKETCH, int(first.sum()))
+        return int((same & (both <= both[first][k - 1])).sum()) >= least * k
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "s": [s.tobytes() for s in shingle_sets(b["text"], width)]})
+    def alike(p: bytes, q: bytes) -> bool:
+        both = np.concatenate((np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)))
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= percent * (len(both) - common)
+
+    def only(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import pyarrow as pa
+
+            for b in batches:
+                x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+                yield b.select(["a", "b"]).filter(pa.array([test(p, q) for p, q in zip(x, y, strict=True)], pa.bool_()))
+
+        return run
 
-    sets = materialize(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, s binary"), "sets", rows)
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            s, t = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
-            both = np.concatenate((s, t))
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(100 * common >= percent * (len(both) - common))
-        return pd.Series(out, dtype=bool)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), width)], pa.binary())], ["doc_id", "s"])
+
+    def both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        pairs = pairs.join(of.select(F.col("doc_id").alias("a"), F.col(column).alias("x")), "a")
+        return pairs.join(of.select(F.col("doc_id").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
-    pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return pairs.where(alike("sa", "sb")).select("a", "b")
+    pairs = map_to_table(both(pairs, sketches, "sketch"), only(likely), "a long, b long", "pairs", rows)
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    small = pairs.count() * 2 <= BROADCAST_ROWS
+    sets = map_to_table(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), whole_sets, "doc_id long, s binary", "sets", rows)
+    return map_to_table(both(pairs, sets, "s"), only(alike), "a long, b long", "links", rows)
 
 
 def _mixed(lists: DataFrame, groups: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
@@ -277,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.count()
-    made = materialize(_sketches(docs, width, percent), "sketches", rows)
+    made = _sketches(docs, width, percent, rows)
     some = made.where("n > 0 and doc_id is not null")
     firsts = some.groupBy("sig").agg(F.min("doc_id").alias("node"))
     nodes = some.join(firsts, "sig").where("doc_id = node")
@@ -292,7 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     votes = votes.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y").where(_near(percent))
     best = votes.groupBy("y").agg(F.max(F.struct(F.col("c"), (-F.col("x")).alias("x")))["x"].alias("x"))
     tried = materialize(best.select((-F.col("x")).alias("a"), F.col("y").alias("b")).union(short).distinct(), "tried", rows)
-    links = materialize(_linked(tried, docs, made, width, percent, rows), "links", rows)
+    links = _linked(tried, docs, made, width, percent, rows)
     groups = components(links, rows)
     # 2: in each list that has several components still, a node of the largest one
     placed, main = _mixed(lists.select("value", "node"), groups, rows)
@@ -300,7 +310,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     pairs = placed.join(main, "value").where("c <> main").select("value", F.col("node").alias("y")).join(pivot, "value").select("x", "y").distinct()
     pairs = pairs.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y").where(_near(percent))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tried, ["a", "b"], "left_anti")
-    links = links.union(materialize(_linked(pairs, docs, made, width, percent, rows), "links", rows))
+    links = links.union(_linked(pairs, docs, made, width, percent, rows))
     groups = components(links.union(groups.select("component", "node")), rows)
     # 3: what is left, exactly: the nodes outside a list's largest component with all nodes of others
     placed, main = _mixed(placed.select("value", "node"), groups, rows)
@@ -309,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     other = placed.select("value", F.col("node").alias("y"), F.col("c").alias("cy")).join(_named(sides, "y"), "y")
     pairs = rest.join(other, "value").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _near(percent))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(_linked(pairs, docs, made, width, percent, rows), "links", rows)
+    more = _linked(pairs, docs, made, width, percent, rows)
     groups = components(more.union(groups.select("component", "node")), rows)
 
     node_of = firsts.join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of a chunk; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _R = 0x9E3779B97F4A7C15
 
 
