@@ -33,7 +33,7 @@ from .wordhash import word_hashes
 
 K1, B = 1.2, 0.75
 #: Documents of a shard and of a block, queries of a block, blocks that are scored first, terms with tiles.
-SHARD, BLOCK, QUERY_BLOCK, FIRST_BLOCKS, COMMON = 8192, 32, 128, 2, 384
+SHARD, BLOCK, QUERY_BLOCK, FIRST_BLOCKS, COMMON = 16384, 32, 128, 2, 256
 #: Hashes that a task holds before it sends their counts; relative error of single precision sums, with room.
 HELD, ERROR = 1 << 21, 1e-4
 
@@ -42,7 +42,7 @@ Bag = tuple[np.ndarray, np.ndarray]
 
 def bags(texts: Sequence[str | None]) -> list[Bag]:
     """For each text the sorted hashes of its distinct words (A-Z lower-cased; letters, digits and all beyond ASCII) and how often each occurs."""
-    return [np.unique(h, return_counts=True) for h in word_hashes(texts, letters=True)]
+    return [(t, n.astype(np.int32)) for t, n in (np.unique(h, return_counts=True) for h in word_hashes(texts, letters=True))]
 
 
 def _frequencies(docs: DataFrame, shards: int) -> DataFrame:
@@ -101,6 +101,7 @@ class Shard:
         rare[often] = False
         self.terms, self.starts, self.ends = term[at[rare]], at[rare], ends[rare]
         self.doc, self.impact = doc, impact.astype(np.float32)
+        del term, tf, order, impact
 
     @staticmethod
     def _find(within: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +150,13 @@ class Shard:
         add(np.flatnonzero(alive & ~done))
         out = []
         for i, (t, w) in enumerate(queries):
-            s = np.where(np.repeat(done, BLOCK), scores[i], 0)
-            cut = np.partition(s, -k)[-k] if rows >= k else 0.0
-            found = np.flatnonzero((s >= cut * (1 - ERROR)) & (s > 0))
+            # what isn't scored in full is below the k-th best score already
+            s = scores[i]
+            found = np.flatnonzero((s > 0) & (s >= worst[i] * (1 - ERROR)))
+            if not done.all():
+                found = found[done[found // BLOCK]]
+            if len(found) > k:
+                found = found[s[found] >= np.partition(s[found], -k)[-k] * (1 - ERROR)]
             value = self.exact(found, t, w) if len(found) else np.empty(0)
             order = np.lexsort((self.ids[found], -value))[:k]
             out.append((self.ids[found][order], value[order]))
@@ -218,7 +223,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if ids:
             yield from answer()
 
-    found = docs.mapInPandas(run, "query_id long, doc_id long, score double")
+    # a task reads enough for whole shards: each adds k rows a query
+    found = docs.coalesce(max(12, n // SHARD)).mapInPandas(run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
