@@ -17,7 +17,7 @@ if TYPE_CHECKING:
     ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 #: Rows and bytes of one Arrow batch: a worker holds one batch of whole texts at a time.
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,7 @@ def _through_arrow(df: DataFrame, path: str, f: ArrowMap, schema) -> DataFrame:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
+        trim()
         out, file = None, f"{path}/part-{uuid.uuid4().hex}.parquet"
         for b in f(batches):
             if b.num_rows:
@@ -104,6 +105,18 @@ def _through_arrow(df: DataFrame, path: str, f: ArrowMap, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
 
+def trim() -> None:
+    """Give a worker's freed memory back: workers live on and run other operators' tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def fold(id_col: str, n: int = 5) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

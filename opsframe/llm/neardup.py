@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_files, map_to_table, materialize, small_batches
+from .common import few_files, map_to_table, materialize, small_batches, trim
 from .graph import components
 from .wordhash import mix, word_hashes
 
@@ -38,7 +38,7 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 #: Buckets of the commonness table, half a byte each, broadcast; the chunks that it is summed by; hashes a task holds.
-BUCKET_BITS, CHUNK_BITS, HELD = 25, 6, 1 << 21
+BUCKET_BITS, CHUNK_BITS, HELD = 25, 6, 1 << 19
 #: Longest list whose pairs are counted, and how many retained values linked nodes share at least.
 SMALL, SHARED = 8, 3
 #: Values of a union sketch, and the share of it that both must have, below t.
@@ -77,6 +77,7 @@ def _commonness(docs: DataFrame, width: int) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
+        trim()
         held: list[np.ndarray] = []
 
         def send() -> pa.RecordBatch:
