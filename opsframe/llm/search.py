@@ -223,8 +223,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if ids:
             yield from answer()
 
-    # a task reads enough for whole shards: each adds k rows a query
-    found = docs.coalesce(max(12, n // SHARD)).mapInPandas(run, "query_id long, doc_id long, score double")
+    # as many tasks as shards: each shard adds k rows a query
+    found = docs.coalesce(max(12, -(-n // SHARD))).mapInPandas(run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
