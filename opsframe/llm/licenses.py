@@ -87,15 +87,16 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, list[str]], least: float):
         self.least = least
-        self.all = [(name, t := words(x), set(t)) for name, xs in templates.items() for x in xs]
+        self.all = [(name, t := words(x), Counter(t)) for name, xs in templates.items() for x in xs]
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, word after the last) of the best region of each license that is covered."""
         w = words(text) if text else []
-        have = set(w)
+        have = Counter(w)
         best: dict[str, tuple[str, float, int, int]] = {}
         for name, template, vocabulary in self.all:
-            if len(vocabulary & have) < self.least * len(vocabulary):
+            # no alignment has more words than text and template share, repeats counted
+            if sum(min(n, have.get(x, 0)) for x, n in vocabulary.items()) / len(template) < self.least:
                 continue
             for lo, hi in self._regions(w, template, vocabulary):
                 got = patience(w[lo:hi], template)
@@ -104,7 +105,7 @@ class Scanner:
                     best[name] = name, cover, lo + got[0][0], lo + got[-1][0] + 1
         return sorted(best.values(), key=lambda x: (-x[1], x[0]))
 
-    def _regions(self, w: list[str], template: list[str], vocabulary: set[str]) -> Iterator[tuple[int, int]]:
+    def _regions(self, w: list[str], template: list[str], vocabulary: Counter[str]) -> Iterator[tuple[int, int]]:
         reach, size = max(3, len(template) // 2), 2 * len(template)
         at = [i for i, x in enumerate(w) if x in vocabulary]
         k = 0

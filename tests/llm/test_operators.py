@@ -153,6 +153,19 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_license_scan_skips_no_covered_notice():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST_COVERAGE)
+    found = lambda text: {x[0] for x in scanner.scan(text)}
+    assert "MIT" in found(licenses.TEMPLATES["MIT"][1].replace("any person obtaining a copy ", ""))
+    assert "BSD-3-Clause" in found(licenses.TEMPLATES["BSD-3-Clause"][0].replace("binary forms, with or ", ""))
+    for name, notices in licenses.TEMPLATES.items():
+        for t in map(licenses.words, notices):
+            for lo in range(len(t)):
+                for hi in range(lo + 1, min(len(t), lo + 10) + 1):
+                    w = t[:lo] + t[hi:]
+                    assert name in found(" ".join(w)) or len(licenses.patience(w, t)) < licenses.LEAST_COVERAGE * len(t)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abcdef"), max_size=12), st.lists(st.sampled_from("abcdef"), max_size=12))
 def test_patience_is_an_alignment(a, b):
