@@ -6,23 +6,30 @@ as Parquet to the shared folder and reads it again for the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.llm import decontam, langid, neardup, packing
-from opsframe.llm.common import materialize, table
+from opsframe.llm.common import materialize, table, text_key
 from opsframe.llm.queries import tokenizer
 
 #: Least share of a document's main language.
 LEAST_SHARE = 0.5
-#: Ids of dropped rows that are broadcast at most, 8 bytes each.
+#: Keys of dropped rows that are broadcast at most, 16 bytes each.
 BROADCAST_ROWS = 1 << 20
 
 
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """docs without the rows of dropped's doc_ids; texts move only where the ids are too many to broadcast."""
-    dropped = materialize(dropped.select("doc_id").where("doc_id is not null").distinct(), name, 0)
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti")
+def _without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], name: str) -> DataFrame:
+    """docs without the rows whose keys (columns of dropped: what they are in docs) are a row of dropped, nulls being equal.
+
+    Texts move only where the rows of dropped are too many to broadcast.
+    """
+    dropped = materialize(dropped.select(*[F.col(k).alias(f"dropped_{k}") for k in keys]).distinct(), name, 0)
+    same = reduce(and_, [of.eqNullSafe(F.col(f"dropped_{k}")) for k, of in keys.items()])
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, same, "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +39,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id. Repeated rows are one."""
-    groups = neardup.near_duplicates(docs)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = _without(docs, groups.where("not kept"), "dropped")
-    again = materialize(repeated.select("doc_id"), "repeated", 0)
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group of near copies: the smallest doc_id's; of one doc_id, the least hash of the text's.
+
+    A null doc_id comes last. Rows of one doc_id and text are one; with different texts they are compared each by itself.
+    """
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        groups = neardup.near_duplicates(docs)
+        return _without(docs, groups.where("not kept"), {"doc_id": F.col("doc_id")}, "dropped")
+    # ids don't tell the rows apart: number them in the order that says which one stays
+    one = docs.withColumn("text_key", text_key()).dropDuplicates(["doc_id", "text_key"])
+    rows = materialize(one.orderBy(F.asc_nulls_last("doc_id"), "text_key").withColumn("row_number", F.monotonically_increasing_id()), "rows")
+    groups = neardup.near_duplicates(rows.select(F.col("row_number").alias("doc_id"), "text"))
+    return _without(rows, groups.where("not kept"), {"doc_id": F.col("row_number")}, "dropped").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"), "contaminated")
+    """Documents without a benchmark passage. Rows are judged by their own text, also where a doc_id is null or repeats."""
+    found = decontam.by_text(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated"), {"doc_id": F.col("doc_id"), "tk": text_key()}, "contaminated")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,6 +122,11 @@ def fold(id_col: str, n: int = 5) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def text_key() -> Column:
+    """Hash of the column text: tells apart rows whose doc_id is null or repeats."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() is the same on pure ASCII and faster there."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

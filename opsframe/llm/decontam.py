@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, few_files, materialize
+from .common import ascii_lower, few_files, materialize, text_key
 
 #: What lies between words: fixed value.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -115,6 +115,11 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     no words: nothing is hit and items_sha256 is that of the empty string. Equal items list all their
     ids; repeated rows of docs stay; null doc_ids are kept apart by text. Other columns are ignored.
     """
+    return by_text(docs, items).drop("tk")
+
+
+def by_text(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """decontaminate() with tk, the text_key() of the row: what it says holds for the rows of a doc_id and tk."""
     known, lengths = benchmark_windows(items.select("item_id", "text"))
     prints = known.select(F.explode("fps").alias("fp")).distinct()
     small = prints.count() <= BROADCAST_ROWS
@@ -122,7 +127,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     # the document's own mark holds its number of words
     marks = let(words(text), lambda w: F.concat(F.array(_mark(F.lit(0), F.lit(None), F.size(w), F.array())), _kept(w), *[_short(w, n) for n in lengths]))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("tk"), F.explode(marks).alias("m")).select(*keys, "m.*")
+    rows = docs.select("doc_id", text_key().alias("tk"), F.explode(marks).alias("m")).select(*keys, "m.*")
     if small:
         met = rows.join(F.broadcast(prints.withColumn("met", F.lit(True))), "fp", "left").where("met or len = 0").drop("met")
     else:
@@ -144,7 +149,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     named = F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ",")
     return few_files(out, docs.count()).select(
-        "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "doc_id", "tk", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

@@ -455,3 +455,22 @@ def test_pipeline(spark):
     assert ids(steps["pack"][1]) == ids(after)
     mixed = documents(spark, [None, "", "12 34", *[r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(40).collect()]])
     assert ids(corpus_pipeline.language(spark, mixed, SF)) == set(range(3, 43))
+
+
+def test_pipeline_stages_judge_rows_without_ids_of_their_own(spark):
+    import corpus_pipeline
+
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").orderBy("item_id").first()[0]
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "bad " + passage), (None, "clean words of a null id"), (1, "bad " + passage), (1, "clean words of a repeated id"), (2, "bad"), (3, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted((r for r in rows if passage not in (r[1] or "")), key=str)
+
+    rows = [(None, near), (None, near + " x"), (None, near), (None, "of its own"), (7, near), (7, "other text of seven"), (7, "other text of seven"), (9, "other text of seven"), (5, near + " y"), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    want = [(5, near + " y"), (7, "other text of seven"), (None, "of its own"), (8, None), (None, None)]
+    assert out.columns == docs.columns and sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str) == sorted(want, key=str)
+    alone = spark.createDataFrame([(None, near, "en", "s", 0), (None, near + " x", "en", "s", 0)], DOCS)
+    assert corpus_pipeline.near_dedup(spark, alone, SF).count() == 1
