@@ -11,15 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
 #: Buckets of byte trigrams in a language's table: the bound of the model is 4 * BUCKETS bytes a language.
 BUCKETS = 1 << 18
-#: Labelled documents a language, in expectation, that are enough to fit it.
-TRAIN_DOCS = 3000
+#: Distinct labelled texts a language, at most, that are enough to fit it; values of the hash that draws them.
+TRAIN_DOCS, DRAWS = 3000, 1 << 52
 #: Additive smoothing, weight of the penalty, least share of a language in a set, EM steps.
 ALPHA, PENALTY, LEAST_SHARE, STEPS = 0.2, 6.0, 0.05, 12
 #: Trigrams that EM looks at in one block; a longer text is summed over blocks, all of it.
@@ -80,18 +80,24 @@ class Mixture:
 
 
 def fit(train: DataFrame) -> Mixture:
-    """train (text, lang): the tables of the languages, from about TRAIN_DOCS documents each; rows with a null are left out.
+    """train (text, lang): the tables of the languages, from at most TRAIN_DOCS distinct texts each; rows with a null are left out.
 
-    The sample is bounded by a share of each language's rows by their hash, whatever their order.
+    The sample has the texts of a language with the least hashes, whatever the order of the rows. Copies count once.
     """
     small_batches(train.sparkSession)
     rows = train.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(DRAWS)))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     langs = sorted(sizes)
     counts = np.zeros((len(langs), BUCKETS), dtype=np.float64)
     if langs:
-        share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, TRAIN_DOCS / sizes[k]))])
-        some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+        # twice as many as needed by the estimated number of texts, then exactly the least ones of these
+        ample = F.create_map(*[F.lit(x) for k in langs for x in (k, int(DRAWS * min(1.0, 2 * max(TRAIN_DOCS, 100) / sizes[k])))])
+        some = rows.where(F.col("draw") < ample[F.col("lang")])
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+        least = some.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= TRAIN_DOCS)
+        last = F.create_map(*[F.lit(x) for r in least.groupBy("lang").agg(F.max("draw").alias("last")).collect() for x in (r["lang"], r["last"])])
+        some = some.where(F.col("draw") <= last[F.col("lang")]).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: dict[str, np.ndarray] = {}

@@ -114,6 +114,16 @@ def test_language_mixture_and_edges(spark):
     assert langid.detect(empty(spark), model).count() == 0
 
 
+def test_language_sample_is_bounded_and_counts_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "Mixture", lambda langs, counts: counts)
+    texts = [f"text{i:03}" for i in range(120)]
+    once = langid.fit(documents(spark, texts))
+    assert (langid.fit(documents(spark, texts + [texts[5]] * 300)) == once).all() and once.sum() == 120 * len(langid.grams(texts[0]))
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 10)
+    got = langid.fit(documents(spark, texts * 3, langs={i: ("aa", "bb")[i % 2] for i in range(120)}))
+    assert got.shape[0] == 3 and (got.sum(axis=1) == 10 * len(langid.grams(texts[0]))).all()
+
+
 # --- 3 ---------------------------------------------------------------------------------------------
 
 
