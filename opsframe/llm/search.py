@@ -1,23 +1,33 @@
-"""Exact top-k search by BM25 over a sharded inverted index with block-max pruning.
+"""Exact top-k search by BM25: a sharded inverted index with block-max WAND pruning.
 
 Shards index their documents alone, but with the corpus' average length, and queries carry the corpus'
 document frequencies, so scores don't depend on the shards and their top k merge exactly.
 
-In a shard, documents fall into blocks. Rare terms have posting lists. The COMMON most frequent terms
-have their impacts by block instead, as small dense tiles, and their largest impact in each block.
-Queries run in blocks: posting lists give a document its rare part, which with the weighted block
-maxima bounds every score of a block. The blocks with the highest bounds are scored first; they set
-each query's k-th best score, and of the others only blocks whose bound reaches it for some query are
-scored at all. Tiles are multiplied in single precision, so all documents within its error of the k-th
-best score are scored again, term by term in double precision, and ranked by that.
+A shard holds its distinct texts, each with the ids of its copies, in an order that puts texts with the
+same leading word and like lengths side by side, and cuts it into blocks of BLOCK texts. Each posting
+list is sorted by text and knows its part in each block: where it starts and its largest impact. The
+blocks are the same ranges of texts for all lists, so a list's cursor moves from block to block, and
+WAND's pivot test, whether the maxima of the lists that are present can add up to the threshold, is
+taken for all blocks of a query at once. Where it fails, every list skips its part of the block.
 
-Queries are written to the shared folder and read by every shard in blocks of a fixed size.
+The threshold is a query's k-th best score so far. A shard scores the FIRST_BLOCKS blocks with the
+highest sums first, which raises it, and a task takes it along from shard to shard and returns k rows
+a query. So there are (groups of shards) x k rows a query before the merge, however many shards there are.
+
+The COMMON most frequent terms of a shard also have their impacts by block as small dense tiles. In a
+block that passes, these are multiplied first, in single precision; then the test is taken again with
+their sums in place of their maxima, and only where it holds are the other lists' postings read. What
+reaches the threshold within the error of that is scored again, term by term in double precision.
+
+Shards are files in the shared folder. A task is a block of queries and a group of shards, and holds
+one shard at a time.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -26,14 +36,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches
+from .common import fresh_path, materialize, small_batches
 from .lm import _block, _merge, _sent, shard_of
 from .warc import store
 from .wordhash import word_hashes
 
 K1, B = 1.2, 0.75
-#: Documents of a shard and of a block, queries of a block, blocks that are scored first, terms with tiles.
-SHARD, BLOCK, QUERY_BLOCK, FIRST_BLOCKS, COMMON = 16384, 32, 128, 2, 256
+#: Documents of a shard, texts of a block, blocks that are scored first, terms with tiles.
+SHARD, BLOCK, FIRST_BLOCKS, COMMON = 16384, 32, 16, 512
+#: Queries that a task asks, and how many of them at once; groups of shards at least, if there are so many shards.
+TASK_QUERIES, QUERY_BLOCK, GROUPS = 2048, 256, 12
 #: Hashes that a task holds before it sends their counts; relative error of single precision sums, with room.
 HELD, ERROR = 1 << 21, 1e-4
 
@@ -75,94 +87,251 @@ def _frequencies(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("text").mapInPandas(count, "shard int, n int, keys binary, words long").groupBy("shard").applyInPandas(merge, "term long, df long, words long")
 
 
+def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [start, end), one after another."""
+    size = ends - starts
+    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, dtype=np.int64)
+
+
 class Shard:
-    """The index of some documents."""
-
-    def __init__(self, ids: list, docs: list[Bag], average: float):
-        self.ids, self.docs, n = np.array(ids, dtype=np.int64), docs, len(docs)
-        self.blocks = -(-n // BLOCK)
-        self.norm = K1 * (1 - B + B * np.array([c.sum() for _, c in docs], dtype=np.float64) / max(average, 1e-9))
-        sizes = np.array([len(t) for t, _ in docs], dtype=np.int64)
-        term, tf = (np.concatenate([d[i] for d in docs]) for i in (0, 1))
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    """The index of some documents. scored and skipped count postings of the queries' terms."""
+
+    #: ids: of all copies, by text; id_at: where a text's begin; norm: of each text; terms: sorted; at: where a term's postings begin;
+    #: doc, tf: postings by (term, text); parts: where lists' parts begin; part_at: the first part of each term.
+    ARRAYS = ("ids", "id_at", "norm", "terms", "at", "doc", "tf", "parts", "part_at")
+
+    def __init__(self, arrays: dict[str, np.ndarray], block: int = BLOCK, common: int = COMMON):
+        for name in self.ARRAYS:
+            setattr(self, name, arrays[name])
+        n, self.block, self.blocks = len(self.norm), block, -(-len(self.norm) // block)
+        self.impact = (self.tf * (K1 + 1) / (self.tf + self.norm[self.doc])).astype(np.float32)
+        self.keys = (np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.at)) << 32) + self.doc
+        self.part_block = (self.doc[self.parts[:-1]] // block).astype(np.int32)
+        self.part_max = np.maximum.reduceat(self.impact, self.parts[:-1]) if len(self.parts) > 1 else np.empty(0, dtype=np.float32)
+        size = np.diff(self.at)
+        often = np.sort(np.argsort(-size, kind="stable")[:common])
+        often = often[size[often] > 1]
+        self.tile_of = np.full(len(size), -1, dtype=np.int32)
+        self.tile_of[often] = np.arange(len(often))
+        self.tiles = np.zeros((self.blocks, len(often), block), dtype=np.float32)
+        for k, t in enumerate(often):
+            d = self.doc[self.at[t] : self.at[t + 1]].astype(np.int64)
+            self.tiles[d // block, k, d % block] = self.impact[self.at[t] : self.at[t + 1]]
+        self.most = self.tiles.max(axis=2) if n else np.zeros((0, len(often)), dtype=np.float32)
+        self.scored = self.skipped = 0
+
+    @classmethod
+    def arrays(cls, ids: list, docs: list[Bag], average: float, block: int = BLOCK) -> dict[str, np.ndarray]:
+        """What a shard of these documents is made of."""
+        same: dict[tuple[bytes, bytes], list[int]] = {}
+        for i, (t, n) in zip(ids, docs, strict=True):
+            same.setdefault((t.tobytes(), n.tobytes()), []).append(i)
+        texts = [(np.frombuffer(t, dtype=np.uint64), np.frombuffer(n, dtype=np.int32), sorted(x)) for (t, n), x in same.items() if t]
+        del same
+        # the leading word is mostly a language's: texts that share many words lie together
+        texts.sort(key=lambda x: (int(x[0][x[1].argmax()]), int(x[1].sum()), x[2][0]))
+        length = np.array([n.sum() for _, n, _ in texts], dtype=np.float64)
+        join = lambda xs, kind: np.concatenate([*xs, np.empty(0, dtype=kind)]).astype(kind)
+        term, tf = join([t for t, _, _ in texts], np.uint64), join([n for _, n, _ in texts], np.int32)
+        doc = np.repeat(np.arange(len(texts), dtype=np.uint32), [len(t) for t, _, _ in texts])
         order = np.argsort(term, kind="stable")
         term, doc, tf = term[order], doc[order], tf[order]
-        impact = tf * (K1 + 1) / (tf + self.norm[doc])
-        at = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.empty(0, dtype=np.int64)
-        ends = np.append(at[1:], len(term)).astype(np.int64)
-        often = np.sort(np.argsort(at - ends, kind="stable")[:COMMON])
-        often = often[(ends - at)[often] > 1]
-        self.common = term[at[often]]
-        self.tiles = np.zeros((self.blocks * BLOCK, len(often)), dtype=np.float32)
-        for k, i in enumerate(often):
-            self.tiles[doc[at[i] : ends[i]], k] = impact[at[i] : ends[i]]
-        self.most = self.tiles.reshape(self.blocks, BLOCK, len(often)).max(axis=1)
-        rare = np.ones(len(at), dtype=bool)
-        rare[often] = False
-        self.terms, self.starts, self.ends = term[at[rare]], at[rare], ends[rare]
-        self.doc, self.impact = doc, impact.astype(np.float32)
-        del term, tf, order, impact
-
-    @staticmethod
-    def _find(within: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in asked, places in within) of what both have."""
-        if not len(within):
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        at = np.minimum(np.searchsorted(within, asked), len(within) - 1)
-        hit = np.flatnonzero(within[at] == asked)
-        return hit, at[hit]
+        at = _firsts(term)
+        new = np.zeros(len(term) + 1, dtype=bool)
+        new[at] = True
+        new[1:-1] |= doc[1:] // block != doc[:-1] // block
+        parts = np.flatnonzero(new[:-1])
+        return {
+            "ids": join([x for _, _, x in texts], np.int64), "id_at": np.cumsum([0, *[len(x) for _, _, x in texts]]), "norm": K1 * (1 - B + B * length / max(average, 1e-9)),
+            "terms": term[at], "at": np.append(at, len(term)), "doc": doc, "tf": tf.astype(np.min_scalar_type(int(tf.max()) if len(tf) else 0)),
+            "parts": np.append(parts, len(term)), "part_at": np.append(np.searchsorted(parts, at), len(parts)),
+        }
+
+    def _terms(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the query's terms that occur here, their weights)."""
+        t, w = query
+        if not len(self.terms):
+            return np.empty(0, dtype=np.int64), w[:0]
+        at = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
+        hit = self.terms[at] == t
+        return at[hit], w[hit]
+
+    def _ask(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list]:
+        """(weights of the common terms, what the maxima of the other lists add up to by query and block, each query's terms, weights, parts of the other lists and their weights)."""
+        asked = np.zeros((len(queries), self.tiles.shape[1]), dtype=np.float32)
+        rest = np.zeros((len(queries), self.blocks), dtype=np.float32)
+        lists = []
+        for i, query in enumerate(queries):
+            t, w = self._terms(query)
+            k = self.tile_of[t]
+            asked[i, k[k >= 0]] = w[k >= 0]
+            rare, wr = t[k < 0], w[k < 0].astype(np.float32)
+            lo, hi = self.part_at[rare], self.part_at[rare + 1]
+            parts, weights = _spans(lo, hi), np.repeat(wr, hi - lo)
+            rest[i] = np.bincount(self.part_block[parts], weights=weights * self.part_max[parts], minlength=self.blocks)
+            lists.append((t, w, parts, weights))
+        return asked, rest, lists
+
+    def _score(self, asked: np.ndarray, rest: np.ndarray, lists: list, live: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Scores by query and text in the live blocks, 0 elsewhere and where no score of the block can reach least. live: by query and block.
+
+        Tiles come first; with their sums in place of their maxima the pivot test is taken again, before postings are read.
+        """
+        n = len(lists)
+        scores = np.zeros((n, self.blocks, self.block), dtype=np.float32)
+        live = live.copy()
+        for b in np.flatnonzero(live.any(axis=0)):
+            q = np.flatnonzero(live[:, b])
+            got = asked[q] @ self.tiles[b]
+            on = got.max(axis=1) + rest[q, b] >= least[q]
+            live[q[~on], b] = False
+            scores[q[on], b] = got[on]
+        scores = scores.reshape(n, -1)
+        for i, (_, _, parts, weights) in enumerate(lists):
+            on = live[i][self.part_block[parts]]
+            self.skipped += int((self.parts[parts[~on] + 1] - self.parts[parts[~on]]).sum())
+            parts, weights = parts[on], weights[on]
+            if len(parts):
+                lo, hi = self.parts[parts], self.parts[parts + 1]
+                posts = _spans(lo, hi)
+                scores[i] += np.bincount(self.doc[posts], weights=np.repeat(weights, hi - lo) * self.impact[posts], minlength=scores.shape[1])
+                self.scored += len(posts)
+        return scores
 
     def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores in double precision, summed in the order of the terms."""
-        have = np.concatenate([self.docs[d][0] for d in docs])
-        tf = np.concatenate([self.docs[d][1] for d in docs])
-        of = np.repeat(np.arange(len(docs)), [len(self.docs[d][0]) for d in docs])
-        at, q = self._find(terms, have)
-        tf, of = tf[at], of[at]
-        return np.bincount(of, weights=weights[q] * (tf * (K1 + 1) / (tf + self.norm[docs][of])), minlength=len(docs))
-
-    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (sorted terms, weights) the (doc_ids, scores) of its k best documents with a positive score; ties by id."""
-        n, rows = len(queries), self.blocks * BLOCK
-        asked = np.zeros((n, len(self.common)), dtype=np.float32)
-        scores = np.zeros((n, rows), dtype=np.float32)
-        for i, (t, w) in enumerate(queries):
-            q, c = self._find(self.common, t)
-            asked[i, c] = w[q]
-            q, r = self._find(self.terms, t)
-            size = self.ends[r] - self.starts[r]
-            posts = np.repeat(self.starts[r] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            scores[i] = np.bincount(self.doc[posts], weights=np.repeat(w[q], size) * self.impact[posts], minlength=rows)
-        bound = asked @ self.most.T + scores.reshape(n, self.blocks, BLOCK).max(axis=2)
-        full = scores.reshape(n, self.blocks, BLOCK)
-        done = np.zeros(self.blocks, dtype=bool)
-
-        def add(chosen: np.ndarray) -> None:
-            done[chosen] = True
-            tiles = self.tiles.reshape(self.blocks, BLOCK, len(self.common))[chosen].reshape(len(chosen) * BLOCK, len(self.common))
-            full[:, chosen] += (asked @ tiles.T).reshape(n, len(chosen), BLOCK)
-
-        best = np.argpartition(bound, -min(FIRST_BLOCKS, self.blocks), axis=1)[:, -FIRST_BLOCKS:]
-        add(np.unique(best))
-        known = full[:, done].reshape(n, -1)
-        worst = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] >= k else np.zeros(n)
-        alive = (bound >= (worst * (1 - ERROR))[:, None]).any(axis=0)
-        add(np.flatnonzero(alive & ~done))
+        want = (terms[:, None].astype(np.int64) << 32) + docs
+        at = np.minimum(np.searchsorted(self.keys, want.ravel()), len(self.keys) - 1).reshape(want.shape)
+        tf = np.where(self.keys[at] == want, self.tf[at], 0).astype(np.float64)
+        return (weights[:, None] * (tf * (K1 + 1) / (tf + self.norm[docs]))).cumsum(axis=0)[-1]
+
+    def best(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (sorted terms, weights) the (doc_ids, scores) of its k best documents here whose score is positive and reaches least; ties by id."""
+        none = np.empty(0, dtype=np.int64), np.empty(0)
+        if not self.blocks:
+            return [none] * len(queries)
+        asked, rest, lists = self._ask(queries)
+        copies = np.minimum(np.diff(self.id_at), k)
+        bound, least = asked @ self.most.T + rest, least * (1 - ERROR)
+        # the best blocks first: they raise the threshold for all others
+        top = np.zeros(bound.shape, dtype=bool)
+        m = min(FIRST_BLOCKS, self.blocks)
+        np.put_along_axis(top, np.argpartition(bound, -m, axis=1)[:, -m:], True, axis=1)
+        live = bound > np.maximum(least, 0)[:, None] * (1 - ERROR)
+        scores = self._score(asked, rest, lists, live & top, least)
+        for i, s in enumerate(scores):
+            found = np.flatnonzero((s > 0) & (s >= least[i]))
+            if len(found) > k:
+                found = found[np.argpartition(s[found], -k)[-k:]]
+            found = found[np.argsort(-s[found])]
+            n = np.cumsum(copies[found])
+            if len(n) and n[-1] >= k:
+                least[i] = max(least[i], s[found[np.searchsorted(n, k)]] * (1 - ERROR))
+        scores += self._score(asked, rest, lists, live & ~top & (bound >= least[:, None]), least)
         out = []
-        for i, (t, w) in enumerate(queries):
-            # what isn't scored in full is below the k-th best score already
-            s = scores[i]
-            found = np.flatnonzero((s > 0) & (s >= worst[i] * (1 - ERROR)))
-            if not done.all():
-                found = found[done[found // BLOCK]]
+        for i, (t, w, _, _) in enumerate(lists):
+            found = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i]))
             if len(found) > k:
-                found = found[s[found] >= np.partition(s[found], -k)[-k] * (1 - ERROR)]
-            value = self.exact(found, t, w) if len(found) else np.empty(0)
-            order = np.lexsort((self.ids[found], -value))[:k]
-            out.append((self.ids[found][order], value[order]))
+                s = scores[i][found]
+                found = found[s >= np.partition(s, -k)[-k] * (1 - ERROR)]
+            if not len(found):
+                out.append(none)
+                continue
+            size = copies[found]
+            value = np.repeat(self.exact(found, t, w), size)
+            ids = self.ids[_spans(self.id_at[found], self.id_at[found] + size)]
+            order = np.lexsort((ids, -value))[:k]
+            out.append((ids[order], value[order]))
         return out
 
 
+def _save(folder: str, arrays: dict[str, np.ndarray]) -> str:
+    """Write a shard under a name of this attempt's own."""
+    name = f"{folder}/shard-{uuid.uuid4().hex}"
+    fs, path = store(name)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path, compression=None) as out:
+        for x in Shard.ARRAYS:
+            np.lib.format.write_array(out, np.ascontiguousarray(arrays[x]), allow_pickle=False)
+    return name
+
+
+def _load(name: str) -> dict[str, np.ndarray]:
+    fs, path = store(name)
+    with fs.open_input_stream(path, compression=None) as f:
+        return {x: np.lib.format.read_array(f, allow_pickle=False) for x in Shard.ARRAYS}
+
+
+def _index(docs: DataFrame, average: float, tasks: int, folder: str) -> list[str]:
+    """The files of the shards: as many as tasks, or more where a task has more than SHARD documents."""
+    size, block = SHARD, BLOCK
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: list = []
+        held: list[Bag] = []
+        for b in batches:
+            for i, bag in zip(b["doc_id"], bags(b["text"]), strict=True):
+                ids.append(i)
+                held.append(bag)
+                if len(ids) == size:
+                    yield pd.DataFrame({"file": [_save(folder, Shard.arrays(ids, held, average, block))]})
+                    ids, held = [], []
+        if ids:
+            yield pd.DataFrame({"file": [_save(folder, Shard.arrays(ids, held, average, block))]})
+
+    return sorted(r["file"] for r in docs.coalesce(tasks).mapInPandas(run, "file string").collect())
+
+
+def _weights(queries: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """(query_id, terms, weights): the known terms of each query, sorted by hash, and (occurrences) x (idf)."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = bags(b["text"])
+            yield pd.DataFrame({"query_id": b["query_id"], "q": [[{"term": int(t), "n": int(c)} for t, c in zip(g[0].view(np.int64), g[1], strict=True)] for g in got]})
+
+    asked = queries.mapInPandas(split, "query_id long, q array<struct<term: long, n: long>>").select("query_id", F.inline("q"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = asked.groupBy("query_id", "term").agg(F.max("n").alias("n")).join(df, "term").select("query_id", F.struct("term", (F.col("n") * idf).alias("weight")).alias("q"))
+    asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("q")).alias("q"))
+    return asked.select("query_id", F.col("q.term").alias("terms"), F.col("q.weight").alias("weights"))
+
+
+def _by_block(df: DataFrame, blocks: int, name: str) -> str:
+    """The folder that df is written to, a folder in it for each block of queries."""
+    path = fresh_path(df.sparkSession, name)
+    df.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(path)
+    return path
+
+
+def _read(path: str, block: int, columns: list[str]):
+    import pyarrow.dataset as ds
+    from pyarrow.fs import FileType
+
+    fs, folder = store(f"{path}/block={block}")
+    if fs.get_file_info(folder).type == FileType.NotFound:
+        return None
+    return ds.dataset(folder, filesystem=fs, format="parquet").to_table(columns=columns)
+
+
+def _asked(path: str, block: int) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """(ids, queries) of a block, sorted by id."""
+    rows = _read(path, block, ["query_id", "terms", "weights"])
+    ids, out = [], []
+    for q, t, w in zip(*(rows.column(c) for c in rows.column_names), strict=True) if rows else ():
+        t = t.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        order = np.argsort(t)
+        ids.append(q.as_py())
+        out.append((t[order], w.values.to_numpy(zero_copy_only=False)[order]))
+    order = np.argsort(ids) if ids else []
+    return [ids[i] for i in order], [out[i] for i in order]
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), doc_id, score: for each row of queries (query_id, text) its k best rows of docs (doc_id, text).
 
@@ -180,51 +349,36 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     _frequencies(docs, max(4, n // 16384)).write.parquet(made)
     df = spark.read.schema("term long, df long, words long").parquet(made)
     words = df.where("term is null").agg(F.sum("words")).first()[0] or 0
-    average = words / max(n, 1)
+    shards = _index(docs, words / max(n, 1), max(12, -(-n // SHARD)), fresh_path(spark, "index"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = bags(b["text"])
-            yield pd.DataFrame({"query_id": b["query_id"], "q": [[{"term": int(t), "n": int(c)} for t, c in zip(g[0].view(np.int64), g[1], strict=True)] for g in got]})
+    asked = materialize(_weights(queries, df, n), "asked", 0)
+    blocks = max(1, -(-asked.count() // TASK_QUERIES))
+    path = _by_block(asked, blocks, "questions")
+    groups = max(1, min(len(shards), max(GROUPS, -(-4 * spark.sparkContext.defaultParallelism // blocks))))
+    sent = spark.sparkContext.broadcast(shards)
+    block, common, at_once = BLOCK, COMMON, QUERY_BLOCK
+    tasks = spark.range(0, groups * blocks, 1, groups * blocks)
 
-    asked = queries.mapInPandas(split, "query_id long, q array<struct<term: long, n: long>>").select("query_id", F.inline("q"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.groupBy("query_id", "term").agg(F.max("n").alias("n")).join(df, "term").select("query_id", F.struct("term", (F.col("n") * idf).alias("weight")).alias("q"))
-    asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("q")).alias("q")).select("query_id", F.col("q.term").alias("terms"), F.col("q.weight").alias("weights"))
-    asked.write.parquet(path := fresh_path(spark, "asked"))
+    def of_task(task: int) -> Iterator[Shard]:
+        for name in sent.value[task % groups :: groups]:
+            yield Shard(_load(name), block, common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.dataset as ds
-
-        ids: list = []
-        held: list = []
-
-        def answer() -> Iterator[pd.DataFrame]:
-            shard = Shard(ids, held, average)
-            fs, folder = store(path)
-            for block in ds.dataset(folder, filesystem=fs, format="parquet").to_batches(batch_size=QUERY_BLOCK):
-                named, asked_ = [], []
-                for q, t, w in zip(*(block.column(c) for c in ("query_id", "terms", "weights")), strict=True):
-                    t = t.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    order = np.argsort(t)
-                    named.append(q.as_py())
-                    asked_.append((t[order], w.values.to_numpy(zero_copy_only=False)[order]))
-                if named:
-                    found = shard.top(asked_, k)
-                    yield pd.DataFrame({"query_id": np.repeat(named, [len(d) for d, _ in found]), "doc_id": np.concatenate([d for d, _ in found]), "score": np.concatenate([s for _, s in found])})
-
-        for b in batches:
-            for i, bag in zip(b["doc_id"], bags(b["text"]), strict=True):
-                ids.append(i)
-                held.append(bag)
-                if len(ids) == SHARD:
-                    yield from answer()
-                    ids, held = [], []
-        if ids:
-            yield from answer()
-
-    # as many tasks as shards: each shard adds k rows a query
-    found = docs.coalesce(max(12, -(-n // SHARD))).mapInPandas(run, "query_id long, doc_id long, score double")
+        for task in (int(i) for b in batches for i in b["id"]):
+            ids, asked_ = _asked(path, task // groups)
+            best = [(np.empty(0, dtype=np.int64), np.empty(0))] * len(ids)
+            for shard in of_task(task) if ids else ():
+                for i in range(0, len(ids), at_once):
+                    have = best[i : i + at_once]
+                    least = np.array([s[-1] if len(s) == k else 0.0 for _, s in have])
+                    for j, (h, f) in enumerate(zip(have, shard.best(asked_[i : i + at_once], k, least), strict=True), i):
+                        d, s = np.concatenate((h[0], f[0])), np.concatenate((h[1], f[1]))
+                        order = np.lexsort((d, -s))[:k]
+                        best[j] = d[order], s[order]
+            named = np.repeat(np.array(ids, dtype=np.int64), [len(d) for d, _ in best])
+            yield pd.DataFrame({"query_id": named, "doc_id": np.concatenate([named[:0], *[d for d, _ in best]]), "score": np.concatenate([np.empty(0), *[s for _, s in best]])})
+
+    found = tasks.mapInPandas(run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -135,13 +135,41 @@ def test_search_is_exact(spark, monkeypatch, shard):
     monkeypatch.setattr(search, "SHARD", shard)
     monkeypatch.setattr(search, "COMMON", shard // 8)
     monkeypatch.setattr(search, "BLOCK", 4)
-    if True:
-        got = search.search(docs, spark.createDataFrame(asked, "query_id long, text string"), k=5)
-        got = sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in got.collect())
+    monkeypatch.setattr(search, "TASK_QUERIES", 2)
+    got = search.search(docs, spark.createDataFrame(asked, "query_id long, text string"), k=5)
+    got = sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in got.collect())
     want = [(q, r, d, round(s, 6)) for q, r, d, s in search.brute_force(list(enumerate(texts)), asked, 5)]
     assert got == want
 
 
+def test_search_of_odd_rows(spark):
+    texts = ["a b c", "a b c", "a b", None, "", "b " * 50_000 + "q", "c q"] + [f"a w{i}" for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, "a b c"), (None, "a b c"), (40, "a b c")]
+    docs = spark.createDataFrame([(i, t, "own", "own") for i, t in rows], "doc_id long, text string, rank string, score string")
+    asked = [(7, "a b c"), (7, "a b c"), (None, "a"), (8, None), (9, "q " * 30_000)]
+    got = search.search(docs, spark.createDataFrame([(i, t, "own") for i, t in asked], "query_id long, text string, rank string"), k=6)
+    got = sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in got.collect())
+    assert got == [(q, r, d, round(s, 6)) for q, r, d, s in search.brute_force([r for r in rows if r[0] is not None], [(7, "a b c"), (9, asked[4][1])], 6)]
+    assert [d for q, _, d, _ in got if q == 7][:4] == [0, 1, 1, 40]
+
+
+def test_search_skips_postings():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices([f"{'xyz'[i % 3]}{j}" for j in range(300)], k=rng.choice([5, 30]))) for i in range(3000)]
+    bags, n = search.bags(texts), len(texts)
+    average = sum(int(c.sum()) for _, c in bags) / n
+    df = Counter(t for b, _ in bags for t in b.tolist())
+    asked = [(t, np.array([c * math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) for x, c in zip(t.tolist(), k.tolist(), strict=True)])) for t, k in bags[:60]]
+    shard = search.Shard(search.Shard.arrays(list(range(n)), bags, average, 8), 8, 20)
+    got = shard.best(asked, 5, np.zeros(60))
+    want = search.brute_force(list(enumerate(texts)), list(enumerate(texts[:60])), 5)
+    assert [(q, int(d), round(float(s), 6)) for q, (ds, ss) in enumerate(got) for d, s in zip(ds, ss, strict=True)] == [(q, d, round(s, 6)) for q, _, d, s in want]
+    assert shard.skipped > shard.scored > 0
+    before = shard.scored
+    again = shard.best(asked, 5, np.array([s[-1] for _, s in got]))
+    assert all((a[0] == b[0]).all() for a, b in zip(got, again, strict=True)) and shard.scored - before <= before
+
+
 def test_search_of_nothing(spark):
     q = spark.createDataFrame([(1, "a b")], "query_id long, text string")
     assert search.search(empty(spark), q).count() == 0
