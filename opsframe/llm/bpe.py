@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+import zlib
 
 import numpy as np
 
+from .common import cached
+
 #: The split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,7 +57,6 @@ class ByteBpe:
         return np.asarray(self._slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
-@lru_cache(maxsize=2)
 def worker_bpe(spec: bytes) -> ByteBpe:
     """One a worker: an encoder holds tens of MB, and a worker runs many tasks."""
-    return ByteBpe(spec)
+    return cached("bpe", f"{zlib.crc32(spec)}-{len(spec)}", lambda: ByteBpe(spec))

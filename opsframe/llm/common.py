@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
@@ -30,23 +30,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-@lru_cache(maxsize=8)
-def _own_dir(app: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="opsframe-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where none is set and all runs in one process."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local") or "cluster" in conf.get("spark.master", ""):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _own_dir(spark.sparkContext.applicationId)
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/opsframe-{uuid.uuid4().hex}/{name}"
+    """A new place in the folder that the cluster shares."""
+    return f"{shared_folder(spark)}/opsframe-{uuid.uuid4().hex}/{name}"
 
 
 def few_files(df: DataFrame, rows: int) -> DataFrame:
@@ -70,17 +56,17 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, native: bool
     return _through_arrow(df, path, lambda batches: batches, df.schema)
 
 
-def map_to_table(df: DataFrame, f: ArrowMap, schema: str, name: str, rows: int | None = None) -> DataFrame:
-    """materialize(df.mapInArrow(f, schema)), where the worker that runs f writes its file too."""
+def map_to_table(df: DataFrame, f: ArrowMap, schema: str, name: str, rows: int | None = None, owner: str = "") -> DataFrame:
+    """materialize(df.mapInArrow(f, schema)), where the worker that runs f writes its file too. owner: whose cached() things f uses."""
     path = fresh_path(df.sparkSession, name)
     df = df if rows is None else few_files(df, rows)
     if not path.startswith("file:"):
         df.mapInArrow(f, schema).write.parquet(path)
         return df.sparkSession.read.schema(schema).parquet(path)
-    return _through_arrow(df, path, f, schema)
+    return _through_arrow(df, path, f, schema, owner)
 
 
-def _through_arrow(df: DataFrame, path: str, f: ArrowMap, schema) -> DataFrame:
+def _through_arrow(df: DataFrame, path: str, f: ArrowMap, schema, owner: str = "") -> DataFrame:
     spark = df.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +74,7 @@ def _through_arrow(df: DataFrame, path: str, f: ArrowMap, schema) -> DataFrame:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        trim()
+        release(owner)
         out, file = None, f"{path}/part-{uuid.uuid4().hex}.parquet"
         for b in f(batches):
             if b.num_rows:
@@ -105,11 +91,25 @@ def _through_arrow(df: DataFrame, path: str, f: ArrowMap, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
 
-def trim() -> None:
-    """Give a worker's freed memory back: workers live on and run other operators' tasks."""
+_cache: dict[str, dict[str, Any]] = {}
+
+
+def cached(owner: str, key: str, make: Callable[[], Any]) -> Any:
+    """make() once a worker and key. A worker lives on and runs other operators' tasks: it keeps what the
+    last owner made for one key, and nothing of others."""
+    if owner not in _cache or key not in _cache[owner]:
+        release()
+        _cache[owner] = {key: make()}
+    return _cache[owner][key]
+
+
+def release(owner: str = "") -> None:
+    """Drop what a worker has cached for others than owner, and give freed memory back."""
     import ctypes
     import gc
 
+    for other in [k for k in _cache if k != owner]:
+        del _cache[other]
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)

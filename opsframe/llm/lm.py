@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, small_batches
+from .common import cached, fresh_path, materialize, small_batches
 from .warc import store
 from .wordhash import word_hashes
 
@@ -269,18 +269,6 @@ def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-_loaded: dict[str, object] = {}
-
-
-def _once(key: str, make):
-    """make() once a worker and key; one model at a time is kept."""
-    if key not in _loaded:
-        if len(_loaded) > 3:
-            _loaded.clear()
-        _loaded[key] = make()
-    return _loaded[key]
-
-
 def _words_level(train: DataFrame, folder: str, shards: int) -> list[tuple]:
     """Rows (shard, file, words, tokens) of level 1."""
 
@@ -360,7 +348,7 @@ def _bigram_level(train: DataFrame, folder: str, words: list[str], total: int, s
     sent = train.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = _once(words[0] if words else "", lambda: Words(sent.value))
+        level = cached("lm", words[0] if words else "", lambda: Words(sent.value))
         held, n = [], 0
 
         def send() -> pd.DataFrame:
@@ -444,7 +432,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("struct<n_tokens: long, n_known: long, base_score: double, score: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        words, pairs = _once(key + "/score", lambda: (Words(m.words), Bigrams(m.bigrams, m.per, m.n)))
+        words, pairs = cached("lm", key + "/score", lambda: (Words(m.words), Bigrams(m.bigrams, m.per, m.n)))
         lowest = math.log10(0.5 / (m.tokens + 0.5 * (m.n + 1)))
         for b in batches:
             hashes, sizes = token_hashes(b)

@@ -7,15 +7,22 @@ shingles come first, so that inverted lists stay short and a passage or phrase t
 share leads to no list at all. Commonness is the log of a bucket's count over all documents, in a
 table of fixed size; a bucket's collisions change the order and so the speed, never the result.
 
-Equal sets are one node. Inverted lists of retained values give overlaps. Linked nodes share either a
-list of more than SMALL nodes, or SHARED shorter ones. Of the shorter ones pairs are counted; in the
-longer ones
+Equal sets are one node. Inverted lists of retained values give overlaps. A value is early in a node if
+it is among its first n - ceil(2 t n / (1 + t)) + SHARED values. Of the first SHARED values that linked
+nodes share, all are early in the smaller node: if it had more values before one of them, too few were
+left to share. So only pairs of which one has the value early count, and a list where it is early in
+no node is dropped: pages that share a template but have more than a ninth of shingles of their own
+make no pair, whatever their number.
+
+Linked nodes share either a list of more than SMALL nodes, or SHARED shorter ones. Of the shorter ones
+pairs are counted; in the longer ones
 1. a node is compared with the head that it shares most lists with;
 2. in the lists that still have several components, with a node of the largest component, another
    one in each list;
-3. in those that have several components even then, with all nodes of other components.
+3. in those that have several components even then, with the nodes of other components.
 So a large group of near copies takes a few comparisons a node, not one a pair, and yet each pair of a
-list is compared or already known to be in one component. Pairs are first held to two bounds that
+list that can be linked is compared or already known to be in one component. Lists of values that are
+common are dealt to many tasks, each with a head of its own. Pairs are first held to two bounds that
 lose no link, by sizes and by parity bitmaps, then to the union-sketch estimate, from the SKETCH least
 hashes of both; the exact Jaccard of the full sets decides. The estimate's bar lies so low that a pair at t passes but for a chance of about 1e-9.
 """
@@ -30,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_files, map_to_table, materialize, small_batches, trim
+from .common import few_files, map_to_table, materialize, release, small_batches
 from .graph import components
 from .wordhash import mix, word_hashes
 
@@ -41,6 +48,8 @@ if TYPE_CHECKING:
 BUCKET_BITS, CHUNK_BITS, HELD = 25, 6, 1 << 19
 #: Longest list whose pairs are counted, and how many retained values linked nodes share at least.
 SMALL, SHARED = 8, 3
+#: Levels of commonness from which a value's list is dealt to several tasks, of about 2**(HOT - 2) nodes each.
+HOT = 12
 #: Values of a union sketch, and the share of it that both must have, below t.
 SKETCH, SLACK = 64, 0.35
 #: Ids that are broadcast at most, 8 bytes each.
@@ -50,7 +59,7 @@ WORDS = 16
 BITS = [f"b{i}" for i in range(WORDS)]
 
 
-def shingle_sets(texts: Sequence[str | None], width: int = 2) -> list[np.ndarray]:
+def shingle_sets(texts: Sequence[str | None], width: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of `width` words, A-Z lower-cased; fewer words are one run; none without words."""
     out = []
     for h in word_hashes(texts):
@@ -70,6 +79,11 @@ def retained(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + SHARED)
 
 
+def early(n: int, percent: int) -> int:
+    """In how many of its first values a set of n can meet a set that is no smaller: see above."""
+    return n - -(-2 * percent * n // (100 + percent)) + SHARED
+
+
 def _commonness(docs: DataFrame, width: int) -> bytes:
     """The level of each bucket of shingle hashes, bits of its count up to 15; two levels a byte."""
     part = 1 << BUCKET_BITS - CHUNK_BITS
@@ -77,7 +91,7 @@ def _commonness(docs: DataFrame, width: int) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        trim()
+        release()
         held: list[np.ndarray] = []
 
         def send() -> pa.RecordBatch:
@@ -123,7 +137,7 @@ def _level(packed: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
-    """doc_id, n, sig (of the whole set), kept (retained values), sketch (least hashes, 4 bytes each), b0 ... (parity bitmap)."""
+    """doc_id, n, sig (of the whole set), kept (retained values in their order; the lowest bit tells those that aren't early), sketch (least hashes, 4 bytes each), b0 ... (parity bitmap)."""
     sent = docs.sparkSession.sparkContext.broadcast(_commonness(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +151,9 @@ def _sketches(docs: DataFrame, width: int, percent: int, rows: int) -> DataFrame
             for s in sets:
                 order = _level(packed, s >> np.uint64(64 - BUCKET_BITS)).astype(np.uint64) << np.uint64(57) | s >> np.uint64(7)
                 k = retained(len(s), percent)
-                kept.append((np.partition(order, k - 1)[:k] if k else order).view(np.int64))
+                order = np.sort(np.partition(order, k - 1)[:k]) if k else order
+                order = order & ~np.uint64(1) | (np.arange(k) >= early(len(s), percent)).astype(np.uint64)
+                kept.append(order.view(np.int64))
                 odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
             ends = np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int32)
@@ -151,58 +167,79 @@ def _sketches(docs: DataFrame, width: int, percent: int, rows: int) -> DataFrame
                 ["doc_id", "n", "sig", "kept", "sketch", *BITS],
             )
 
-    return map_to_table(docs, run, "doc_id long, n long, sig binary, kept array<long>, sketch binary, " + ", ".join(f"{b} long" for b in BITS), "sketches", rows)
+    made = map_to_table(docs, run, "doc_id long, n long, sig binary, kept array<long>, sketch binary, " + ", ".join(f"{b} long" for b in BITS), "sketches", rows)
+    sent.unpersist()
+    return made
 
 
-def _lists(nodes: DataFrame, rows: int | None = None) -> DataFrame:
-    """Inverted lists of two nodes or more. Of a list of up to SMALL nodes (null, a, b) for each pair, a < b;
-    of a longer one (value, node, head) for each node, where the head is the smallest one.
+def _lists(nodes: DataFrame, rows: int) -> DataFrame:
+    """Inverted lists of two nodes or more that hold a value early. Of a list of up to SMALL nodes (null, a, b, true) for
+    each pair of which one has it early; of a longer one (value, node, head, early) for each node, where the head is the
+    smallest node that has it early.
 
-    Lists are read as a sorted stream, so that no list has to fit in memory.
+    Lists are read as a sorted stream, so that no list has to fit in memory. The list of a common value is dealt by
+    node to several parts, all of them in the longer form.
     """
-    post = nodes.select(F.explode("kept").alias("value"), F.col("doc_id").alias("node"))
-    post = post.repartition("value").sortWithinPartitions("value", "node")
+    post = nodes.select(F.explode("kept").alias("v"), F.col("doc_id").alias("node"))
+    level = F.shiftright("v", 57)
+    # counts end at the top level: there may be as many nodes as rows
+    parts = F.when(level >= 15, F.lit(max(32, rows >> HOT))).otherwise(F.pow(F.lit(2), level - (HOT - 2)).cast("long"))
+    part = F.when(level >= HOT, F.pmod(F.xxhash64("node"), parts)).otherwise(-1)
+    post = post.withColumn("part", part.cast("int")).withColumn("value", F.shiftright("v", 1))
+    # in order of v, nodes that have the value early come first
+    post = post.repartition("value", "part").sortWithinPartitions("value", "part", "v", "node").select("v", "part", "node")
 
     def made(v: np.ndarray | None, node: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
         import pyarrow as pa
 
-        return pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()) if v is None else pa.array(v), pa.array(node), pa.array(head)], ["value", "node", "head"])
+        first = np.ones(len(node), dtype=bool) if v is None else v & 1 == 0
+        return pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()) if v is None else pa.array(v >> 1), pa.array(node), pa.array(head), pa.array(first)], ["value", "node", "head", "early"])
 
-    def whole(v: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def new(v: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return np.append(True, (v[1:] >> 1 != v[:-1] >> 1) | (part[1:] != part[:-1]))
+
+    def whole(v: np.ndarray, part: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(v):
             return
-        at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        at = np.flatnonzero(new(v, part))
         size = np.diff(np.append(at, len(v)))
         of = np.repeat(size, size)
-        if (big := of > SMALL).any():
+        some = np.repeat(v[at] & 1 == 0, size)
+        if (big := (some & (of > SMALL)) | (part >= 0)).any():
             yield made(v[big], node[big], np.repeat(node[at], size)[big])
-        v, node = v[~big], node[~big]
+        on = some & ~big
+        v, node = v[on], node[on]
         for d in range(1, min(SMALL, len(v))):
-            same = v[d:] == v[:-d]
+            same = (v[d:] >> 1 == v[:-d] >> 1) & (v[:-d] & 1 == 0)
             if same.any():
                 yield made(None, node[:-d][same], node[d:][same])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = node = np.empty(0, dtype=np.int64)
-        open_value, head = None, None  # a long list of which rows are out already
+        names, held = ("v", "part", "node"), [np.empty(0, dtype=t) for t in (np.int64, np.int32, np.int64)]
+        opened, head = None, None  # a long list of which rows are out already, and its head; none: rows are left out
         for b in batches:
-            v, node = np.concatenate((v, b.column("value").to_numpy())), np.concatenate((node, b.column("node").to_numpy()))
-            if open_value is not None and len(v):
-                k = len(v) if (v == open_value).all() else int(np.argmax(v != open_value))
-                yield made(v[:k], node[:k], np.full(k, head))
-                v, node = v[k:], node[k:]
+            v, part, node = (np.concatenate((x, b.column(c).to_numpy())) for x, c in zip(held, names, strict=True))
+            if opened is not None and len(v):
+                other = np.flatnonzero((v >> 1 != opened[0]) | (part != opened[1]))
+                k = int(other[0]) if len(other) else len(v)
+                if head is not None and k:
+                    yield made(v[:k], node[:k], np.full(k, head))
+                v, part, node = v[k:], part[k:], node[k:]
+            held = [v, part, node]
             if not len(v):
                 continue
-            last = len(v) - int(np.argmax(v[::-1] != v[-1])) if (v != v[-1]).any() else 0
-            yield from whole(v[:last], node[:last])
-            v, node, open_value = v[last:], node[last:], None
+            last = int(np.flatnonzero(new(v, part))[-1])
+            yield from whole(v[:last], part[:last], node[:last])
+            v, part, node, opened = v[last:], part[last:], node[last:], None
             if len(v) > SMALL:
-                open_value, head = v[0], node[0]
-                yield made(v, node, np.full(len(v), head))
-                v, node = v[:0], node[:0]
-        yield from whole(v, node)
+                opened, head = (v[0] >> 1, part[0]), node[0] if v[0] & 1 == 0 or part[0] >= 0 else None
+                if head is not None:
+                    yield made(v, node, np.full(len(v), head))
+                v, part, node = v[:0], part[:0], node[:0]
+            held = [v, part, node]
+        yield from whole(*held)
 
-    return map_to_table(post, run, "value long, node long, head long", "lists", rows)
+    return map_to_table(post, run, "value long, node long, head long, early boolean", "lists", rows)
 
 
 def _near(percent: int, left: str = "x", right: str = "y") -> Column:
@@ -265,17 +302,32 @@ def _linked(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int,
     return map_to_table(both(pairs, sets, "s"), only(alike), "a long, b long", "links", rows)
 
 
-def _mixed(lists: DataFrame, groups: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(value, node, c: component) of the lists with several components, and (value, main: the largest of them)."""
+def _mixed(lists: DataFrame, groups: DataFrame, rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """(value, node, early, c: component) of the lists with several components, and (value, main: the largest of them); none if there are none."""
     of = groups.select("node", F.col("component").alias("c"))
     placed = lists.join(of, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    sizes = placed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("value").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("m")).where("m > 1").select("value", "main")
-    main = materialize(main, "main", rows)
+    sizes = placed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k"), F.max("early").alias("early"))
+    main = sizes.groupBy("value").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("m"), F.max("early").alias("early"))
+    main = materialize(main.where("m > 1 and early").select("value", "main"), "main", rows)
+    if main.isEmpty():
+        return None
     return materialize(placed.join(main.select("value"), "value", "left_semi"), "placed", rows), main
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of left (value, x, cx, ex: early, main) and right (value, y, cy, ey) in one list and different components, that can be linked.
+
+    Where right's component isn't main, right is also in left, and each pair is taken once; main may be null.
+
+    Rows never meet where neither has the value early.
+    """
+    met = left.where("ex").join(right, "value").unionByName(left.where("not ex").join(right.where("ey"), "value")).where("cx <> cy and (main is null or cy = main or x < y)").select("x", "y", "ex", "ey")
+    met = met.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y")
+    first = (F.col("ex") & (F.col("xn") <= F.col("yn"))) | (F.col("ey") & (F.col("yn") <= F.col("xn")))
+    return met.where(first & _near(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     Documents link if 100 * intersection >= percent * union of their sets of `width`-word shingles.
@@ -293,35 +345,36 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     firsts = some.groupBy("sig").agg(F.min("doc_id").alias("node"))
     nodes = some.join(firsts, "sig").where("doc_id = node")
     found = _lists(nodes.select("doc_id", "kept"), rows)
-    lists = found.where("value is not null")
+    lists = found.where("value is not null").select("value", "node", "head", "early")
 
     sides = some.select("doc_id", "n", *BITS)
     # 1: overlaps in short lists, and the head that a node shares most long lists with
-    short = found.where("value is null").groupBy(F.col("node").alias("x"), F.col("head").alias("y")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARED)
+    short = found.where("value is null").groupBy(F.least("node", "head").alias("x"), F.greatest("node", "head").alias("y")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARED)
     short = short.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y").where(_near(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     votes = lists.where("node <> head").groupBy(F.col("node").alias("y"), F.col("head").alias("x")).agg(F.count(F.lit(1)).alias("c"))
     votes = votes.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y").where(_near(percent))
     best = votes.groupBy("y").agg(F.max(F.struct(F.col("c"), (-F.col("x")).alias("x")))["x"].alias("x"))
-    tried = materialize(best.select((-F.col("x")).alias("a"), F.col("y").alias("b")).union(short).distinct(), "tried", rows)
+    best = best.select((-F.col("x")).alias("x"), "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    tried = materialize(best.union(short).distinct(), "tried", rows)
     links = _linked(tried, docs, made, width, percent, rows)
     groups = components(links, rows)
-    # 2: in each list that has several components still, a node of the largest one
-    placed, main = _mixed(lists.select("value", "node"), groups, rows)
-    pivot = placed.join(main, "value").where("c = main").groupBy("value").agg(F.min_by("node", F.xxhash64("value", "node")).alias("x"))
-    pairs = placed.join(main, "value").where("c <> main").select("value", F.col("node").alias("y")).join(pivot, "value").select("x", "y").distinct()
-    pairs = pairs.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y").where(_near(percent))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(tried, ["a", "b"], "left_anti")
-    links = links.union(_linked(pairs, docs, made, width, percent, rows))
-    groups = components(links.union(groups.select("component", "node")), rows)
-    # 3: what is left, exactly: the nodes outside a list's largest component with all nodes of others
-    placed, main = _mixed(placed.select("value", "node"), groups, rows)
-    placed = placed.join(main, "value")
-    rest = placed.where("c <> main").select("value", F.col("node").alias("x"), F.col("c").alias("cx"), "main").join(_named(sides, "x"), "x")
-    other = placed.select("value", F.col("node").alias("y"), F.col("c").alias("cy")).join(_named(sides, "y"), "y")
-    pairs = rest.join(other, "value").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _near(percent))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _linked(pairs, docs, made, width, percent, rows)
-    groups = components(more.union(groups.select("component", "node")), rows)
+    # 2: in each list that has several components still, a node of the largest one, if possible one that has the value early
+    if mixed := _mixed(lists.select("value", "node", "early"), groups, rows):
+        placed, main = mixed
+        pivot = placed.join(main, "value").where("c = main").groupBy("value").agg(F.min_by(F.struct("node", "early"), F.struct(~F.col("early"), F.xxhash64("value", "node"))).alias("p"))
+        pivot = pivot.select("value", F.col("p.node").alias("x"), F.col("p.early").alias("ex")).join(main, "value").select("value", "x", F.col("main").alias("cx"), "ex", F.lit(None).cast("long").alias("main"))
+        named = placed.select("value", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("early").alias("ey"))
+        pairs = _pairs(pivot, named, sides, percent).join(tried, ["a", "b"], "left_anti")
+        more = _linked(pairs, docs, made, width, percent, rows)
+        groups = components(more.union(groups.select("component", "node")), rows)
+        # 3: what is left, exactly: the nodes outside a list's largest component with nodes of others
+        if mixed := _mixed(placed.select("value", "node", "early"), groups, rows):
+            placed, main = mixed
+            named = placed.select("value", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("early").alias("ey"))
+            rest = placed.join(main, "value").where("c <> main").select("value", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("early").alias("ex"), "main")
+            pairs = _pairs(rest, named, sides, percent).join(tried, ["a", "b"], "left_anti")
+            more = _linked(pairs, docs, made, width, percent, rows)
+            groups = components(more.union(groups.select("component", "node")), rows)
 
     node_of = firsts.join(groups, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

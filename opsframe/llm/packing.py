@@ -11,8 +11,10 @@ holds more than a bucket of pieces, and the packing is the same for any number o
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -20,35 +22,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import worker_bpe
-from .common import few_files, materialize, small_batches
+from .common import few_files, map_to_table, materialize, small_batches
 
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
+if TYPE_CHECKING:
+    import pyarrow as pa
 
+    from .common import ArrowMap
 
-def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """A row per piece: doc_id, piece (from 0), start, length, ids (little-endian uint32).
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
-    A document is its ids, then end_id; null text counts as empty, so it is one piece of one id.
-    Only documents above the capacity are cut; the first piece takes the remainder. Repeated rows
-    and null ids are packed like any other row. Other columns are ignored.
-    """
+
+def _encoder(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, digests: bool) -> tuple[DataFrame, ArrowMap]:
     small_batches(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer, "rb").read())
+    with open(tokenizer, "rb") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = worker_bpe(spec.value)
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.append(bpe.encode(text or ""), np.uint32(end_id)).astype("<u4")
                 at, first = 0, len(ids) % capacity or capacity
                 for k, end in enumerate(range(first, len(ids) + 1, capacity)):
-                    out.append((doc, k, at, end - at, ids[at:end].tobytes()))
+                    raw = ids[at:end].tobytes()
+                    out.append((doc, k, at, end - at, zlib.crc32(raw) if digests else raw))
                     at = end
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"])
-            yield made.assign(doc_id=made["doc_id"].astype("Int64"))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64() if digests else pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32" if digests else "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, PIECES)
+
+def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """A row per piece: doc_id, piece (from 0), start, length, ids (little-endian uint32).
+
+    A document is its ids, then end_id; null text counts as empty, so it is one piece of one id.
+    Only documents above the capacity are cut; the first piece takes the remainder. Repeated rows
+    and null ids are packed like any other row. Other columns are ignored.
+    """
+    rows, run = _encoder(docs, tokenizer, capacity, end_id, digests=False)
+    return rows.mapInArrow(run, PIECES)
+
+
+def encode_digests(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, rows: int | None = None) -> DataFrame:
+    """encode_pieces() with ids_crc32, the unsigned crc32 of a piece's ids, in place of ids, as a table in the shared folder."""
+    some, run = _encoder(docs, tokenizer, capacity, end_id, digests=True)
+    return map_to_table(some, run, PIECES.replace("ids binary", "ids_crc32 long"), "pieces", rows, owner="bpe")
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -104,8 +126,10 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, rows: int | None = None) -> DataFrame:
-    """pieces (doc_id, piece, length and any other columns) with sequence_id and offset added; rows: about how many there are, for the number of files.
+def pack(pieces: DataFrame, capacity: int = 2048, rows: int | None = None, stored: bool = False) -> DataFrame:
+    """pieces (doc_id, piece, length and any other columns) with sequence_id and offset added.
+
+    rows: about how many there are, for the number of files. stored: pieces is a table already; else it is written to one, as it is read several times.
 
     Sequences hold at most `capacity`, offsets are gapless from 0. Equal lengths are ranked by
     (bucket, doc_id, piece). Lengths outside 1..capacity raise. No piece gives no sequence.
@@ -113,11 +137,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows: int | None = None) -> Da
     spark = pieces.sparkSession
     keys = [c for c in ("doc_id", "piece") if c in pieces.columns]
     tag = "__bucket"
-    # a hot length is dealt over many buckets; n is known only after the pieces are written
-    pieces = materialize(pieces.withColumn(tag, F.pmod(F.xxhash64(*keys), F.lit(1 << 20))), "pieces", rows)
+    # a hot length is dealt over many buckets
+    pieces = pieces if stored else materialize(pieces, "pieces", rows)
     n = pieces.count()
-    buckets = max(64, n >> 14)
-    pieces = pieces.withColumn(tag, F.pmod(tag, F.lit(buckets)))
+    pieces = pieces.withColumn(tag, F.pmod(F.xxhash64(*keys), F.lit(max(64, n >> 14))))
     per = pieces.groupBy("length", tag).agg(F.count(F.lit(1)).alias("__n"))
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(plan(counts, capacity))

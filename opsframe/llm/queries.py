@@ -17,8 +17,8 @@ def tokenizer(name: str) -> str:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.encode_pieces(docs, tokenizer("byte_bpe_50k.json"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), rows=docs.count())
+    n = docs.count()
+    return packing.pack(packing.encode_digests(docs, tokenizer("byte_bpe_50k.json"), rows=n), rows=n, stored=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

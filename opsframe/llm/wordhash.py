@@ -22,8 +22,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-@lru_cache(maxsize=2)
 def _tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kept for chunks of usual size; a longer text gets tables of its own, which go with it."""
+    return _usual() if size <= CHUNK + 2 else _made(size)
+
+
+@lru_cache(maxsize=1)
+def _usual() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return _made(CHUNK + 2)
+
+
+def _made(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R)) | np.uint64(1)
     space = np.zeros((2, 256), dtype=bool)
     space[0, [0x20, *range(0x09, 0x0E)]] = True
@@ -57,7 +66,7 @@ def word_hashes(texts: Sequence[str | None], letters: bool = False) -> list[np.n
         sizes = np.array([len(r) + 1 for r in raws[lo:hi]])
         raw = np.frombuffer(b" ".join([b"", *raws[lo:hi], b""]), dtype=np.uint8)
         n = len(raw)
-        values, space, up, down = _tables(max(CHUNK + 2, 1 << (n - 1).bit_length()))
+        values, space, up, down = _tables(n)
         blank = space[int(letters)][raw]
         edge = np.flatnonzero(blank[1:] != blank[:-1])
         # a word's first byte is at start + 1, its last one at end

@@ -298,10 +298,10 @@ def test_decontaminate(spark, monkeypatch, broadcast):
 # --- 7 ---------------------------------------------------------------------------------------------
 
 
-def brute_groups(texts):
+def brute_groups(texts, width=2):
     def sh(t):
         w = (t or "").encode().lower().split()
-        return {(x,) for x in w} if len(w) == 1 else set(zip(w, w[1:], strict=False))
+        return {tuple(w)} if 0 < len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
 
     sets = [sh(t) for t in texts]
     root = list(range(len(texts)))
@@ -319,7 +319,8 @@ def brute_groups(texts):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(spark, width):
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
 
@@ -333,12 +334,36 @@ def test_near_duplicates(spark):
     texts = [None, "", "a", "A", "a b", "a b c", "b a"] + [edit(k) for k in range(18) for _ in range(12)]
     texts += [common_line + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([5, 10, 40]))) for _ in range(60)]
     texts += [" ".join(rng.choice("pqrst") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + [edit(0)] * 30
-    got = neardup.near_duplicates(documents(spark, texts).withColumn("n", common.F.lit("own"))).collect()
+    got = neardup.near_duplicates(documents(spark, texts).withColumn("n", common.F.lit("own")), width).collect()
     by = {r["doc_id"]: r for r in got}
-    assert [(by[i]["n_shingles"], by[i]["component_id"]) for i in range(len(texts))] == brute_groups(texts)
+    assert [(by[i]["n_shingles"], by[i]["component_id"]) for i in range(len(texts))] == brute_groups(texts, width)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_of_a_template_make_few_pairs(spark, monkeypatch):
+    rng, met = random.Random(9), []
+    shared = [f"t{i}" for i in range(170)]
+    texts = [" ".join(shared + [f"o{i}x{j}" for j in range(30)]) for i in range(2000)]
+    # two that are linked, and pages whose own words are those of others too
+    texts += [texts[7] + " more", texts[8] + " more words"] + [" ".join(shared + [f"p{rng.randrange(40)}" for _ in range(rng.randrange(20, 40))]) for _ in range(150)]
+    linked = neardup._linked
+    monkeypatch.setattr(neardup, "_linked", lambda pairs, *more: (met.append(pairs.count()), linked(pairs, *more))[1])
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(2002)] == [*range(2000), 7, 8] and sum(met) <= 3 * len(texts)
+    late = range(2002, 2152)
+    want = brute_groups([texts[i] for i in late], 5)
+    assert [got[i] for i in late] == [late[g] for _, g in want]
+
+
+def test_near_duplicates_of_hot_values(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[: rng.randrange(70, 100)] + [f"e{rng.randrange(30)}" for _ in range(rng.randrange(8))]) for _ in range(150)]
+    monkeypatch.setattr(neardup, "HOT", 3)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, texts), 2).collect()}
+    assert [got[i] for i in range(len(texts))] == [g for _, g in brute_groups(texts)]
+
+
 def test_near_duplicates_edges(spark):
     rows = [(5, "x y z"), (5, "x y z"), (None, "x y z"), (4, "x y z"), (6, None)]
     got = neardup.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)).collect()
@@ -346,6 +371,13 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_HEAVY", 4)
+    edges = [(0, i) for i in range(1, 60)] + [(1000, i) for i in range(100, 160)] + [(59, 1000)] + [(500, 501)]
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 0 for i in [*range(1, 60), *range(100, 160), 1000]} | {501: 500}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -355,12 +387,18 @@ def test_components(spark):
 def test_lists_across_batches(spark, monkeypatch):
     monkeypatch.setattr(common, "BATCH_ROWS", 3)
     common.small_batches(spark)
-    nodes = spark.createDataFrame([(i, [v for v in range(9) if i % (v + 1) == 0]) for i in range(40)], "doc_id long, kept array<long>")
-    got = sorted(map(tuple, neardup._lists(nodes).collect()), key=str)
+    # a value's lowest bit: not early; node i has value v late if i is odd; value 8 is early in no node, value 7 is hot
+    hot = lambda v: neardup.HOT << 56 if v == 7 else 0
+    late = lambda i, v: i % 2 == 1 or v == 8
+    nodes = spark.createDataFrame([(i, [(hot(v) + v) * 2 + late(i, v) for v in range(9) if i % (v + 1) == 0]) for i in range(40)], "doc_id long, kept array<long>")
+    got = sorted(map(tuple, neardup._lists(nodes, 40).collect()), key=str)
     want = []
-    for v in range(9):
-        have = [i for i in range(40) if i % (v + 1) == 0]
-        want += [(v, i, 0) for i in have] if len(have) > neardup.SMALL else [(None, a, b) for a in have for b in have if a < b]
+    for v in range(7):
+        have = sorted([i for i in range(40) if i % (v + 1) == 0], key=lambda i: (late(i, v), i))
+        want += [(v, i, have[0], not late(i, v)) for i in have] if len(have) > neardup.SMALL else [(None, a, b, True) for k, a in enumerate(have) if not late(a, v) for b in have[k + 1 :]]
+    dealt = [r for r in got if r[0] == hot(7) + 7]
+    assert sorted((r[1], r[3]) for r in dealt) == [(i, not late(i, 7)) for i in range(40) if i % 8 == 0]
+    got = [r for r in got if r not in dealt]
     monkeypatch.undo()
     common.small_batches(spark)
     assert got == sorted(want, key=str)
