@@ -43,9 +43,9 @@ from .wordhash import word_hashes
 
 K1, B = 1.2, 0.75
 #: Documents of a shard, texts of a block, blocks that are scored first, terms with tiles.
-SHARD, BLOCK, FIRST_BLOCKS, COMMON = 16384, 32, 16, 512
+SHARD, BLOCK, FIRST_BLOCKS, COMMON = 16384, 32, 16, 1024
 #: Queries that a task asks, and how many of them at once; groups of shards at least, if there are so many shards.
-TASK_QUERIES, QUERY_BLOCK, GROUPS = 2048, 256, 12
+TASK_QUERIES, QUERY_BLOCK, GROUPS = 2048, 128, 12
 #: Hashes that a task holds before it sends their counts; relative error of single precision sums, with room.
 HELD, ERROR = 1 << 21, 1e-4
 
@@ -118,21 +118,28 @@ class Shard:
         often = often[size[often] > 1]
         self.tile_of = np.full(len(size), -1, dtype=np.int32)
         self.tile_of[often] = np.arange(len(often))
-        self.tiles = np.zeros((self.blocks, len(often), block), dtype=np.float32)
-        for k, t in enumerate(often):
-            d = self.doc[self.at[t] : self.at[t + 1]].astype(np.int64)
-            self.tiles[d // block, k, d % block] = self.impact[self.at[t] : self.at[t + 1]]
-        self.most = self.tiles.max(axis=2) if n else np.zeros((0, len(often)), dtype=np.float32)
+        # a tile has a row for each part of a common term's list in the block
+        part = _spans(self.part_at[often], self.part_at[often + 1])
+        column = np.repeat(np.arange(len(often)), self.part_at[often + 1] - self.part_at[often])
+        order = np.argsort(self.part_block[part], kind="stable")
+        part, self.column = part[order], column[order]
+        self.row_at = np.searchsorted(self.part_block[part], np.arange(self.blocks + 1))
+        self.rows = np.zeros((len(part), block), dtype=np.float32)
+        posts = _spans(self.parts[part], self.parts[part + 1])
+        self.rows[np.repeat(np.arange(len(part)), self.parts[part + 1] - self.parts[part]), self.doc[posts] % block] = self.impact[posts]
+        self.most = np.zeros((self.blocks, len(often)), dtype=np.float32)
+        self.most[self.part_block[part], self.column] = self.part_max[part]
         self.scored = self.skipped = 0
 
     @classmethod
     def arrays(cls, ids: list, docs: list[Bag], average: float, block: int = BLOCK) -> dict[str, np.ndarray]:
         """What a shard of these documents is made of."""
-        same: dict[tuple[bytes, bytes], list[int]] = {}
+        import xxhash
+
+        same: dict[bytes, tuple[np.ndarray, np.ndarray, list[int]]] = {}
         for i, (t, n) in zip(ids, docs, strict=True):
-            same.setdefault((t.tobytes(), n.tobytes()), []).append(i)
-        texts = [(np.frombuffer(t, dtype=np.uint64), np.frombuffer(n, dtype=np.int32), sorted(x)) for (t, n), x in same.items() if t]
-        del same
+            same.setdefault(xxhash.xxh3_128_digest(t.tobytes() + n.tobytes()), (t, n, []))[2].append(i)
+        texts = [(t, n, sorted(x)) for t, n, x in same.values() if len(t)]
         # the leading word is mostly a language's: texts that share many words lie together
         texts.sort(key=lambda x: (int(x[0][x[1].argmax()]), int(x[1].sum()), x[2][0]))
         length = np.array([n.sum() for _, n, _ in texts], dtype=np.float64)
@@ -163,7 +170,7 @@ class Shard:
 
     def _ask(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list]:
         """(weights of the common terms, what the maxima of the other lists add up to by query and block, each query's terms, weights, parts of the other lists and their weights)."""
-        asked = np.zeros((len(queries), self.tiles.shape[1]), dtype=np.float32)
+        asked = np.zeros((len(queries), self.most.shape[1]), dtype=np.float32)
         rest = np.zeros((len(queries), self.blocks), dtype=np.float32)
         lists = []
         for i, query in enumerate(queries):
@@ -184,13 +191,12 @@ class Shard:
         """
         n = len(lists)
         scores = np.zeros((n, self.blocks, self.block), dtype=np.float32)
-        live = live.copy()
+        live, by_term = live.copy(), np.ascontiguousarray(asked.T)
         for b in np.flatnonzero(live.any(axis=0)):
-            q = np.flatnonzero(live[:, b])
-            got = asked[q] @ self.tiles[b]
-            on = got.max(axis=1) + rest[q, b] >= least[q]
-            live[q[~on], b] = False
-            scores[q[on], b] = got[on]
+            row = slice(self.row_at[b], self.row_at[b + 1])
+            got = by_term[self.column[row]].T @ self.rows[row]
+            live[:, b] &= got.max(axis=1) + rest[:, b] >= least
+            np.multiply(got, live[:, b, None], out=scores[:, b])
         scores = scores.reshape(n, -1)
         for i, (_, _, parts, weights) in enumerate(lists):
             on = live[i][self.part_block[parts]]
@@ -288,18 +294,18 @@ def _index(docs: DataFrame, average: float, tasks: int, folder: str) -> list[str
 
 
 def _weights(queries: DataFrame, df: DataFrame, n: int) -> DataFrame:
-    """(query_id, terms, weights): the known terms of each query, sorted by hash, and (occurrences) x (idf)."""
+    """(query_id, lead, terms, weights): its leading word, the known terms of each query, and (occurrences) x (idf)."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = bags(b["text"])
-            yield pd.DataFrame({"query_id": b["query_id"], "q": [[{"term": int(t), "n": int(c)} for t, c in zip(g[0].view(np.int64), g[1], strict=True)] for g in got]})
+            yield pd.DataFrame({"query_id": b["query_id"], "lead": [int(t.view(np.int64)[c.argmax()]) if len(t) else 0 for t, c in got], "q": [[{"term": int(t), "n": int(c)} for t, c in zip(g[0].view(np.int64), g[1], strict=True)] for g in got]})
 
-    asked = queries.mapInPandas(split, "query_id long, q array<struct<term: long, n: long>>").select("query_id", F.inline("q"))
+    asked = queries.mapInPandas(split, "query_id long, lead long, q array<struct<term: long, n: long>>").select("query_id", "lead", F.inline("q"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.groupBy("query_id", "term").agg(F.max("n").alias("n")).join(df, "term").select("query_id", F.struct("term", (F.col("n") * idf).alias("weight")).alias("q"))
-    asked = asked.groupBy("query_id").agg(F.array_sort(F.collect_list("q")).alias("q"))
-    return asked.select("query_id", F.col("q.term").alias("terms"), F.col("q.weight").alias("weights"))
+    asked = asked.groupBy("query_id", "term").agg(F.max("n").alias("n"), F.min("lead").alias("lead")).join(df, "term").select("query_id", "lead", F.struct("term", (F.col("n") * idf).alias("weight")).alias("q"))
+    asked = asked.groupBy("query_id").agg(F.min("lead").alias("lead"), F.array_sort(F.collect_list("q")).alias("q"))
+    return asked.select("query_id", "lead", F.col("q.term").alias("terms"), F.col("q.weight").alias("weights"))
 
 
 def _by_block(df: DataFrame, blocks: int, name: str) -> str:
@@ -320,15 +326,16 @@ def _read(path: str, block: int, columns: list[str]):
 
 
 def _asked(path: str, block: int) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
-    """(ids, queries) of a block, sorted by id."""
-    rows = _read(path, block, ["query_id", "terms", "weights"])
-    ids, out = [], []
-    for q, t, w in zip(*(rows.column(c) for c in rows.column_names), strict=True) if rows else ():
+    """(ids, queries) of a block of queries; those with the same leading word lie together, as texts do."""
+    rows = _read(path, block, ["query_id", "terms", "weights", "lead"])
+    ids, out, lead = [], [], []
+    for q, t, w, first in zip(*(rows.column(c) for c in rows.column_names), strict=True) if rows else ():
         t = t.values.to_numpy(zero_copy_only=False).view(np.uint64)
         order = np.argsort(t)
         ids.append(q.as_py())
         out.append((t[order], w.values.to_numpy(zero_copy_only=False)[order]))
-    order = np.argsort(ids) if ids else []
+        lead.append(first.as_py())
+    order = np.lexsort((ids, lead)) if ids else []
     return [ids[i] for i in order], [out[i] for i in order]
 
 
