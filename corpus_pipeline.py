@@ -33,15 +33,20 @@ def _without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], name:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the labels teach; texts without letters or without a main language go."""
+    """Documents of a language that the labels teach, all of their columns and copies, whatever their doc_id.
+
+    Null or empty texts, texts without a letter and texts without a main language go; so does every row where
+    no row has a label. An empty table stays empty.
+    """
     out = langid.detect(docs, langid.fit(docs))
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the smallest doc_id's; of one doc_id, the least hash of the text's.
+    """One row of each group of near copies, by five-word shingles: the smallest doc_id's; of one doc_id, the least hash of the text's.
 
     A null doc_id comes last. Rows of one doc_id and text are one; with different texts they are compared each by itself.
+    Null texts and texts without words are copies of nothing. An empty table stays empty.
     """
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
         groups = neardup.near_duplicates(docs)
@@ -54,15 +59,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage. Rows are judged by their own text, also where a doc_id is null or repeats."""
+    """Documents without a benchmark passage. Rows are judged by their own text, also where a doc_id is null or repeats.
+
+    Null and empty texts have no passage and stay; repeated rows stay or go together; without items all rows stay.
+    """
     found = decontam.by_text(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("contaminated"), {"doc_id": F.col("doc_id"), "tk": text_key()}, "contaminated")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, with their sequences and offsets."""
-    pieces = packing.encode_pieces(docs, tokenizer("byte_bpe_50k.json"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), rows=docs.count())
+    """Pieces of what is left, with their sequences and offsets: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Every row gives its pieces, repeated ones and those of null ids too; a null text is the end token alone. No row gives no piece.
+    """
+    n = docs.count()
+    return packing.pack(packing.encode_digests(docs, tokenizer("byte_bpe_50k.json"), rows=n), rows=n, stored=True)
 
 
 STAGES = [("language_id", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
