@@ -506,6 +506,76 @@ def test_token_counts(spark, name):
 # --- pipeline --------------------------------------------------------------------------------------
 
 
+def assert_packed(texts, rows):
+    """rows are the pieces of texts (a list for each doc_id) by the library's ids, and fill sequences without a gap."""
+    from tokenizers import Tokenizer
+
+    t, want, seqs = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json")), Counter(), {}
+    for d, several in texts.items():
+        for text in several:
+            ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+            first, at = len(ids) % 2048 or 2048, 0
+            for k, end in enumerate(range(first, len(ids) + 1, 2048)):
+                want[(d, k, at, end - at, zlib.crc32(np.array(ids[at:end], dtype="<u4").tobytes()))] += 1
+                at = end
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    for r in rows:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == np.cumsum([0, *[n for _, n in s][:-1]]).tolist() and sum(n for _, n in s) <= 2048
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    kept = ["language_id", "near_dedup", "decontaminate"]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty(spark), SF)
+        assert out.count() == 0 and (name not in kept or out.columns == empty(spark).columns)
+    text = spark.read.parquet(f"{SF}/documents.parquet").select("text").orderBy("doc_id").first()[0]
+    rows = [(None, text), (None, text), (3, text), (3, text), (4, None), (5, ""), (6, "some " * 40_000 + "end")]
+    odd = spark.createDataFrame([(i, t, "en", "s", 0, "own", 1, True, 2, "x") for i, t in rows], DOCS + ", tk string, n long, contaminated boolean, row_number long, piece string")
+    stages = dict(corpus_pipeline.STAGES)
+    count = lambda d: Counter((r["doc_id"], r["text"]) for r in d.collect())
+    assert count(stages["language_id"](spark, odd, SF)) == Counter(r for r in rows if r[1])
+    assert stages["language_id"](spark, odd.withColumn("lang", common.F.lit(None).cast("string")), SF).count() == 0
+    assert count(stages["near_dedup"](spark, odd, SF)) == Counter({(3, text): 1, (4, None): 1, (5, ""): 1, rows[6]: 1})
+    assert count(stages["decontaminate"](spark, odd, SF)) == Counter(rows)
+    for name in kept:
+        assert stages[name](spark, odd, SF).columns == odd.columns
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    assert_packed(texts, stages["pack"](spark, odd, SF).collect())
+
+
+def test_workers_keep_no_other_operators_caches(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.pack(spark, docs, SF).count()
+    neardup.near_duplicates(docs).count()
+
+    def look(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"held": [",".join(common._cache)]})
+
+    for _ in range(6):  # a worker without a task in between keeps what it has
+        common.materialize(spark.range(0, 200, 1, 200), "ids")
+        held = {r["held"] for r in spark.range(0, 200, 1, 200).mapInArrow(look, "held string").distinct().collect()}
+        if held == {""}:
+            break
+    assert held == {""}
+    common.cached("one", "a", dict)
+    common.cached("two", "b", dict)
+    assert list(common._cache) == ["two"]
+    common.release()
+    assert not common._cache
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -522,13 +592,19 @@ def test_pipeline(spark):
     before, after = steps["near_dedup"]
     rows = {r["doc_id"]: r["text"] for r in before.collect()}
     order = sorted(rows)
-    groups = brute_groups([rows[i] for i in order])
+    groups = brute_groups([rows[i] for i in order], 5)
     assert ids(after) == {order[i] for i, (_, g) in enumerate(groups) if g == i}
     before, after = steps["decontaminate"]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = {r["doc_id"]: r["text"] for r in before.collect()}
     assert ids(after) == {i for (i, t), b in zip(rows.items(), brute_decontam(list(rows.values()), items), strict=True) if b[1] == 0}
     assert ids(steps["pack"][1]) == ids(after)
+    before, after = steps["language_id"]
+    model = langid.fit(before)
+    told = {r["doc_id"]: (model.infer(r["text"]) or [("und", 0.0)])[0] for r in before.collect()}
+    assert ids(after) == {i for i, (lang, share) in told.items() if lang != "und" and share >= corpus_pipeline.LEAST_SHARE}
+    before, after = steps["pack"]
+    assert_packed({r["doc_id"]: [r["text"]] for r in before.collect()}, after.collect())
     mixed = documents(spark, [None, "", "12 34", *[r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(40).collect()]])
     assert ids(corpus_pipeline.language(spark, mixed, SF)) == set(range(3, 43))
 
