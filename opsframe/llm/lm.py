@@ -1,20 +1,23 @@
-"""A bigram language model in Elias-Fano trie levels, trained and queried on executors.
-
-Level 1 is the sorted sequence of the words' hashes; a word's id is its rank. Level 2 holds, for each
-context, its successors' ids. A context's successors are one monotone run; runs are joined into one
-monotone sequence by adding (context's rank in its shard) x (words), and monotone pointers give each
-run's start. Both sequences, and the pointers, are Elias-Fano coded: low bits packed, high bits in
-unary. A successor is looked for inside its context's run alone. Probabilities are quantised to 8 bits
-by level; word counts are kept exact, as the base score needs them.
-
-p(w | c) = max(count - D, 0) / total(c) + backoff(c) * p(w), with absolute discounting and
-D = n1 / (n1 + 2 n2) over all bigrams; p(w) is the add-half unigram with one unknown word, so every
-context's probabilities sum to 1 but for quantisation.
-
-Building: each task counts what it reads and sends sorted, delta-coded blocks to shards; a shard's
-task merges them and writes the shard's level to the shared folder. Neither words nor bigrams ever
-reach the driver. Scoring: each worker maps the levels' files into memory, so all workers of a machine
-share the pages.
+"""An n-gram language model in Elias-Fano trie levels, trained and queried on executors.
+
+Level 1 is the sorted sequence of the words' hashes; a word's id is its rank. Level 2 holds each word's
+successors' ids, level 3 the successors of each pair of level 2, and so on up to the model's order. A
+context's successors are one monotone run; runs are joined into one monotone sequence by adding
+(context's place in the level above) x (words), and monotone pointers give each run's start. Sequences
+and pointers are Elias-Fano coded: low bits packed, high bits in unary. A successor is looked for inside
+its context's run alone, and its place there is the context of the next level. Probabilities and
+back-off weights are quantised to 8 bits by level; word counts are kept exact, as the base score needs them.
+
+p(w | c) = max(count - D, 0) / total(c) + backoff(c) * p(w | c without its first word), with absolute
+discounting and D = n1 / (n1 + 2 n2) over all n-grams of that length; p(w) is the add-half unigram with one
+unknown word. n-grams of three words or more that occur less than least_count times are left out; their
+mass goes to backoff(c), so every context's probabilities sum to 1 but for quantisation.
+
+Building: each task counts the n-grams of the full order in what it reads; shorter ones are sums over
+these, so one shuffle makes all levels. It sends small sorted tries to shards, by the first word; a
+shard's task merges them and another writes the shard's levels to the shared folder. Neither words nor
+n-grams ever reach the driver. Scoring: each worker maps the levels' files into memory, so all workers of
+a machine share the pages.
 """
 
 from __future__ import annotations
@@ -24,20 +27,26 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, fresh_path, materialize, small_batches
+from .common import cached, fresh_path, map_to_table, small_batches
 from .warc import store
 from .wordhash import word_hashes
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Fixed value: what stands for a document's end among the word hashes.
 END = 0xE2D0_F7E8_17A9_5C33
 #: Documents for each shard, tokens that a task holds before it sends their counts.
-SHARD_DOCS, HELD = 16384, 1 << 21
+SHARD_DOCS, HELD = 8192, 1 << 20
+#: Words of the longest n-grams, and how often those of three words or more occur at least.
+ORDER, LEAST_COUNT = 3, 2
 BINS = 256
 
 
@@ -293,116 +302,269 @@ def _words_level(train: DataFrame, folder: str, shards: int) -> list[tuple]:
         return pd.DataFrame({"shard": [key[0]], "file": [name], "n": [len(keys)], "total": [counts.sum()]})
 
     made = train.select("text").mapInPandas(count, _BLOCK).groupBy("shard").applyInPandas(build, "shard int, file string, n long, total long")
-    return [(r["shard"], r["file"], r["n"], r["total"]) for r in materialize(made, "words", 0).collect()]
+    return [(r["shard"], r["file"], r["n"], r["total"]) for r in made.collect()]
+
+
+class Tries:
+    """n-grams of two words and more as levels of distinct prefixes, sorted: pairs, then for each longer length
+    how many children a prefix has and the children's last words; counts of the longest."""
+
+    def __init__(self, pairs: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray):
+        self.pairs, self.levels, self.counts = pairs, levels, counts
+
+    @classmethod
+    def of(cls, pairs: np.ndarray, words: list[np.ndarray], counts: np.ndarray | None = None) -> Tries:
+        """Of n-grams, as (first word << 32 | second word) and their further words; with how often each row counts."""
+        keys, at = np.unique(pairs, return_inverse=True)
+        levels, n = [], len(keys)
+        for w in words:
+            got, at = np.unique(at.astype(np.uint64) << np.uint64(32) | w, return_inverse=True)
+            levels.append((np.bincount((got >> np.uint64(32)).astype(np.int64), minlength=n), got & np.uint64(0xFFFFFFFF)))
+            n = len(got)
+        return cls(keys, levels, np.bincount(at, weights=counts, minlength=n).astype(np.int64))
+
+    def rows(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """What of() makes the same from."""
+        pairs, words = self.pairs, []
+        for children, w in self.levels:
+            pairs, words = np.repeat(pairs, children), [np.repeat(x, children) for x in words]
+            words.append(w)
+        return pairs, words, self.counts
+
+    def cut(self, lo: int, hi: int) -> Tries:
+        """With pairs lo to hi alone."""
+        pairs, levels = self.pairs[lo:hi], []
+        for children, w in self.levels:
+            ends = np.concatenate(([0], np.cumsum(children)))
+            levels.append((children[lo:hi], w[ends[lo] : ends[hi]]))
+            lo, hi = int(ends[lo]), int(ends[hi])
+        return Tries(pairs, levels, self.counts[lo:hi])
+
+    def dump(self) -> bytes:
+        def planes(x: np.ndarray, kind: str) -> bytes:
+            x = x.astype(kind)
+            return struct.pack("<Q", len(x)) + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+        parts = [planes(np.diff(self.pairs, prepend=np.uint64(0)), "<u8")]
+        for children, w in self.levels:
+            parts += [planes(children, "<u4"), planes(w, "<u4")]
+        return zlib.compress(b"".join([*parts, planes(self.counts, "<u4")]), 1)
 
+    @classmethod
+    def load(cls, raw: bytes, order: int) -> Tries:
+        raw, at = zlib.decompress(raw), 0
+
+        def planes(kind: str) -> np.ndarray:
+            nonlocal at
+            (n,), size = struct.unpack_from("<Q", raw, at), np.dtype(kind).itemsize
+            x = np.frombuffer(raw, dtype=np.uint8, count=n * size, offset=at + 8)
+            at += 8 + n * size
+            return np.ascontiguousarray(x.reshape(size, n).T).view(kind).ravel()
+
+        pairs = np.cumsum(planes("<u8"), dtype=np.uint64)
+        levels = [(planes("<u4").astype(np.int64), planes("<u4").astype(np.uint64)) for _ in range(order - 2)]
+        return cls(pairs, levels, planes("<u4").astype(np.int64))
 
-class Bigrams:
-    """Level 2: successors of contexts, sharded by the context's id."""
+    @classmethod
+    def merge(cls, several: list[Tries]) -> Tries:
+        got = [t.rows() for t in several]
+        return cls.of(np.concatenate([g[0] for g in got]), [np.concatenate(x) for x in zip(*(g[1] for g in got), strict=True)], np.concatenate([g[2] for g in got]))
+
+    def lengths(self, none: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length from 2: (place of the prefix in the length before, for pairs the first word; last word; count), without those that end in none."""
+        counts = [self.counts]
+        for children, _ in reversed(self.levels):
+            ends = np.concatenate(([0], np.cumsum(children)))
+            sums = np.concatenate(([0], np.cumsum(counts[0])))
+            counts.insert(0, sums[ends[1:]] - sums[ends[:-1]])
+        out = [((self.pairs >> np.uint64(32)).astype(np.int64), self.pairs & np.uint64(0xFFFFFFFF), counts[0])]
+        place = np.arange(len(self.pairs))  # of each prefix among those that are left
+        for (children, w), n in zip(self.levels, counts[1:], strict=True):
+            parent, real = np.repeat(place, children), w != none
+            out.append((parent[real], w[real], n[real]))
+            place = np.where(real, np.cumsum(real) - 1, -1)
+        return out
 
-    def __init__(self, files: dict[int, str], per_shard: int, words: int):
-        self.files, self.per_shard, self.words, self.open = files, per_shard, words, {}
 
-    def shard(self, s: int):
+def windows(w: np.ndarray, sizes: np.ndarray, begin: int, none: int, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(first << 32 | second word, further words) of the n-gram whose second word is each token; begin stands before a text, none after it."""
+    n, ends = len(w), np.repeat(np.cumsum(sizes), sizes)
+    first = np.concatenate((w[:1], w[:-1]))
+    first[np.cumsum(sizes) - sizes] = begin
+    more = []
+    for j in range(1, order - 1):
+        at = np.arange(n) + j
+        more.append(np.where(at < ends, w[np.minimum(at, n - 1)], np.uint64(none)))
+    return first << np.uint64(32) | w, more
+
+
+def _level(context: np.ndarray, word: np.ndarray, count: np.ndarray, contexts: int, words: int, discount: float, least: int) -> tuple[list[bytes], np.ndarray]:
+    """(the parts of a level's file, which n-grams it has)."""
+    sums = np.bincount(context, weights=count, minlength=contexts)
+    kept = count >= least
+    context, word, count = context[kept], word[kept], count[kept]
+    types = np.bincount(context, minlength=contexts)
+    seen = np.bincount(context, weights=count, minlength=contexts)
+    pcode, ptable = quantise(np.log10((count - discount) / sums[context]))
+    bcode, btable = quantise(np.log10(np.where(types > 0, (sums - seen + discount * types) / np.maximum(sums, 1), 1.0)))
+    pad = lambda t: np.pad(t, (0, BINS - len(t))).astype("<f8").tobytes()
+    pointers = EliasFano.encode(np.concatenate(([0], np.cumsum(types))).astype(np.uint64))
+    runs = EliasFano.encode(context.astype(np.uint64) * np.uint64(words) + word)
+    return [struct.pack("<QQ", len(pcode), len(bcode)) + pointers + runs + pad(ptable) + pad(btable), pcode.tobytes(), bcode.tobytes()], kept
+
+
+class Level:
+    """Successors of a shard's contexts."""
+
+    def __init__(self, raw: np.ndarray, at: int):
+        n, m = struct.unpack("<QQ", raw[at : at + 16].tobytes())
+        self.pointers, at = EliasFano.at(raw, at + 16)
+        self.runs, at = EliasFano.at(raw, at)
+        tables = raw[at : at + 16 * BINS].view("<f8")
+        at += 16 * BINS
+        self.probs, self.backs, self.pcode = tables[:BINS], tables[BINS:], raw[at : at + n]
+        at += n + (-n % 8)
+        self.bcode, self.end = raw[at : at + m], at + m + (-m % 8)
+
+    def score(self, context: np.ndarray, word: np.ndarray, base: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 p(word | context), place of the n-gram or -1), where base has log10 p without the context's first word; words below 0 are unknown."""
+        out, place = base.copy(), np.full(len(word), -1, dtype=np.int64)
+        at = np.flatnonzero((context >= 0) & (context + 1 < self.pointers.n))
+        lo, hi = self.pointers.get(context[at]).astype(np.int64), self.pointers.get(context[at] + 1).astype(np.int64)
+        seen = hi > lo
+        at, lo, hi = at[seen], lo[seen], hi[seen]
+        w, c = word[at], context[at]
+        k, hit = self.runs.find((c * words + np.maximum(w, 0)).astype(np.uint64), lo, hi)
+        hit &= w >= 0
+        low = base[at] + self.backs[self.bcode[c]]
+        low[hit] = np.log10(10.0 ** low[hit] + 10.0 ** self.probs[self.pcode[k[hit]]])
+        out[at], place[at[hit]] = low, k[hit]
+        return out, place
+
+
+class Ngrams:
+    """Levels 2 and up, sharded by the first word's id."""
+
+    def __init__(self, files: dict[int, str], per_shard: int, words: int, order: int):
+        self.files, self.per_shard, self.words, self.order, self.open = files, per_shard, words, order, {}
+
+    def shard(self, s: int) -> list[Level] | None:
         if s not in self.open:
-            f = self.files.get(s)
+            f, levels, at = self.files.get(s), [], 0
             raw = _load(f) if f else None
-            if raw is None:
-                self.open[s] = None
-            else:
-                n, m = struct.unpack("<QQ", raw[:16].tobytes())
-                pointers, at = EliasFano.at(raw, 16)
-                runs, at = EliasFano.at(raw, at)
-                tables = raw[at : at + 16 * BINS].view("<f8")
-                at += 16 * BINS
-                self.open[s] = pointers, runs, tables[:BINS], tables[BINS:], raw[at : at + n], raw[at + n + (-n % 8) :][:m]
+            while raw is not None and len(levels) < self.order - 1:
+                levels.append(Level(raw, at))
+                at = levels[-1].end
+            self.open[s] = levels or None
         return self.open[s]
 
-    def score(self, context: np.ndarray, word: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 p(word | context), where base has log10 p(word); ids below 0 are unknown."""
-        out = base.copy()
-        shard = np.where(context >= 0, context // self.per_shard, -1)
-        for s in np.unique(shard[shard >= 0]):
-            at = np.flatnonzero(shard == s)
-            if (got := self.shard(int(s))) is None:
-                continue
-            pointers, runs, probs, backs, pcode, bcode = got
-            c = context[at] - s * self.per_shard
-            inside = c + 1 < pointers.n
-            at, c = at[inside], c[inside]
-            lo, hi = pointers.get(c).astype(np.int64), pointers.get(c + 1).astype(np.int64)
-            seen = hi > lo
-            at, c, lo, hi = at[seen], c[seen], lo[seen], hi[seen]
-            w = word[at]
-            key = (c * self.words + np.maximum(w, 0)).astype(np.uint64)
-            k, hit = runs.find(key, lo, hi)
-            hit &= w >= 0
-            low = base[at] + backs[bcode[c]]
-            low[hit] = np.log10(10.0 ** low[hit] + 10.0 ** probs[pcode[k[hit]]])
-            out[at] = low
+    def score(self, ids: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """log10 p of each token after those before it in its text; ids below 0 are unknown, base has log10 p(word)."""
+        starts = np.cumsum(sizes) - sizes
+        before = np.concatenate((ids[:1], ids[:-1]))
+        before[starts] = self.words
+        shard = np.where(before >= 0, before // self.per_shard, -1)
+        context, out = np.where(shard >= 0, before - shard * self.per_shard, -1), base
+        for level in range(self.order - 1):
+            below, out, place = out, out.copy(), np.full(len(ids), -1, dtype=np.int64)
+            for s in np.unique(shard[context >= 0]):
+                at = np.flatnonzero((shard == s) & (context >= 0))
+                if (levels := self.shard(int(s))) is not None:
+                    out[at], place[at] = levels[level].score(context[at], ids[at], below[at], self.words)
+            # a token's place is the context of the next one
+            context, shard = (np.concatenate((np.full(min(1, len(x)), -1), x[:-1])) for x in (place, shard))
+            context[starts] = -1
         return out
 
 
-def _bigram_level(train: DataFrame, folder: str, words: list[str], total: int, shards: int) -> tuple[dict[int, str], int]:
-    """(files by shard, contexts a shard) of level 2. Contexts are word ids; `total` stands for a document's begin."""
+def _ngram_levels(train: DataFrame, folder: str, words: list[str], total: int, shards: int, order: int, least: int) -> tuple[dict[int, str], int]:
+    """(files by shard, first words a shard) of the levels from 2 on. Contexts are word ids; `total` stands for a document's begin and the id after it for what follows the end."""
+    spark = train.sparkSession
     per = -(-(total + 1) // shards)
-    sent = train.sparkSession.sparkContext.broadcast(words)
+    sent = spark.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = cached("lm", words[0] if words else "", lambda: Words(sent.value))
-        held, n = [], 0
+        level = cached("lm", words[0], lambda: Words(sent.value))
+        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        n = 0
 
         def send() -> pd.DataFrame:
-            keys, counts = np.unique(np.concatenate(held) if held else np.empty(0, dtype=np.uint64), return_counts=True)
-            return _sent(keys, counts, (keys >> np.uint64(32)).astype(np.int64) // per)
+            t = Tries.of(np.concatenate([h[0] for h in held]), [np.concatenate(x) for x in zip(*(h[1] for h in held), strict=True)])
+            shard = (t.pairs >> np.uint64(32)).astype(np.int64) // per
+            at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            return pd.DataFrame({"shard": shard[at], "grams": [t.cut(lo, hi).dump() for lo, hi in zip(at, [*at[1:], len(shard)], strict=True)]}).astype({"shard": "int32"})
 
         for b in batches:
             hashes, sizes = token_hashes(b["text"])
-            w = level.of(hashes)[0].astype(np.uint64)
-            c = np.concatenate((w[:1], w[:-1]))
-            c[np.cumsum(sizes) - sizes] = total
-            held.append(c << np.uint64(32) | w)
-            n += len(w)
+            if not len(hashes):
+                continue
+            held.append(windows(level.of(hashes)[0].astype(np.uint64), sizes, total, total + 1, order))
+            n += len(hashes)
             if n > HELD:
                 yield send()
                 held, n = [], 0
-        yield send()
+        if held:
+            yield send()
 
-    def tally(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merge(list(zip(rows["keys"], rows["n"], strict=True)))
-        return pd.DataFrame({"shard": [key[0]], "n": [len(keys)], "keys": [_block(keys, counts)], "n1": [(counts == 1).sum()], "n2": [(counts == 2).sum()]}).astype({"shard": "int32", "n": "int32"})
+    names = [f"{k}{j}" for j in range(2, order + 1) for k in ("once", "twice")]
 
-    merged = materialize(train.select("text").mapInPandas(count, _BLOCK).groupBy("shard").applyInPandas(tally, _BLOCK + ", n1 long, n2 long"), "bigrams", shards << 12)
-    n1, n2 = merged.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
-    discount = min(0.999, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        shard, held = None, []
+
+        def merged() -> pa.RecordBatch:
+            t = Tries.merge([Tries.load(x, order) for x in held])
+            held.clear()
+            stats = [int((c == k).sum()) for _, _, c in t.lengths(total + 1) for k in (1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([t.dump()], pa.binary()), *[pa.array([x], pa.int64()) for x in stats]], ["shard", "grams", *names])
+
+        for b in batches:
+            for s, raw in zip(b.column("shard").to_pylist(), b.column("grams").to_pylist(), strict=True):
+                if shard is not None and s != shard:
+                    yield merged()
+                shard = s
+                held.append(raw)
+        if held:
+            yield merged()
+
+    sent_ = train.select("text").mapInPandas(count, "shard int, grams binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    made = map_to_table(sent_, tally, "shard int, grams binary, " + ", ".join(f"{x} long" for x in names), "ngrams", shards << 12)
+    n = made.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names]).first()
+    discounts = [min(0.999, max(0.1, n[f"once{j}"] / (n[f"once{j}"] + 2 * n[f"twice{j}"]))) if n[f"once{j}"] else 0.5 for j in range(2, order + 1)]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for s, n, raw in zip(b["shard"], b["n"], b["keys"], strict=True):
-                keys, counts = _unblock(raw, n)
-                c = (keys >> np.uint64(32)).astype(np.int64) - s * per
-                w = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint64)
-                sums = np.bincount(c, weights=counts, minlength=per)
-                types = np.bincount(c, minlength=per)
-                pcode, ptable = quantise(np.log10((counts - discount) / sums[c]))
-                back = np.log10(np.where(types > 0, discount * types / np.maximum(sums, 1), 1.0))
-                bcode, btable = quantise(back)
-                pad = lambda t: np.pad(t, (0, BINS - len(t))).astype("<f8").tobytes()
-                pointers = EliasFano.encode(np.concatenate(([0], np.cumsum(types))).astype(np.uint64))
-                runs = EliasFano.encode(c.astype(np.uint64) * np.uint64(total) + w)
-                name = _save(folder, f"bigrams-{s}", [struct.pack("<QQ", len(pcode), len(bcode)) + pointers + runs + pad(ptable) + pad(btable), pcode.tobytes(), bcode.tobytes()])
-                yield pd.DataFrame({"shard": [s], "file": [name]}).astype({"shard": "int32"})
-
-    files = merged.repartition(shards, "shard").mapInPandas(build, "shard int, file string")
-    return {r["shard"]: r["file"] for r in materialize(files, "files", 0).collect()}, per
+            for s, raw in zip(b["shard"], b["grams"], strict=True):
+                parts, contexts, place = [], per, None
+                for j, (context, word, c) in enumerate(Tries.load(raw, order).lengths(total + 1)):
+                    if j == 0:
+                        context = context - s * per
+                    elif place is not None:
+                        # an n-gram that is left out is the context of none
+                        context = place[context]
+                        word, c, context = word[context >= 0], c[context >= 0], context[context >= 0]
+                    made_, kept = _level(context, word, c, contexts, total, discounts[j], least if j else 1)
+                    parts += made_
+                    contexts, place = int(kept.sum()), np.where(kept, np.cumsum(kept) - 1, -1)
+                yield pd.DataFrame({"shard": [s], "file": [_save(folder, f"ngrams-{s}", parts)]}).astype({"shard": "int32"})
+
+    files = made.select("shard", "grams").mapInPandas(build, "shard int, file string")
+    return {r["shard"]: r["file"] for r in files.collect()}, per
 
 
 class Model:
-    def __init__(self, words: list[str], n: int, tokens_: int, bigrams: dict[int, str], per: int):
-        self.words, self.n, self.tokens, self.bigrams, self.per = words, n, tokens_, bigrams, per
+    def __init__(self, words: list[str], n: int, tokens_: int, ngrams: dict[int, str], per: int, order: int):
+        self.words, self.n, self.tokens, self.ngrams, self.per, self.order = words, n, tokens_, ngrams, per, order
+
 
+def train_model(train: DataFrame, folder: str | None = None, order: int = ORDER, least_count: int = LEAST_COUNT) -> Model:
+    """The model of train's whole texts; null text counts as empty. Its size grows with the distinct n-grams of up to `order` words.
 
-def train_model(train: DataFrame, folder: str | None = None) -> Model:
-    """The model of train's whole texts; null text counts as empty. Its size grows with the distinct bigrams."""
+    n-grams of three words or more that occur less than least_count times are left out of it, but not of its counts.
+    """
+    if order < 2:
+        raise ValueError("the order is at least 2")
     spark = train.sparkSession
     small_batches(spark)
     folder = folder or fresh_path(spark, "lm")
@@ -413,10 +575,10 @@ def train_model(train: DataFrame, folder: str | None = None) -> Model:
     by = {r[0]: r[1] for r in rows}
     words = [by.get(s, empty) for s in range(shards)]
     n, total = sum(r[2] for r in rows), sum(r[3] for r in rows)
-    if n >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words")
-    files, per = _bigram_level(train, folder, words, n, shards) if n else ({}, 1)
-    return Model(words, n, total, files, per)
+    if n >= (1 << 32) - 2:
+        raise ValueError("too many distinct words")
+    files, per = _ngram_levels(train, folder, words, n, shards, order, least_count) if n else ({}, 1)
+    return Model(words, n, total, files, per, order)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -432,16 +594,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("struct<n_tokens: long, n_known: long, base_score: double, score: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        words, pairs = cached("lm", key + "/score", lambda: (Words(m.words), Bigrams(m.bigrams, m.per, m.n)))
+        words, grams = cached("lm", key + "/score", lambda: (Words(m.words), Ngrams(m.ngrams, m.per, m.n, m.order)))
         lowest = math.log10(0.5 / (m.tokens + 0.5 * (m.n + 1)))
         for b in batches:
             hashes, sizes = token_hashes(b)
             ids, counts = words.of(hashes)
             base = np.log10(counts + 0.5) - math.log10(0.5) + lowest
             starts = np.cumsum(sizes) - sizes
-            context = np.concatenate((ids[:1], ids[:-1]))
-            context[starts] = m.n
-            full = pairs.score(context, ids, base)
+            full = grams.score(ids, sizes, base)
             known = (counts > 0).astype(np.int64)
             sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (known, base, full)]
             yield pd.DataFrame({"n_tokens": sizes.astype(np.int64), "n_known": sums[0], "base_score": sums[1], "score": sums[2]})

@@ -438,32 +438,66 @@ def test_warc_round_trip(spark):
 # --- 9 ---------------------------------------------------------------------------------------------
 
 
-def test_lm_scores(spark):
+@pytest.mark.parametrize(("order", "least"), [(2, 1), (3, 1), (3, 2), (4, 2)])
+def test_lm_scores(spark, order, least):
     texts = ODD + [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()][:80]
-    train = texts[: len(texts) * 3 // 4]
+    train = texts[: len(texts) * 3 // 4] + texts[20:30]
     tok = lambda t: [*(t or "").encode().lower().split(), None]
     c = Counter(w for t in train for w in tok(t))
     n, v = sum(c.values()), len(c)
-    pairs = Counter(p for t in train for p in zip(["<s>", *tok(t)], tok(t), strict=False))
-    n1, n2 = (sum(x == k for x in pairs.values()) for k in (1, 2))
-    d = n1 / (n1 + 2 * n2)
-    sums, types = Counter(), Counter()
-    for (a, _), k in pairs.items():
-        sums[a] += k
-        types[a] += 1
-    model = lm.train_model(documents(spark, train))
+    grams = {j: Counter(tuple(x[k : k + j]) for t in train for x in [["<s>", *tok(t)]] for k in range(len(x) - j + 1)) for j in range(2, order + 1)}
+    sums, kept, discount = {}, {}, {}
+    for j, g in grams.items():
+        n1, n2 = (sum(x == k for x in g.values()) for k in (1, 2))
+        discount[j], sums[j], kept[j] = n1 / (n1 + 2 * n2), Counter(), {}
+        for x, k in g.items():
+            sums[j][x[:-1]] += k
+            if k >= (least if j > 2 else 1):
+                kept[j].setdefault(x[:-1], Counter())[x[-1]] = k
+    documents_ = documents(spark, train).drop("doc_id").withColumn("doc_id", common.F.lit(None).cast("long"))
+    model = lm.train_model(documents_, order=order, least_count=least)
     assert model.tokens == n and model.n == v
     got = lm.score(documents(spark, texts).withColumn("score", common.F.lit("own")), model).orderBy("doc_id").collect()
     for t, r in zip(texts, got, strict=True):
         base = [math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok(t)]
-        full = []
-        for a, w, b in zip(["<s>", *tok(t)], tok(t), base, strict=False):
-            full.append(math.log10(max(pairs[(a, w)] - d, 0) / sums[a] + d * types[a] / sums[a] * 10**b) if sums[a] else b)
+        full, x = [], ["<s>", *tok(t)]
+        for i, b in enumerate(base, 1):
+            p = 10**b
+            for j in range(2, min(order, i + 1) + 1):
+                context = tuple(x[i - j + 1 : i])
+                if (more := kept[j].get(context)) and (j == 2 or context[-1] in kept[j - 1].get(context[:-1], ())):
+                    total, d = sums[j][context], discount[j]
+                    p = max(more[x[i]] - d, 0) / total + (total - sum(more.values()) + d * len(more)) / total * p
+            full.append(math.log10(p))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(base), sum(c[w] > 0 for w in tok(t)), n)
         assert r["base_score"] == pytest.approx(sum(base), rel=1e-9)
         assert r["score"] == pytest.approx(sum(full), rel=0.02, abs=0.3)
 
 
+def test_lm_repeated_rows_and_null_ids(spark):
+    rows = [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "own", 7) for i, t in rows], "doc_id long, text string, n_tokens string, train_tokens int")
+    out = lm.score(docs, lm.train_model(docs)).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    assert len({r["score"] for r in out if r["n_tokens"] == 4}) == 1 and {r["train_tokens"] for r in out} == {14}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), max_size=9), min_size=1, max_size=6), st.integers(2, 4))
+def test_lm_tries(texts, order):
+    w = np.array([x for t in texts for x in [*t, 7]], dtype=np.uint64)
+    pairs, more = lm.windows(w, np.array([len(t) + 1 for t in texts]), 8, 9, order)
+    halves = [lm.Tries.of(pairs[k::2], [m[k::2] for m in more]) for k in (0, 1)]
+    t = lm.Tries.merge([lm.Tries.load(h.dump(), order) for h in halves if len(h.pairs)])
+    want = [Counter(tuple(x[k : k + j]) for s in texts for x in [[8, *s, 7]] for k in range(len(x) - j + 1)) for j in range(2, order + 1)]
+    names = None
+    for (context, word, c), g in zip(t.lengths(9), want, strict=True):
+        names = [((int(a),) if names is None else names[int(a)]) + (int(b),) for a, b in zip(context, word, strict=True)]
+        assert dict(zip(names, c.tolist(), strict=True)) == g and names == sorted(names)
+    cut = [t.cut(lo, hi).rows() for lo, hi in ((0, min(2, len(t.pairs))), (min(2, len(t.pairs)), len(t.pairs)))]
+    assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*[(c[0], *c[1], c[2]) for c in cut], strict=True), (t.rows()[0], *t.rows()[1], t.counts), strict=True))
+
+
 def test_lm_of_nothing(spark):
     r = lm.score(documents(spark, ["a b"]), lm.train_model(empty(spark))).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0)
