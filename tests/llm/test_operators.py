@@ -204,6 +204,40 @@ def test_license_scan_skips_no_covered_notice():
                     assert name in found(" ".join(w)) or len(licenses.patience(w, t)) < licenses.LEAST_COVERAGE * len(t)
 
 
+class Unfiltered(licenses.Scanner):
+    """Aligns every stretch of a text, without a filter: starts at each word, ends after one and two lengths of a notice."""
+
+    def covered(self, text):
+        w = licenses.words(text)
+        return {name for name, t, _ in self.all for lo in range(len(w)) for n in (len(t), 2 * len(t)) if len(licenses.patience(w[lo : lo + n], t)) >= self.least * len(t)}
+
+
+def test_license_scan_against_all_regions():
+    rng = random.Random(6)
+    some = {k: [v[0]] for k, v in licenses.FULL_TEXTS.items() if k in ("MPL-2.0", "CC-BY-4.0", "CC0-1.0", "Unlicense")}
+    fast, slow = licenses.Scanner(some, 0.8), Unfiltered(some, 0.8)
+    for _ in range(40):
+        w = licenses.words(rng.choice(list(some.values()))[0])
+        keep = rng.choice([0.75, 0.85, 0.95])
+        w = [x for x in w if rng.random() < keep]
+        w = [rng.choice(["the", "license", "of", "plain"]) for _ in range(rng.randrange(30))] + w + [rng.choice(["software", "words", "public"]) for _ in range(rng.randrange(30))]
+        text = " ".join(w * rng.choice([1, 1, 2]))
+        found = {x[0] for x in fast.scan(text)}
+        # each region that it aligns is one of all; what it misses is within a step of a region's edge, a word or two
+        assert found <= slow.covered(text)
+        near = Unfiltered(some, 0.86).covered(text)
+        assert near <= found
+
+
+def test_license_scan_tells_full_texts_apart(spark):
+    rows = [(i, k, v[0]) for i, (k, v) in enumerate(sorted(licenses.FULL_TEXTS.items()))]
+    long = "license software the of and " * 30_000
+    more = [(None, "MIT", licenses.FULL_TEXTS["MIT"][0]), (0, "MIT", licenses.FULL_TEXTS["MIT"][0]), (0, "MIT", licenses.FULL_TEXTS["MIT"][0]), (90, "ISC", long + licenses.FULL_TEXTS["ISC"][0] + long)]
+    docs = spark.createDataFrame([(i, t, k, 9.0) for i, k, t in rows + more], "doc_id long, text string, license_id string, coverage double")
+    got = Counter((r["doc_id"], r["license_id"], r["coverage"]) for r in licenses.scan_licenses(docs).collect())
+    assert got == Counter((i, k, 1.0) for i, k, _ in rows + more)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abcdef"), max_size=12), st.lists(st.sampled_from("abcdef"), max_size=12))
 def test_patience_is_an_alignment(a, b):
