@@ -138,11 +138,15 @@ def format_conversations(rows: DataFrame, parts_col: str | None = None, trained_
     return flat.mapInPandas(run, SEGMENTS)
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Parse formatted conversations, see READ. Uses the text and the loss spans alone, in the order they come in.
+def read_back(segments: DataFrame, ordered: bool = False) -> DataFrame:
+    """Parse formatted conversations, see READ. Uses the text and the loss spans alone, a conversation's segments in order.
 
     turns_sha256 is of role, newline, text, newline per turn; loss_sha256 of the unescaped text under the mask.
+    ordered: segments comes straight from format_conversations(), in its order; else, as after a write, it is put in order here.
+    The digests need a conversation's turns one after another, so it is one task's work, but as a stream: a turn at a time is held.
     """
+    if not ordered:
+        segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict | None = None

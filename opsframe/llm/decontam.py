@@ -7,9 +7,9 @@ at most W of them, which has the hashes of the K-grams there, so that a match is
 without the text. A window of 10 words is told by the hashes of its first and its last 6 words, which
 cover it: 128 bits.
 
-Documents are read once: each gives a row for itself and a row per kept hash. Kept hashes meet those
-of the items in a broadcast join if the items have at most BROADCAST_ROWS of them, else in a shuffled
-one. Windows, not item pairs, are joined, and windows that the same items have share one set of items,
+Documents are read once: each gives a row for itself and a row per kept hash. Kept hashes, windows and
+sets of items are each broadcast if their own number, for sets that of all their ids, is at most BROADCAST_ROWS, else
+they are joined by a shuffle. Windows, not item pairs, are joined, and windows that the same items have share one set of items,
 so a passage of many items or documents makes one row a document.
 """
 
@@ -26,7 +26,7 @@ from .common import ascii_lower, few_files, materialize, text_key
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 6
 W = WINDOW - K + 1
-#: Kept hashes of the items that are broadcast at most, 8 bytes each.
+#: Rows of each of the items' tables that are broadcast at most, 8 bytes a kept hash or id and 24 a window.
 BROADCAST_ROWS = 1 << 20
 #: Files of the items' tables at most.
 PARTS = 64
@@ -122,20 +122,21 @@ def by_text(docs: DataFrame, items: DataFrame) -> DataFrame:
     """decontaminate() with tk, the text_key() of the row: what it says holds for the rows of a doc_id and tk."""
     known, lengths = benchmark_windows(items.select("item_id", "text"))
     prints = known.select(F.explode("fps").alias("fp")).distinct()
-    small = prints.count() <= BROADCAST_ROWS
+    sets = known.select("set", "items").dropDuplicates(["set"])
+    few = {"prints": prints.count(), "windows": known.count(), "ids": sets.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]}
+    few = {k: n <= BROADCAST_ROWS for k, n in few.items()}
     keys = ("doc_id", "tk")
     text = F.col("text").cast("string")
     # the document's own mark holds its number of words
     marks = let(words(text), lambda w: F.concat(F.array(_mark(F.lit(0), F.lit(None), F.size(w), F.array())), _kept(w), *[_short(w, n) for n in lengths]))
     rows = docs.select("doc_id", text_key().alias("tk"), F.explode(marks).alias("m")).select(*keys, "m.*")
-    if small:
+    if few["prints"]:
         met = rows.join(F.broadcast(prints.withColumn("met", F.lit(True))), "fp", "left").where("met or len = 0").drop("met")
     else:
         met = rows.where("len > 0").join(prints, "fp", "left_semi").unionByName(rows.where("len = 0"))
     around = _windows(met, *keys)
-    sets = known.select("set", "items").dropDuplicates(["set"])
     to = known.select("a", "b", "set")
-    around = around.join(F.broadcast(to) if small else to, ["a", "b"], "left")
+    around = around.join(F.broadcast(to) if few["windows"] else to, ["a", "b"], "left")
     hit = F.col("set").isNotNull()
     per = around.groupBy(*keys).agg(
         F.max("n").cast("long").alias("n_words"), F.count("n").alias("copies"),
@@ -143,7 +144,7 @@ def by_text(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
     per = per.select(*keys, "n_words", "copies", F.size(covered).cast("long").alias("n_hit"), F.explode_outer("sets").alias("set"))
-    per = per.join(F.broadcast(sets) if small else sets, "set", "left")
+    per = per.join(F.broadcast(sets) if few["ids"] else sets, "set", "left")
     ids = F.array_distinct(F.flatten(F.collect_set("items")))
     out = per.groupBy(*keys).agg(F.first("n_words").alias("n_words"), F.first("copies").alias("copies"), F.first("n_hit").alias("n_hit"), ids.alias("ids"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -43,7 +43,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+    return chat.read_back(chat.format_conversations(rows.unionByName(more)), ordered=True)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

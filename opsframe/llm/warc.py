@@ -29,6 +29,9 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Plain bytes of a frame and compressed bytes of a bundle at which the next one begins.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
 
+#: Digests that are broadcast at most, 48 bytes each.
+BROADCAST_ROWS = 1 << 19
+
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_at long, frame_bytes int, offset int, length int"
 RECORDS = "page_id long, record_id string, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary"
 
@@ -77,10 +80,10 @@ def _page(rid: str | None) -> int | None:
 class Bundle:
     """Writes one bundle; close() returns the index rows, with the bundle's name."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, frame_bytes: int = FRAME_BYTES):
         import zstandard
 
-        self.name = f"{folder}/bundle-{uuid.uuid4().hex}.warc.zst"
+        self.frame_bytes, self.name = frame_bytes, f"{folder}/bundle-{uuid.uuid4().hex}.warc.zst"
         self.fs, path = store(self.name)
         self.fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(path, compression=None)
@@ -90,7 +93,7 @@ class Bundle:
     def add(self, page: int | None, rid: str, raw: bytes) -> None:
         self.waiting.append((page, rid, len(self.plain), len(raw)))
         self.plain += raw
-        if len(self.plain) >= FRAME_BYTES:
+        if len(self.plain) >= self.frame_bytes:
             self.flush()
 
     def flush(self) -> None:
@@ -141,7 +144,7 @@ class BundleReader:
         self.file.close()
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, min_payload: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, min_payload: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write a record per row of pages (page_id, url, html) and return the index, see INDEX.
 
     The payload is the html in UTF-8, null html is empty. Of equal payloads of at least min_payload
@@ -154,9 +157,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_payload: int
     payload: Column = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    # only digests that repeat are joined: a small side, and a hot digest is one row of it
+    total = pages.count()
     seen = rows.where(F.length("payload") >= min_payload).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(seen.where("n > 1").select("sha", "first"), "sha", "left")
+    seen = materialize(seen.where("n > 1"), "digests", total)
+    # payloads stay where they are if the digests that repeat can be broadcast; if not, those that repeat most are, and only the others' payloads move
+    if seen.count() > BROADCAST_ROWS:
+        hot = total // BROADCAST_ROWS + 1
+        rows = rows.join(F.broadcast(seen.where(F.col("n") > hot).select("sha", F.col("first").alias("of_hot"))), "sha", "left")
+        few = rows.where("of_hot is null").join(seen.where(F.col("n") <= hot).select("sha", "first"), "sha", "left").drop("of_hot")
+        rows = few.unionByName(rows.where("of_hot is not null").withColumnRenamed("of_hot", "first"))
+    else:
+        rows = rows.join(F.broadcast(seen.select("sha", "first")), "sha", "left")
     first = F.when(F.col("page_id") > F.col("first"), F.col("first"))
     rows = rows.select("page_id", "url", "payload", first.alias("first"))
 
@@ -167,21 +178,23 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_payload: int
         for b in batches:
             for page, url, body, again in zip(b["page_id"], b["url"], b["payload"], b["first"], strict=True):
                 page = None if pd.isna(page) else int(page)
-                bundle = bundle or Bundle(folder)
+                bundle = bundle or Bundle(folder, frame_bytes)
                 bundle.add(page, *record(page, url, bytes(body), None if pd.isna(again) else int(again)))
-                if bundle.written >= BUNDLE_BYTES:
+                if bundle.written >= bundle_bytes:
                     yield made(bundle.close())
                     bundle = None
         if bundle:
             yield made(bundle.close())
 
-    return materialize(rows.mapInPandas(run, INDEX), "index", pages.count())
+    return materialize(rows.mapInPandas(run, INDEX), "index", total)
 
 
 def read_archives(index: DataFrame) -> DataFrame:
     """Read every record of the index back, see RECORDS; refers_to and payload_* come from the records themselves."""
     small_batches(index.sparkSession)
-    rows = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    # a number of its own: the index is small, so that its bytes say nothing of the work
+    bundles = max(1, index.select("bundle").distinct().count())
+    rows = index.repartition(bundles, "bundle").sortWithinPartitions("bundle", "frame", "offset")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, reader = None, None

@@ -271,6 +271,14 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_chat_read_back_after_a_write(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"text {c} {t} " * 30) for c in range(40) for t in range(9)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    stored = common.materialize(made, "segments", native=True).repartition(7)
+    straight = {tuple(r) for r in chat.read_back(made, ordered=True).collect()}
+    assert {tuple(r) for r in chat.read_back(stored).collect()} == straight and len(straight) == 40
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([*chat.CONTROL, "<", "\\", "s>", "/", "[", "INST]", "a", "|", "<<"]), max_size=12).map("".join))
 def test_escape_is_reversible(text):
@@ -448,6 +456,24 @@ def test_word_hashes():
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("broadcast", [1 << 19, 2, 0])
+def test_warc_of_several_bundles_and_frames(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast or 1)
+    rng = random.Random(8)
+    html = [None, "", "same", "again é"] * 60 + ["".join(rng.choices("abcdefghij<>", k=rng.randrange(900))) for _ in range(300)]
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(html)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), frame_bytes=3000, bundle_bytes=20_000)
+    assert index.select("bundle").distinct().count() >= 3 and index.groupBy("bundle", "frame").count().where("count > 2").count() > 5
+    back = {r["page_id"]: r for r in warc.read_archives(index).collect()}
+    first = {}
+    for p, _, h in rows:
+        f = first.setdefault(h or "", p)
+        r = back[p]
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if f == p else ("revisit", f))
+        assert r["payload_digest"] == warc.digest_of((h or "").encode()) and (f != p or bytes(r["payload"]) == (h or "").encode())
+    assert len(back) == len(rows)
+
+
 def test_warc_round_trip(spark):
     html = [None, "", "<p>é</p>", "<p>é</p>", "x" * 600_000, "a\r\n\r\nb", "<p>é</p>"]
     rows = [(10 - i, f"http://h/{i} \n", h) for i, h in enumerate(html)] + [(4, "http://again", "<p>é</p>"), (None, None, "")]
