@@ -317,14 +317,18 @@ def _mixed(lists: DataFrame, groups: DataFrame, rows: int) -> tuple[DataFrame, D
 def _pairs(left: DataFrame, right: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b, of left (value, x, cx, ex: early, main) and right (value, y, cy, ey) in one list and different components, that can be linked.
 
-    Where right's component isn't main, right is also in left, and each pair is taken once; main may be null.
-
-    Rows never meet where neither has the value early.
+    Where right's component isn't main, right is also in left, and each pair is taken once; main may be null. The
+    smaller one has the value early, of two of one size both. All of this is decided inside the join, which gives
+    only pairs that pass; rows never meet where neither has the value early.
     """
-    met = left.where("ex").join(right, "value").unionByName(left.where("not ex").join(right.where("ey"), "value")).where("cx <> cy and (main is null or cy = main or x < y)").select("x", "y", "ex", "ey")
-    met = met.join(_named(sides, "x"), "x").join(_named(sides, "y"), "y")
-    first = (F.col("ex") & (F.col("xn") <= F.col("yn"))) | (F.col("ey") & (F.col("yn") <= F.col("xn")))
-    return met.where(first & _near(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left, right = left.join(_named(sides, "x"), "x"), right.join(_named(sides, "y"), "y")
+    first = (F.col("ex") | (F.col("xn") > F.col("yn"))) & (F.col("ey") | (F.col("yn") > F.col("xn")))
+    once = F.expr("cx <> cy and (main is null or cy = main or x < y)")
+
+    def met(some: DataFrame, others: DataFrame) -> DataFrame:
+        return some.join(others, "value").where(once & first & _near(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    return met(left.where("ex"), right).union(met(left.where("not ex"), right.where("ey"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
