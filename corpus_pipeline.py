@@ -22,12 +22,12 @@ LEAST_SHARE = 0.5
 BROADCAST_ROWS = 1 << 20
 
 
-def _without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], name: str) -> DataFrame:
+def _without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], name: str, native: bool = False) -> DataFrame:
     """docs without the rows whose keys (columns of dropped: what they are in docs) are a row of dropped, nulls being equal.
 
-    Texts move only where the rows of dropped are too many to broadcast.
+    Texts move only where the rows of dropped are too many to broadcast. native: without Python workers.
     """
-    dropped = materialize(dropped.select(*[F.col(k).alias(f"dropped_{k}") for k in keys]).distinct(), name, 0)
+    dropped = materialize(dropped.select(*[F.col(k).alias(f"dropped_{k}") for k in keys]).distinct(), name, 0, native)
     same = reduce(and_, [of.eqNullSafe(F.col(f"dropped_{k}")) for k, of in keys.items()])
     return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, same, "left_anti")
 
@@ -64,7 +64,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no passage and stay; repeated rows stay or go together; without items all rows stay.
     """
     found = decontam.by_text(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"), {"doc_id": F.col("doc_id"), "tk": text_key()}, "contaminated")
+    return _without(docs, found.where("contaminated"), {"doc_id": F.col("doc_id"), "tk": text_key()}, "contaminated", native=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
