@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .range import Grid, increase
@@ -20,26 +20,39 @@ def summarise(samples: DataFrame, keys: Sequence[str], at: int, window: int) ->
     """
     rates = increase(samples, [*keys, "status", "le"], Grid.instant(at, window), per_second=True)
     by_le = rates.groupBy(*keys, "le").agg(F.sum("value").alias("value"), F.sum(F.when(F.col("status") >= "500", F.col("value")).otherwise(0.0)).alias("bad"))
-    total = by_le.where("le = 'count'").select(*keys, F.col("value").alias("rps"), (F.col("bad") / F.nullif(F.col("value"), F.lit(0.0))).alias("error_rate"))
-    buckets = by_le.where("le <> 'count'").select(*keys, "le", "value")
-    return total.join(quantiles(buckets, keys), list(keys), "left").select(*keys, "rps", "error_rate", *[(F.col(q) * 1000).alias(q) for q in QUANTILES])
+    count = F.col("le") == "count"
+    series = by_le.groupBy(*keys).agg(F.max(F.when(count, F.col("value"))).alias("rps"), F.max(F.when(count, F.col("bad"))).alias("bad"), _buckets(~count))
+    error_rate = (F.col("bad") / F.nullif(F.col("rps"), F.lit(0.0))).alias("error_rate")
+    return series.where("rps is not null").select(*keys, "rps", error_rate, _quantiles(1000).alias("q")).select(*keys, "rps", "error_rate", *_named())
 
 
 def quantiles(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """QUANTILES of each series' cumulative buckets, from one array of sorted buckets a series: one shuffle, no window."""
+    """QUANTILES of each series' cumulative buckets (keys, le, value), from one array of sorted buckets a series: one shuffle, no window."""
+    return buckets.groupBy(*keys).agg(_buckets(F.lit(True))).select(*keys, _quantiles(1).alias("q")).select(*keys, *_named())
+
+
+def _buckets(which: Column) -> Column:
     le = F.when(F.col("le").isin("+Inf", "Infinity"), float("inf")).otherwise(F.col("le").try_cast("double"))
-    series = buckets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(le.alias("le"), F.col("value").alias("c")))).alias("b"))
+    return F.array_sort(F.collect_list(F.when(which, F.struct(le.alias("le"), F.col("value").alias("c"))))).alias("b")
+
+
+def _named() -> list[Column]:
+    return [F.get("q", F.lit(i)).alias(name) for i, name in enumerate(QUANTILES)]
+
+
+def _quantiles(unit: int) -> Column:
+    """The array of QUANTILES of the sorted buckets b, times unit; one expression for all of them, in which a rank's bucket is looked for once."""
     n = F.element_at("b", -1)
 
-    def one(q: float):
-        rank = q * n["c"]
-        k = F.size(F.filter("b", lambda x: x["c"] < rank - 1e-9))
-        hit, low = F.get("b", k), F.get("b", k - 1)
-        l0, c0 = F.when(k > 0, low["le"]).otherwise(0.0), F.when(k > 0, low["c"]).otherwise(0.0)
-        inside = l0 + (hit["le"] - l0) * F.when(hit["c"] > c0, (rank - c0) / (hit["c"] - c0)).otherwise(0.0)
-        return F.when((n["le"] == float("inf")) & (n["c"] > 0), F.when(hit["le"] == float("inf"), F.when(k > 0, l0)).otherwise(inside))
+    def inside(rank: Column, k: Column) -> Column:
+        hit = F.get("b", k)
+        l0, c0 = (F.when(k > 0, F.get("b", k - 1)[x]).otherwise(0.0) for x in ("le", "c"))
+        at = l0 + (hit["le"] - l0) * F.when(hit["c"] > c0, (rank - c0) / (hit["c"] - c0)).otherwise(0.0)
+        return F.when(hit["le"] == float("inf"), F.when(k > 0, l0)).otherwise(at) * unit
 
-    return series.select(*keys, *[one(q).alias(name) for name, q in QUANTILES.items()])
+    ranks = F.transform(F.array(*[F.lit(q) for q in QUANTILES.values()]), lambda q: q * n["c"])
+    found = F.transform(ranks, lambda r: F.struct(r.alias("r"), F.size(F.filter("b", lambda x: x["c"] < r - 1e-9)).alias("k")))
+    return F.when((F.size("b") > 0) & (n["le"] == float("inf")) & (n["c"] > 0), F.transform(found, lambda x: inside(x["r"], x["k"])))
 
 
 def combine(parts: DataFrame, keys: Sequence[str]) -> DataFrame:

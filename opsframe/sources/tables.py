@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Named sources: a router picks one of them (for example a log backend) and keeps it.
 SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,8 +21,21 @@ def source(name: str):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table; predicates on plain columns and column lists reach its scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A Parquet table; predicates on plain columns and column lists reach its scan.
+
+    Its schema is read from a file once a session and state of the table, not by a job for each query.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    key = (spark.sparkContext.applicationId, path)
+    known = _schemas.get(key)
+    if known is None or known[0] != changed:
+        known = _schemas[key] = (changed, spark.read.parquet(path).schema)
+    return spark.read.schema(known[1]).parquet(path)
+
+
+_schemas: dict[tuple[str, str], tuple[int, StructType]] = {}
 
 
 def select_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

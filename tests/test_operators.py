@@ -5,6 +5,7 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opsframe.functions import scalars as sc
@@ -213,7 +214,10 @@ def test_tools(spark):
 @pytest.fixture
 def files(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartitionByRange(4, "ts").write.parquet(str(tmp_path / "in"))
+    # a file at a time, in order: a stream takes files by age, and one that comes before its time moves the watermark past the others
+    parts = e.withColumn("k", F.ntile(4).over(Window.orderBy("ts", "event_id")))
+    for k in range(1, 5):
+        parts.where(F.col("k") == k).drop("k").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     return str(tmp_path / "in"), str(tmp_path), e
 
 
@@ -228,6 +232,20 @@ def test_windows_match_batch(spark, files):
     assert got <= want and len(want) - len(got) <= 60  # windows that the watermark hasn't closed wait
 
 
+def test_late_rows_are_dropped(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle, later = e.agg(F.expr("percentile_approx(ts, array(0.5, 0.75))")).first()[0]
+    # rows are late by the watermark of the batch before the last one
+    for part in (e.where(F.col("ts").between(middle, later)), e.where(F.col("ts") > later), e.where(F.col("ts") < middle)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = windows.run_to_end(windows.tumbling(windows.read_events(spark, str(tmp_path / "in"), EVENTS), ["event_type"], "value", "1 hour"), spark, str(tmp_path), "late")
+    # the last file's rows are older than the watermark
+    assert s.where(F.col("ts") < F.lit(middle) - F.expr("interval 1 hour")).count() == 0
+    want = e.where(F.col("ts") >= F.lit(middle) + F.expr("interval 1 hour")).groupBy("event_type", F.window("ts", "1 hour").alias("w")).count()
+    got = s.where(F.col("ts") >= F.lit(middle) + F.expr("interval 1 hour"))
+    assert 0 < got.count() <= want.count() and got.join(want.select("event_type", F.col("w.start").alias("ts"), "count"), ["event_type", "ts"], "left").where("n <> count or count is null").count() == 0
+
+
 def test_duplicates_go(spark, files):
     path, out, e = files
     d = windows.read_events(spark, path, EVENTS)
