@@ -41,6 +41,22 @@ def expand(relations: DataFrame, start: DataFrame, depth: int = 3, direction: st
     return reduce(DataFrame.unionByName, hops[1:])
 
 
+def ordered(hits: DataFrame, names: DataFrame) -> DataFrame:
+    """hits of expand() with names (node, name) in the order they are shown: fewer hops first, then by name; `place` counts from 1."""
+    w = Window.partitionBy("hops").orderBy("name", "node")
+    sizes = hits.groupBy("hops").agg(F.count(F.lit(1)).alias("__n"))
+    # at most MAX_DEPTH rows tell where a hop's places begin
+    before = sizes.select("hops", F.coalesce(F.sum("__n").over(Window.orderBy("hops").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    named = hits.join(names, "node").withColumn("__k", F.row_number().over(w)).join(F.broadcast(before), "hops")
+    return named.withColumn("place", (F.col("__before") + F.col("__k")).cast("long")).drop("__k", "__before").orderBy("place")
+
+
+def linked_devices(relations: DataFrame, node: str, kind: str, names: DataFrame, limit: int = 100) -> DataFrame:
+    """(node, name, relation) at the other ends of a node's relations (id, src, dst, type) of one type, smallest ids first."""
+    own = relations.where((F.col("type") == kind) & ((F.col("src") == node) | (F.col("dst") == node))).orderBy("id").limit(limit)
+    return own.select(F.when(F.col("src") == node, F.col("dst")).otherwise(F.col("src")).alias("node"), F.col("id").alias("relation")).join(names, "node").select("node", "name", "relation")
+
+
 def neighbours(relations: DataFrame) -> DataFrame:
     """(node, out, in) degrees."""
     ends = relations.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(relations.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))

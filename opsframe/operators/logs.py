@@ -80,3 +80,23 @@ def record_id(*columns: str) -> Column:
     """A stable id of a record's content; parts are length-prefixed, so that they can't run into each other."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     return F.sha2(F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
+
+
+def streams(logs: DataFrame, request: LogRequest, labels: Sequence[str]) -> DataFrame:
+    """A range read: the request's records by label set, (labels, entries: (t, message) in the request's order), at most its limit in all."""
+    order = (F.desc("t"), F.desc("id")) if request.descending else (F.asc("t"), F.asc("id"))
+    rows = logs.where(request.validate().condition()).orderBy(*order).limit(request.limit)
+    entries = F.sort_array(F.collect_list(F.struct("t", "id", "message")), asc=not request.descending)
+    return rows.groupBy(*labels).agg(entries.alias("e")).select(*labels, F.transform("e", lambda x: F.struct(x["t"].alias("t"), x["message"].alias("message"))).alias("entries"))
+
+
+def pinned(rows: DataFrame) -> DataFrame:
+    """rows of the files that make up the table now: pages read from it later see no newer file. For DataFrames straight from Parquet."""
+    return rows.sparkSession.read.schema(rows.schema).parquet(*rows.inputFiles())
+
+
+def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(t, severity_text, message) of text lines `time level message`, from a batch or a stream; a line of another form is a message alone."""
+    form = r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?)Z? +([A-Za-z]+) +(.*)$"
+    got = lambda i: F.nullif(F.regexp_extract(column, form, i), F.lit(""))
+    return lines.select(F.unix_micros(got(1).try_cast("timestamp")).alias("t"), F.lower(got(2)).alias("severity_text"), F.coalesce(got(3), F.col(column)).alias("message"))

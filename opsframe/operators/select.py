@@ -127,6 +127,23 @@ def like_any(columns: Sequence[str], text: str) -> Column:
 # --- log requests ---------------------------------------------------------------------------------
 
 
+#: The logical fields of logs that filters may name; all but the message are keywords.
+FIELDS = [
+    "device_id", "cluster_id", "namespace", "workload", "pod", "container", "node", "service_name", "service_namespace", "service_version", "instance_id", "environment", "source_id", "level",
+    "file", "unit", "trace_id", "span_id", "message",
+]
+
+
+def logical_filters(filters: Sequence[tuple[str, str, Sequence]], columns: Mapping[str, str]) -> list[tuple[str, str, Sequence]]:
+    """Filters on logical fields as filters on columns; a field outside FIELDS, or that the logs don't have, is an error."""
+    for name, _, _ in filters:
+        if name not in FIELDS:
+            raise ValueError(f"unknown field {name!r}")
+        if name not in columns:
+            raise ValueError(f"these logs have no field {name!r}")
+    return [(columns[name], op, values) for name, op, values in filters]
+
+
 @dataclass
 class LogRequest:
     """A search that doesn't depend on where logs lie: [start, end] in microseconds, scope, keywords, field filters."""

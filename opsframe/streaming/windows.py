@@ -80,6 +80,62 @@ def tail_sample(spans: DataFrame, drop_if: str, wait_ms: int = 30_000) -> DataFr
     return spans.groupBy("trace_id").applyInPandasWithState(decide, schema, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def tail_sample_by_time(spans: DataFrame, drop_if: str, key: str = "trace_id", wait: str = "30 seconds", late: str = "2 minutes", ts: str = "ts") -> DataFrame:
+    """tail_sample() by the spans' own time: a trace is decided when the watermark passes its first span by `wait`; rows that come later are dropped with it."""
+    schema = spans.schema
+    names = schema.names
+    wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+
+    def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            rows, bad, _ = state.get
+            state.remove()
+            if not bad:
+                yield pd.DataFrame([tuple(r) for r in rows], columns=names)
+            return
+        rows, bad, first = state.get if state.exists else ([], False, None)
+        for b in batches:
+            bad = bad or bool(b[drop_if].any())
+            early = int(b[ts].min().timestamp() * 1000)
+            first = early if first is None else min(first, early)
+            rows = [] if bad else [*rows, *b[names].itertuples(index=False, name=None)]
+        state.update((rows, bad, first))
+        state.setTimeoutTimestamp(max(first + wait_ms, state.getCurrentWatermarkMs() + 1))
+
+    kept = f"rows array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in schema)}>>, bad boolean, first long"
+    return spans.withWatermark(ts, late).groupBy(key).applyInPandasWithState(decide, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def debounced(changes: DataFrame, keys: Sequence[str], seq: str, op: str, gap: str = "2 seconds", late: str = "2 minutes", ts: str = "ts") -> DataFrame:
+    """(keys, start, n, op): changes of a key that follow each other within the gap are one trigger, and the last operation wins."""
+    w = F.session_window(ts, gap)
+    out = changes.withWatermark(ts, late).groupBy(*keys, w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max_by(op, seq).alias("op"))
+    return out.select(*keys, F.col("w.start").alias("start"), "n", "op")
+
+
+def dampened(firings: DataFrame, keys: Sequence[str], window: int, least: int, cooldown: int = 0) -> DataFrame:
+    """(keys, t, fires, event): notified, dampened (fewer than `least` firings in the window that ends at t) or cooling, from firings (keys, t) in order of t over batches."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent, told = state.get if state.exists else ([], None)
+        recent, out = list(recent), []
+        for t in sorted(pd.concat(list(batches))["t"].tolist()):
+            recent = [x for x in recent if x >= t - window] + [t]
+            if len(recent) < least:
+                event = "dampened"
+            elif told is not None and t - told < cooldown:
+                event = "cooling"
+            else:
+                event, told = "notified", t
+            out.append((*key, t, len(recent), event))
+        state.update((recent, told))
+        yield pd.DataFrame(out, columns=[*keys, "t", "fires", "event"])
+
+    types = dict(firings.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", t long, fires long, event string"
+    return firings.groupBy(*keys).applyInPandasWithState(step, schema, "recent array<long>, told long", "append", GroupStateTimeout.NoTimeout)
+
+
 def sampled(spans: DataFrame, drop_if: str) -> DataFrame:
     """The batch form of tail_sample()."""
     bad = spans.groupBy("trace_id").agg(F.max(drop_if).alias("__bad"))
