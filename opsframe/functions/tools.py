@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,19 +67,6 @@ def get_host_summary(spark: SparkSession, sf_dir: str, host: int) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """Functions for SQL: human_bytes as a vectorised user function."""
-
-    @F.pandas_udf("string")
-    def human_bytes(n: pd.Series) -> pd.Series:
-        def one(x: float) -> str | None:
-            if pd.isna(x):
-                return None
-            for unit in ("B", "KiB", "MiB", "GiB", "TiB"):
-                if x < 1024 or unit == "TiB":
-                    return f"{x:.0f} B" if unit == "B" else f"{x:.1f} {unit}"
-                x /= 1024
-            return None
-
-        return n.map(one)
-
-    spark.udf.register("human_bytes", human_bytes)
+    """Functions for SQL: human_bytes, as an expression that Catalyst inlines."""
+    units = " ".join(f"WHEN n >= {1024.0**i:.0f}D THEN concat(format_string('%.1f', n / {1024.0**i:.0f}D), ' {u}')" for i, u in reversed(list(enumerate(("KiB", "MiB", "GiB", "TiB"), 1))))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION human_bytes(n DOUBLE) RETURNS STRING RETURN CASE {units} WHEN n IS NOT NULL THEN concat(format_string('%.0f', n), ' B') END")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,21 +112,29 @@ def notifications(firings: DataFrame, keys: Sequence[str], silenced: Column, coo
     """firings with `outcome`, the first that applies: silenced, cooldown, dampened, inhibited, else notified.
 
     Dampening wants `minimum` firings in the window. Cooldown runs from the last firing that got through
-    everything else, so it is a fold over a key's firings in order, done on one sorted array a key.
+    everything else, so it is a fold over a key's firings in order: they are read as a sorted stream, and
+    one time a key is held.
     """
-    w = Window.partitionBy(*keys).orderBy(t)
-    recent = F.count(F.lit(1)).over(w.rangeBetween(-window, 0))
-    pre = firings.withColumn("__s", silenced).withColumn("__d", recent < minimum).withColumn("__i", inhibited)
-    rows = pre.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col("__s").alias("s"), F.col("__d").alias("d"), F.col("__i").alias("i")))).alias("r"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<t:bigint,outcome:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        cooling = F.coalesce(x["t"] - acc["last"] < cooldown, F.lit(False))
-        outcome = F.when(x["s"], "silenced").when(cooling, "cooldown").when(x["d"], "dampened").when(x["i"], "inhibited").otherwise("notified")
-        last = F.when(outcome == "notified", x["t"]).otherwise(acc["last"])
-        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), outcome.alias("outcome")))).alias("out"))
-
-    return rows.select(*keys, F.inline(F.aggregate("r", start, step, lambda acc: acc["out"])))
+    ready = firings.withColumns({"__s": silenced, "__i": inhibited}).repartition(*keys).sortWithinPartitions(*keys, t)
+    recent = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(t).rangeBetween(-window, 0))
+    rows = ready.withColumn("__d", recent < minimum).select(*keys, F.col(t).alias("t"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("__s", "__d", "__i")])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        last: int | None = None
+        for b in batches:
+            out = []
+            own = [tuple(None if pd.isna(x) else x for x in k) for k in zip(*(b[k].tolist() for k in keys), strict=True)]
+            for key, at, hushed, damp, below in zip(own, *(b[c].tolist() for c in ("t", "__s", "__d", "__i")), strict=True):
+                if key != now:
+                    now, last = key, None
+                cooling = last is not None and at - last < cooldown
+                out.append("silenced" if hushed else "cooldown" if cooling else "dampened" if damp else "inhibited" if below else "notified")
+                last = at if out[-1] == "notified" else last
+            yield b[[*keys, "t"]].assign(outcome=out)
+
+    types = dict(firings.dtypes)
+    return rows.mapInPandas(fold, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", t long, outcome string")
 
 
 def retry_due(deliveries: DataFrame, now: int, most: int = 5) -> DataFrame:

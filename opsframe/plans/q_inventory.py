@@ -214,10 +214,10 @@ def fn_periods(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", *[sc.period(d, k).alias(k) for k in ("day", "week", "month")])
 
 
-@query("fn_math", "SELECT p_partkey, round((p_retailprice - 997) / 997 * 100, 1) AS delta, CASE WHEN p_size = 7 THEN NULL ELSE p_size / 2.0 END AS half FROM part WHERE p_partkey % 3 = 0")
+@query("fn_math", "SELECT p_partkey, round((p_retailprice - 997) / 997 * 100, 1) AS delta, CASE WHEN p_size = 7 THEN NULL ELSE p_size / 2.0 END AS half FROM part")
 def fn_math(spark, sf):
     x = F.when(F.col("p_size") == 7, F.lit(float("nan"))).otherwise(F.col("p_size") / 2.0)
-    return read(spark, sf, "part").where("p_partkey % 3 = 0").select("p_partkey", sc.delta_percent(F.col("p_retailprice"), F.lit(997.0)).alias("delta"), sc.finite(x).alias("half"))
+    return read(spark, sf, "part").select("p_partkey", sc.delta_percent(F.col("p_retailprice"), F.lit(997.0)).alias("delta"), sc.finite(x).alias("half"))
 
 
 @query("fn_hashes", "SELECT c_custkey, sha256(concat(length(c_name), ':', c_name, length(c_mktsegment), ':', c_mktsegment)) AS fingerprint, lpad(lower(to_hex(c_custkey)), 16, '0') AS id FROM customer")

@@ -101,7 +101,9 @@ def g5(spark, sf):
     return r.join(n, r.r_regionkey == n.n_regionkey).join(s, n.n_nationkey == s.s_nationkey).select(F.col("r_name").alias("cluster"), F.col("s_suppkey").alias("device")).distinct()
 
 
-@query("g6_span_runs", None)
+@query("g6_span_runs", """WITH s AS (SELECT conv_id::VARCHAR AS trace_id, conv_id, turn, printf('%04d', turn) AS span_id, role AS sdk, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations)
+SELECT trace_id, span_id, CASE WHEN turn > 0 THEN printf('%04d', turn - 1) END AS parent_span_id, sdk, 'x' AS identity, min(span_id) OVER (PARTITION BY conv_id, island, sdk) AS run_id,
+ CASE WHEN turn > 0 AND NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = s.conv_id AND c.turn = s.turn - 1) THEN 'missing_parent' END AS issue FROM s""")
 def g6(spark, sf):
     c = read(spark, sf, "conversations")
     s = c.select(F.col("conv_id").cast("string").alias("trace_id"), F.format_string("%04d", "turn").alias("span_id"), F.when(F.col("turn") > 0, F.format_string("%04d", F.col("turn") - 1)).alias("parent_span_id"), F.col("role").alias("sdk"), F.lit("x").alias("identity"))
@@ -124,8 +126,8 @@ def v2(spark, sf):
 SELECT vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 50""")
 def v3(spark, sf):
     e = read(spark, sf, "embeddings")
-    q = e.where("vec_id = 0").first()["embedding"]
-    return dc.nearest(e, q, 10, F.col("label").isin(1, 2, 3)).select("vec_id", "label", F.round("score", 6).alias("score"))
+    row = e.where("vec_id = 0").first()
+    return dc.nearest(e if row else e.limit(0), row["embedding"] if row else [], 10, F.col("label").isin(1, 2, 3)).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query("v4_grep", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS text FROM l) SELECT doc_id, line, text FROM x WHERE contains(text, 'icens') ORDER BY doc_id, line LIMIT 200")
@@ -143,6 +145,11 @@ def v6(spark, sf):
     return kind("customer", "c_custkey", "c_name").unionByName(kind("supplier", "s_suppkey", "s_name")).unionByName(kind("part", "p_partkey", "p_name")).unionByName(kind("nation", "n_nationkey", "n_name"))
 
 
-@query("s18_html_text", None)
+_TAGS = r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _entity, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+    _TAGS = f"replace({_TAGS}, '&{_entity};', '{_char}')"
+
+
+@query("s18_html_text", rf"SELECT page_id, trim(regexp_replace({_TAGS}, '\s+', ' ', 'g')) AS text FROM pages")
 def s18(spark, sf):
     return read(spark, sf, "pages").select("page_id", dc.html_text(F.col("html")).alias("text"))
