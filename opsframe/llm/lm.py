@@ -44,7 +44,7 @@ if TYPE_CHECKING:
 #: Fixed value: what stands for a document's end among the word hashes.
 END = 0xE2D0_F7E8_17A9_5C33
 #: Documents for each shard, tokens that a task holds before it sends their counts.
-SHARD_DOCS, HELD = 8192, 1 << 20
+SHARD_DOCS, HELD = 4096, 1 << 20
 #: Words of the longest n-grams, and how often those of three words or more occur at least.
 ORDER, LEAST_COUNT = 3, 2
 BINS = 256
@@ -319,7 +319,7 @@ class Tries:
         levels, n = [], len(keys)
         for w in words:
             got, at = np.unique(at.astype(np.uint64) << np.uint64(32) | w, return_inverse=True)
-            levels.append((np.bincount((got >> np.uint64(32)).astype(np.int64), minlength=n), got & np.uint64(0xFFFFFFFF)))
+            levels.append((np.bincount((got >> np.uint64(32)).astype(np.int64), minlength=n), (got & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
             n = len(got)
         return cls(keys, levels, np.bincount(at, weights=counts, minlength=n).astype(np.int64))
 
@@ -362,7 +362,7 @@ class Tries:
             return np.ascontiguousarray(x.reshape(size, n).T).view(kind).ravel()
 
         pairs = np.cumsum(planes("<u8"), dtype=np.uint64)
-        levels = [(planes("<u4").astype(np.int64), planes("<u4").astype(np.uint64)) for _ in range(order - 2)]
+        levels = [(planes("<u4").astype(np.int64), planes("<u4")) for _ in range(order - 2)]
         return cls(pairs, levels, planes("<u4").astype(np.int64))
 
     @classmethod
