@@ -19,6 +19,21 @@ def a6(spark, sf):
     return out.select("service", "protocol", *[F.round(c, 4).alias(c) for c in ("rps", "error_rate", "p50", "p95", "p99")])
 
 
+_REQUESTS = """b AS (SELECT i, p, s, le, w * f AS share FROM range(1000) t(i), (VALUES ('http'), ('rpc')) v(p), (VALUES ('200', 3), ('500', 1)) x(s, w),
+ (VALUES ('0.01', 0.75), ('0.05', 0.9), ('0.1', 0.95), ('0.5', 0.99), ('1', 1.0), ('+Inf', 1.0), ('count', 1.0)) y(le, f)), c AS (SELECT *, (k + 1) * 100 * share AS value FROM b, range(11) z(k)),
+r AS (SELECT i, p, s, le, ((max(value) - min(value)) / 600)::DOUBLE AS rate FROM c GROUP BY ALL), m AS (SELECT i, p, le, sum(rate) AS v, sum(rate) FILTER (s = '500') AS bad FROM r GROUP BY ALL),
+h AS (SELECT i, p, CASE WHEN le = '+Inf' THEN 'inf' ELSE le END::DOUBLE AS le, v FROM m WHERE le <> 'count'),
+g AS (SELECT *, coalesce(lag(le) OVER w, 0) AS l0, coalesce(lag(v) OVER w, 0) AS c0, max(v) OVER (PARTITION BY i, p) AS n FROM h WINDOW w AS (PARTITION BY i, p ORDER BY le))"""
+_AT_RANK = "round(1000 * arg_min(l0 + (le - l0) * ({q} * n - c0) / (v - c0), le) FILTER (v >= {q} * n - 1e-9), 4) AS {name}"
+
+
+@query("a6_red_thousand_services", f"""WITH {_REQUESTS}, q AS (SELECT i, p, {', '.join(_AT_RANK.format(q=q, name=n) for n, q in red.QUANTILES.items())} FROM g GROUP BY i, p)
+SELECT 'service-' || m.i AS service, m.p AS protocol, round(v, 4) AS rps, round(bad / v, 4) AS error_rate, p50, p95, p99 FROM m JOIN q ON m.i = q.i AND m.p = q.p WHERE le = 'count'""")
+def a6_thousand(spark, sf):
+    out = red.summarise(red.request_table(spark), ["service", "protocol"], 600_000_000, 600_000_000)
+    return out.select("service", "protocol", *[F.round(c, 4).alias(c) for c in ("rps", "error_rate", "p50", "p95", "p99")])
+
+
 _SVC = "SELECT event_type AS service, user_id % 3 AS protocol, value AS ms, value > 200 AS bad FROM events"
 
 
