@@ -9,7 +9,7 @@ from .common import materialize
 
 
 #: A node is heavy with more neighbours than LEAST_HEAVY and than a HEAVY_SHARE-th of the edges.
-LEAST_HEAVY, HEAVY_SHARE = 1 << 12, 4096
+LEAST_HEAVY, HEAVY_SHARE = 1 << 16, 4096
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,10 +30,13 @@ def components(edges: DataFrame, rows: int | None = None, a: str = "a", b: str =
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("d"))
-        heavy = max(LEAST_HEAVY, before[0] // HEAVY_SHARE)
-        above = both.where("v > u").join(F.broadcast(least.where(F.col("d") > heavy).select("u", F.col("m").alias("hub"))), "u", "left")
-        light = above.where("hub is null").join(least.where(F.col("d") <= heavy), "u").select("v", "m")
-        large = light.union(above.where("hub is not null").select("v", "hub")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        heavy, above = max(LEAST_HEAVY, before[0] // HEAVY_SHARE), both.where("v > u")
+        if before[0] <= heavy:
+            large = above.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        else:
+            above = above.join(F.broadcast(least.where(F.col("d") > heavy).select("u", F.col("m").alias("hub"))), "u", "left")
+            light = above.where("hub is null").join(least.where(F.col("d") <= heavy), "u").select("v", "m")
+            large = light.union(above.where("hub is not null").select("v", "hub")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
