@@ -427,14 +427,18 @@ class Level:
         self.bcode, self.end = raw[at : at + m], at + m + (-m % 8)
 
     def score(self, context: np.ndarray, word: np.ndarray, base: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 p(word | context), place of the n-gram or -1), where base has log10 p without the context's first word; words below 0 are unknown."""
+        """(log10 p(word | context), place of the n-gram or -1), where base has log10 p without the context's first word; words below 0 are unknown, contexts aren't."""
         out, place = base.copy(), np.full(len(word), -1, dtype=np.int64)
-        at = np.flatnonzero((context >= 0) & (context + 1 < self.pointers.n))
-        lo, hi = self.pointers.get(context[at]).astype(np.int64), self.pointers.get(context[at] + 1).astype(np.int64)
-        seen = hi > lo
-        at, lo, hi = at[seen], lo[seen], hi[seen]
+        # equal contexts lie together: each has its run looked up once
+        new = np.append(True, context[1:] != context[:-1])
+        c, of = context[new], np.cumsum(new) - 1
+        inside = np.flatnonzero(c + 1 < self.pointers.n)
+        lo, hi = np.zeros(len(c), dtype=np.int64), np.zeros(len(c), dtype=np.int64)
+        lo[inside], hi[inside] = self.pointers.get(c[inside]), self.pointers.get(c[inside] + 1)
+        lo, hi = lo[of], hi[of]
+        at = np.flatnonzero(hi > lo)
         w, c = word[at], context[at]
-        k, hit = self.runs.find((c * words + np.maximum(w, 0)).astype(np.uint64), lo, hi)
+        k, hit = self.runs.find((c * words + np.maximum(w, 0)).astype(np.uint64), lo[at], hi[at])
         hit &= w >= 0
         low = base[at] + self.backs[self.bcode[c]]
         low[hit] = np.log10(10.0 ** low[hit] + 10.0 ** self.probs[self.pcode[k[hit]]])
@@ -459,21 +463,34 @@ class Ngrams:
         return self.open[s]
 
     def score(self, ids: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 p of each token after those before it in its text; ids below 0 are unknown, base has log10 p(word)."""
+        """log10 p of each token after those before it in its text; ids below 0 are unknown, base has log10 p(word).
+
+        Each distinct n-gram is looked up once; its context is its place among the distinct ones of the length before.
+        """
         starts = np.cumsum(sizes) - sizes
-        before = np.concatenate((ids[:1], ids[:-1]))
-        before[starts] = self.words
-        shard = np.where(before >= 0, before // self.per_shard, -1)
-        context, out = np.where(shard >= 0, before - shard * self.per_shard, -1), base
+        context = np.concatenate((ids[:1], ids[:-1]))
+        context[starts] = self.words
+        out, word = base, (ids + 1).astype(np.uint64)
+        shards, places = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         for level in range(self.order - 1):
-            below, out, place = out, out.copy(), np.full(len(ids), -1, dtype=np.int64)
-            for s in np.unique(shard[context >= 0]):
-                at = np.flatnonzero((shard == s) & (context >= 0))
-                if (levels := self.shard(int(s))) is not None:
-                    out[at], place[at] = levels[level].score(context[at], ids[at], below[at], self.words)
-            # a token's place is the context of the next one
-            context, shard = (np.concatenate((np.full(min(1, len(x)), -1), x[:-1])) for x in (place, shard))
+            at = np.flatnonzero(context >= 0)
+            keys, first, back = np.unique(context[at].astype(np.uint64) << np.uint64(32) | word[at], return_index=True, return_inverse=True)
+            c, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+            shard, local = (c // self.per_shard, c % self.per_shard) if level == 0 else (shards[c], places[c])
+            got, place = out[at[first]], np.full(len(keys), -1, dtype=np.int64)
+            # contexts are sorted by shard
+            edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else shard
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if (levels := self.shard(int(shard[lo]))) is not None:
+                    got[lo:hi], place[lo:hi] = levels[level].score(local[lo:hi], w[lo:hi], got[lo:hi], self.words)
+            out = out.copy()
+            out[at] = got[back]
+            # a token's n-gram is the context of the next one
+            own = np.full(len(ids), -1, dtype=np.int64)
+            own[at] = np.where(place[back] >= 0, back, -1)
+            context = np.concatenate((own[:1], own[:-1]))
             context[starts] = -1
+            shards, places = shard, place
         return out
 
 
