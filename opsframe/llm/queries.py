@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, filter_audit, langid, licenses, lm, neardup, packing, search, token_counts, warc
+from . import chat, decontam, filter_audit, langid, licenses, lm, neardup, packing, runs, search, token_counts, warc
 from .common import fold, table
 
 
@@ -71,6 +71,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.periodic_runs(docs)
+    best, line = runs.strongest(F.col("runs")), lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_best_fit_packing, op2_language_id, op3_topk_search, op4_license_scan, op5_chat_format, op6_decontaminate, op7_minhash_near_dup, op8_warc, op9_lm_score, op10_token_counts,
-    op13_filter_audit, pipeline,
+    op11_periodic_runs, op13_filter_audit, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,5 +125,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range
 
 ORACLE_SQL = {
     "op3_topk_search": _SEARCH_SQL, "op5_chat_format": _CHAT_SQL, "op6_decontaminate": decontam.ORACLE, "op7_minhash_near_dup": neardup.ORACLE, "op8_warc": _WARC_SQL,
-    "op13_filter_audit": filter_audit.ORACLE,
+    "op11_periodic_runs": runs.ORACLE, "op13_filter_audit": filter_audit.ORACLE,
 }
