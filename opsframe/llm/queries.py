@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, filter_audit, langid, licenses, lm, neardup, packing, runs, search, token_counts, warc
+from . import chat, decontam, filter_audit, langid, licenses, lm, neardup, packing, runs, search, suffix, token_counts, warc
 from .common import fold, table
 
 
@@ -81,6 +81,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -93,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_best_fit_packing, op2_language_id, op3_topk_search, op4_license_scan, op5_chat_format, op6_decontaminate, op7_minhash_near_dup, op8_warc, op9_lm_score, op10_token_counts,
-    op11_periodic_runs, op13_filter_audit, pipeline,
+    op11_periodic_runs, op12_suffix_dedup, op13_filter_audit, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,5 +130,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range
 
 ORACLE_SQL = {
     "op3_topk_search": _SEARCH_SQL, "op5_chat_format": _CHAT_SQL, "op6_decontaminate": decontam.ORACLE, "op7_minhash_near_dup": neardup.ORACLE, "op8_warc": _WARC_SQL,
-    "op11_periodic_runs": runs.ORACLE, "op13_filter_audit": filter_audit.ORACLE,
+    "op11_periodic_runs": runs.ORACLE, "op12_suffix_dedup": suffix.ORACLE, "op13_filter_audit": filter_audit.ORACLE,
 }
