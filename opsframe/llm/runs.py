@@ -96,13 +96,19 @@ def collapse(words: Sequence[bytes], runs: Sequence[tuple[int, int, int]]) -> st
     return b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode()
 
 
-def _result(b: pa.RecordBatch, words: list[list[bytes]], runs: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+def _rows(found: Sequence[Sequence[tuple[int, int, int]]]) -> pa.Array:
+    """The column of runs; its fields have an order, which inference would not keep."""
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
-    rows = [[{"start": s, "length": n, "period": q} for s, n, q in r] for r in runs]
+    return pa.array([[{"start": s, "length": n, "period": q} for s, n, q in f] for f in found], kind)
+
+
+def _result(b: pa.RecordBatch, words: list[list[bytes]], runs: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+    import pyarrow as pa
+
     return pa.RecordBatch.from_arrays(
-        [b.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(rows, kind), pa.array([collapse(w, r) for w, r in zip(words, runs, strict=True)], pa.string())],
+        [b.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), _rows(runs), pa.array([collapse(w, r) for w, r in zip(words, runs, strict=True)], pa.string())],
         ["doc_id", "n_words", "runs", "collapsed"],
     )
 
@@ -152,9 +158,9 @@ def periodic_runs(docs: DataFrame, text_col: str = "text", long: int = LONG, uni
                 ids, found = np.frombuffer(raw, dtype=np.int32), []
                 for q in range(lo, hi):
                     at, length = stretches(ids, q)
-                    found += [{"start": s, "length": n, "period": q} for s, n in zip(at.tolist(), length.tolist(), strict=True)]
+                    found += [(s, n, q) for s, n in zip(at.tolist(), length.tolist(), strict=True)]
                 if found:
-                    yield pa.RecordBatch.from_pydict({"key": [key], "found": [found]})
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), _rows([found])], ["key", "found"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
