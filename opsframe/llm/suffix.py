@@ -5,7 +5,8 @@ A window is WIDTH bytes. Equal windows must meet, wherever they are, without shi
    windows have equal marks, and windows in a row mostly share one, so they are one segment of the text. Blocks
    send the marks that they have, 12 bytes each, to the marks' groups.
 2. A group tells the blocks which marks occur more than once in all; only their segments can hold equal windows.
-3. Blocks send these segments' bytes to the groups of their marks. A group sorts its segments by mark and builds suffix
+3. Blocks send these segments' bytes to the groups of their marks, of equal segments the earliest one. A group does the
+   same over blocks, sorts its segments by mark and builds suffix
    arrays of whole marks, about UNIT bytes at a time, by two-stage sorting; of adjacent windows with a common prefix of
    WIDTH bytes all but the earliest repeat. The groups tell the blocks which windows are first.
 4. Blocks remove the bytes of the other windows of those segments.
@@ -13,7 +14,7 @@ Texts are never shuffled: tasks read blocks from the shared folder. Marks choose
 
 A mark with more than HOT segments, such as one of a line that a third of all documents have, is split by content: its windows
 are dealt by the place of the mark in them (CLASS places at a time) and by a hash of the bytes that all windows of these places hold, and equal
-segments are reduced to the earliest one in each block, then in CROWD groups, before they meet.
+segments are reduced in CROWD groups before they meet.
 """
 
 from __future__ import annotations
@@ -256,6 +257,17 @@ def _gather(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def earliest(segments: np.ndarray, age: np.ndarray, data: bytes) -> np.ndarray:
+    """Of segments with the same key and bytes (which follow each other in data) the one with the least (age, at)."""
+    ends = np.cumsum(segments["len"], dtype=np.int64).tolist()
+    best: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+    for i, (key, a, at, n, end) in enumerate(zip(segments["key"].tolist(), age.tolist(), segments["at"].tolist(), segments["len"].tolist(), ends, strict=True)):
+        x, old = (key, data[end - n : end]), (a, at, i)
+        if best.setdefault(x, old) > old:
+            best[x] = old
+    return np.array(sorted(i for _, _, i in best.values()), dtype=np.int64)
+
+
 def first_windows(segments: np.ndarray, rank: np.ndarray, data: np.ndarray, unit: int = UNIT) -> tuple[np.ndarray, np.ndarray]:
     """(segment, place in it) of the windows that are the earliest of those equal to them, by rank of the document and place.
 
@@ -407,7 +419,6 @@ def _send(folder: str, groups: int) -> Callable:
         docs, _, seg = _read_block(folder, block)
         cool, hot = _chosen(t, seg)
         rows: list[tuple] = []
-        # windows that repeat within the block in hot segments go once
         for parts, crowded in (((seg.key[cool], seg.at[cool], seg.n[cool]), False), (seg.split(np.flatnonzero(hot)) if hot.any() else None, True)):
             if parts is None or not len(parts[0]):
                 continue
@@ -440,18 +451,11 @@ def _pack(g: int, block: int, docs: pa.Table, made: np.ndarray, raw: np.ndarray,
     table["null"] = ids.is_null().to_numpy()
     table["id"] = ids.fill_null(0).to_numpy()
     table["hash"] = some.column("hash").to_numpy()
-    if crowded:
-        # of equal segments of a block only the earliest is sent
-        size = made["len"].astype(np.int64)
-        data = _gather(raw, made["at"].astype(np.int64), size).tobytes()
-        ends = np.cumsum(size).tolist()
-        best: dict[tuple[int, bytes], tuple] = {}
-        for i, (key, doc, at, n) in enumerate(made.tolist()):
-            age = (*table[doc].tolist(), at)
-            x = (key, data[ends[i] - n : ends[i]])
-            if x not in best or age < best[x][0]:
-                best[x] = (age, i)
-        made = made[sorted(i for _, i in best.values())]
+    age = np.empty(len(table), dtype=np.int64)
+    age[np.lexsort((used, table["hash"], table["id"], table["null"]))] = np.arange(len(table))
+    size = made["len"].astype(np.int64)
+    # of equal segments of a block only the earliest is sent
+    made = made[earliest(made, age[made["doc"]], _gather(raw, made["at"].astype(np.int64), size).tobytes())]
     return g, block, crowded, made.tobytes(), table.tobytes(), _gather(raw, made["at"].astype(np.int64), made["len"].astype(np.int64)).tobytes()
 
 
@@ -476,14 +480,7 @@ def _reduce(t: pa.Table) -> pa.Table:
     """Rows of a crowded group with the earliest of each segment only."""
     every, row, rank, data, blocks = _load(t)
     size = every["len"].astype(np.int64)
-    ends = np.cumsum(size).tolist()
-    raw = data.tobytes()
-    best: dict[tuple[int, bytes], tuple] = {}
-    for i, (s, r) in enumerate(zip(every.tolist(), rank.tolist(), strict=True)):
-        x = (s[0], raw[ends[i] - s[3] : ends[i]])
-        if x not in best or (r, s[2]) < best[x][0]:
-            best[x] = ((r, s[2]), i)
-    kept = np.array(sorted(i for _, i in best.values()))
+    kept = earliest(every, rank, data.tobytes())
     docs = t.column("docs").to_pylist()
     out = []
     for k in np.unique(row[kept]).tolist():
@@ -498,7 +495,12 @@ def _firsts(unit: int) -> Callable:
         import pyarrow as pa
 
         every, row, rank, data, blocks = _load(t)
-        which, inner = first_windows(every, rank, data, unit)
+        # copies have most of their segments whole: only the earliest of equal ones can hold first windows
+        kept = earliest(every, rank, data.tobytes())
+        size = every["len"].astype(np.int64)
+        data = _gather(data, np.cumsum(size)[kept] - size[kept], size[kept])
+        which, inner = first_windows(every[kept], rank[kept], data, unit)
+        which = kept[which]
         block, at = blocks[row[which]], every["at"][which].astype(np.int64) + inner
         order = np.lexsort((at, block))
         block, at = block[order], at[order]
