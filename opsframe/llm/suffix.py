@@ -35,7 +35,7 @@ if TYPE_CHECKING:
 
 WIDTH, GRAM = 100, 32
 #: Bytes of texts in a block, of marks and of segments in a group, and of segments in one suffix array, about.
-BLOCK, MARKS, GROUP, UNIT = 4 << 20, 4 << 20, 8 << 20, 2 << 20
+BLOCK, MARKS, GROUP, UNIT = 4 << 20, 4 << 20, 4 << 20, 1 << 20
 #: Segments of a mark from which it is split, places of the mark in a class, groups that a hot group's equal segments are reduced in.
 HOT, CLASS, CROWD = 1 << 15, 10, 16
 #: Windows of a segment at most: a text of one repeated byte has one mark.
@@ -459,7 +459,7 @@ def _pack(g: int, block: int, docs: pa.Table, made: np.ndarray, raw: np.ndarray,
     return g, block, crowded, made.tobytes(), table.tobytes(), _gather(raw, made["at"].astype(np.int64), made["len"].astype(np.int64)).tobytes()
 
 
-def _load(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _load(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
     """(segments, their row, rank of the document over blocks, bytes, blocks of the rows) of the rows of a group."""
     segments = [np.frombuffer(x, dtype=SEGMENT) for x in t.column("segments").to_pylist()]
     docs = [np.frombuffer(x, dtype=DOC) for x in t.column("docs").to_pylist()]
@@ -473,19 +473,19 @@ def _load(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     rank[order] = np.cumsum(new)
     row = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
     every = np.concatenate(segments)
-    return every, row, rank[begin[row] + every["doc"]], np.frombuffer(b"".join(t.column("bytes").to_pylist()), dtype=np.uint8), blocks
+    return every, row, rank[begin[row] + every["doc"]], b"".join(t.column("bytes").to_pylist()), blocks
 
 
 def _reduce(t: pa.Table) -> pa.Table:
     """Rows of a crowded group with the earliest of each segment only."""
     every, row, rank, data, blocks = _load(t)
     size = every["len"].astype(np.int64)
-    kept = earliest(every, rank, data.tobytes())
+    kept = earliest(every, rank, data)
     docs = t.column("docs").to_pylist()
     out = []
     for k in np.unique(row[kept]).tolist():
         some = kept[row[kept] == k]
-        out.append((t.column("g")[k].as_py(), blocks[k], True, every[some].tobytes(), docs[k], _gather(data, np.cumsum(size)[some] - size[some], size[some]).tobytes()))
+        out.append((t.column("g")[k].as_py(), blocks[k], True, every[some].tobytes(), docs[k], _gather(np.frombuffer(data, dtype=np.uint8), np.cumsum(size)[some] - size[some], size[some]).tobytes()))
     return _rows(out)
 
 
@@ -496,9 +496,9 @@ def _firsts(unit: int) -> Callable:
 
         every, row, rank, data, blocks = _load(t)
         # copies have most of their segments whole: only the earliest of equal ones can hold first windows
-        kept = earliest(every, rank, data.tobytes())
+        kept = earliest(every, rank, data)
         size = every["len"].astype(np.int64)
-        data = _gather(data, np.cumsum(size)[kept] - size[kept], size[kept])
+        data = _gather(np.frombuffer(data, dtype=np.uint8), np.cumsum(size)[kept] - size[kept], size[kept])
         which, inner = first_windows(every[kept], rank[kept], data, unit)
         which = kept[which]
         block, at = blocks[row[which]], every["at"][which].astype(np.int64) + inner
