@@ -13,6 +13,7 @@ from opsframe.operators.select import LogRequest, logical_filters
 from opsframe.sources import otlp
 from opsframe.sources.tables import LOGS_SQL, logs, micros, read, samples
 from opsframe.storage import materialize, shared_folder
+from opsframe.streaming import stateful
 from opsframe.streaming import windows as w
 
 from .q_logs import RANGE, R
@@ -262,7 +263,7 @@ def w12_files(spark, sf):
 @query("w5_tail_sampling_stream", f"""WITH s AS (SELECT epoch_us(ts) // {H} AS trace_id, count(*) AS n, bool_or(value > 480) AS bad, min(epoch_us(ts)) // 1000 * 1000 AS first FROM events GROUP BY 1) SELECT trace_id, n FROM s WHERE NOT bad AND first + {H} < {_MARK}""")
 def w5_stream(spark, sf):
     d = stream(spark, sf).where("not late").select(F.floor(micros("ts") / F.lit(H)).cast("long").alias("trace_id"), "ts", (F.col("value") > 480).alias("sdk"))
-    return ended(w.tail_sample_by_time(d, "sdk", wait="1 hour"), spark, "w5").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
+    return ended(stateful.tail_sample(d, "sdk", wait="1 hour"), spark, "w5").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w11_debounced_stream", f"""WITH o AS (SELECT event_type, ts, event_id, value, CASE WHEN ts >= lag(ts) OVER q + INTERVAL 30 MINUTE THEN 1 WHEN lag(ts) OVER q IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW q AS (PARTITION BY event_type ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM o)

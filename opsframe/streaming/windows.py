@@ -52,60 +52,6 @@ def service_graph(clients: DataFrame, servers: DataFrame, wait: str = "1 minute"
     return both.select("client", F.coalesce("server", F.lit("virtual_node")).alias("server"), (F.col("c_failed") | F.coalesce("s_failed", F.lit(False))).alias("failed"))
 
 
-def tail_sample(spans: DataFrame, drop_if: str, wait_ms: int = 30_000) -> DataFrame:
-    """Spans of traces that, `wait_ms` after their first span, have none for which the boolean column drop_if is true.
-
-    A trace's spans wait in its state; processing time ends the wait.
-    """
-    schema = spans.schema
-    names = schema.names
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            rows, bad = state.get
-            state.remove()
-            if not bad:
-                yield pd.DataFrame([tuple(r) for r in rows], columns=names)
-            return
-        rows, bad = state.get if state.exists else ([], False)
-        new = not state.exists
-        for b in batches:
-            bad = bad or bool(b[drop_if].any())
-            rows = [] if bad else [*rows, *b[names].itertuples(index=False, name=None)]
-        state.update((rows, bad))
-        if new:
-            state.setTimeoutDuration(wait_ms)
-
-    kept = f"rows array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in schema)}>>, bad boolean"
-    return spans.groupBy("trace_id").applyInPandasWithState(decide, schema, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def tail_sample_by_time(spans: DataFrame, drop_if: str, key: str = "trace_id", wait: str = "30 seconds", late: str = "2 minutes", ts: str = "ts") -> DataFrame:
-    """tail_sample() by the spans' own time: a trace is decided when the watermark passes its first span by `wait`; rows that come later are dropped with it."""
-    schema = spans.schema
-    names = schema.names
-    wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
-
-    def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            rows, bad, _ = state.get
-            state.remove()
-            if not bad:
-                yield pd.DataFrame([tuple(r) for r in rows], columns=names)
-            return
-        rows, bad, first = state.get if state.exists else ([], False, None)
-        for b in batches:
-            bad = bad or bool(b[drop_if].any())
-            early = int(b[ts].min().timestamp() * 1000)
-            first = early if first is None else min(first, early)
-            rows = [] if bad else [*rows, *b[names].itertuples(index=False, name=None)]
-        state.update((rows, bad, first))
-        state.setTimeoutTimestamp(max(first + wait_ms, state.getCurrentWatermarkMs() + 1))
-
-    kept = f"rows array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in schema)}>>, bad boolean, first long"
-    return spans.withWatermark(ts, late).groupBy(key).applyInPandasWithState(decide, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def debounced(changes: DataFrame, keys: Sequence[str], seq: str, op: str, gap: str = "2 seconds", late: str = "2 minutes", ts: str = "ts") -> DataFrame:
     """(keys, start, n, op): changes of a key that follow each other within the gap are one trigger, and the last operation wins."""
     w = F.session_window(ts, gap)
@@ -137,7 +83,7 @@ def dampened(firings: DataFrame, keys: Sequence[str], window: int, least: int, c
 
 
 def sampled(spans: DataFrame, drop_if: str) -> DataFrame:
-    """The batch form of tail_sample()."""
+    """Tail sampling of whole traces, as a batch."""
     bad = spans.groupBy("trace_id").agg(F.max(drop_if).alias("__bad"))
     return spans.join(bad.where("not __bad").select("trace_id"), "trace_id", "left_semi")
 
