@@ -45,8 +45,8 @@ if TYPE_CHECKING:
 END = 0xE2D0_F7E8_17A9_5C33
 #: Documents for each shard, tokens that a task holds before it sends their counts.
 SHARD_DOCS, HELD = 4096, 1 << 20
-#: Words of the longest n-grams, and how often those of three words or more occur at least.
-ORDER, LEAST_COUNT = 3, 2
+#: Words of the longest n-grams, and how often those of three words or more occur at least: 1 keeps all.
+ORDER, LEAST_COUNT = 3, 1
 BINS = 256
 
 
