@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.scalars import first_of
+from opsframe.storage import materialize
 
 #: Attribute keys by the instrumentation that sets them, in order of preference.
 MODEL_KEYS = ["gen_ai.response.model", "gen_ai.request.model", "llm.model_name", "langfuse.observation.model.name"]
@@ -43,43 +43,63 @@ def total(column: str) -> Column:
     return F.when(F.count(column) == F.count(F.lit(1)), F.sum(column))
 
 
-def assign_runs(steps: DataFrame) -> DataFrame:
-    """steps (trace_id, span_id, parent_span_id, sdk, identity) with run_id and issue.
+def _ascend(nodes: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """(nodes with up, least, tops; whether some ups are left), by pointer doubling: up is an ancestor twice as far each round.
 
-    A step belongs to the run of its nearest ancestor of the same sdk and identity, else starts one. A
-    missing parent or a cycle is an issue; a cycle is cut at its smallest span. A trace is one group.
+    least is the smallest span on the way to up, tops the highest ancestor so far of each key, the span itself included.
+    A round is one join by (trace, span), so a large trace is many keys; there are as many as log2 of the deepest span's depth.
     """
+    own = F.when(F.col("shared"), F.create_map("key", "span_id")).otherwise(F.create_map().cast("map<string,string>"))
+    state = nodes.select("trace_id", "span_id", F.col("parent").alias("up"), F.col("span_id").alias("least"), own.alias("tops"))
+    far = 1
+    while True:
+        state = materialize(state, "ascent")
+        if state.where("up is not null").isEmpty():
+            return state, False
+        if far > most:
+            return state, True
+        above = state.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("up").alias("next"), F.col("least").alias("least2"), F.col("tops").alias("tops2"))
+        met = state.where("up is not null").join(above, F.col("trace_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("s")))
+        # the higher one of two ancestors of a key stands in the upper part
+        tops = F.map_zip_with("tops", "tops2", lambda k, low, high: F.coalesce(high, low))
+        moved = met.select("trace_id", "span_id", F.col("next").alias("up"), F.least("least", "least2").alias("least"), tops.alias("tops"))
+        state = moved.unionByName(state.where("up is null"))
+        far *= 2
+
 
-    def walk(trace: pd.DataFrame) -> pd.DataFrame:
-        rows = {r.span_id: r for r in trace.itertuples()}
-        parent = {s: r.parent_span_id if isinstance(r.parent_span_id, str) else None for s, r in rows.items()}
-        issue: dict[str, str | None] = {s: "missing_parent" if p and p not in rows else None for s, p in parent.items()}
-        done: set[str] = set()
-        for s in sorted(rows):
-            chain: list[str] = []
-            x: str | None = s
-            while x in rows and x not in done and x not in chain:
-                chain.append(x)
-                x = parent[x]
-            if x in chain:
-                cut = min(chain[chain.index(x):])
-                issue[cut], parent[cut] = "cycle", None
-            done.update(chain)
-        run: dict[str, str] = {}
-        for s in rows:
-            chain, x = [], s
-            while x is not None and x in rows and x not in run:
-                chain.append(x)
-                x = parent[x]
-            for y in reversed(chain):
-                own, up = rows[y], parent[y]
-                while up in rows and (rows[up].sdk, rows[up].identity) != (own.sdk, own.identity):
-                    up = parent[up]
-                run[y] = run[up] if up in run else y
-        return trace.assign(run_id=[run[s] for s in trace["span_id"]], issue=[issue[s] for s in trace["span_id"]])
+def assign_runs(steps: DataFrame) -> DataFrame:
+    """steps (trace_id, span_id, parent_span_id, sdk, identity) with run_id and issue.
 
+    A step belongs to the run of its nearest ancestor of the same sdk and identity, else starts one; so its run is its highest
+    such ancestor. A missing parent or a cycle is an issue; a cycle is cut at its smallest span. Rows that repeat a span_id have one
+    parent, the smallest, and get one issue; a null span_id is a run of its own without a name, a null trace_id is one trace.
+    All of it is joins by (trace, span); what a span carries is its ancestors' keys that occur more than once in the trace.
+    """
     cols = steps.select("trace_id", "span_id", "parent_span_id", "sdk", "identity")
-    return cols.groupBy("trace_id").applyInPandas(walk, "trace_id string, span_id string, parent_span_id string, sdk string, identity string, run_id string, issue string")
+    cols = cols.withColumn("key", F.to_json(F.struct("sdk", "identity"), {"ignoreNullFields": "false"}))
+    one = cols.where("span_id is not null").groupBy("trace_id", "span_id").agg(F.min(F.struct(F.col("parent_span_id").isNull(), "parent_span_id", "key")).alias("x"))
+    one = one.select("trace_id", "span_id", F.nullif("x.parent_span_id", F.lit("")).alias("parent"), "x.key")
+    keys = one.groupBy("trace_id", "key").agg((F.count(F.lit(1)) > 1).alias("shared"))
+    same = lambda a, b: F.col(f"{a}.trace_id").eqNullSafe(F.col(f"{b}.trace_id"))
+    nodes = one.alias("o").join(keys.alias("k"), same("o", "k") & (F.col("o.key") == F.col("k.key"))).select("o.*", "shared")
+    spans = one.select("trace_id", "span_id")
+    nodes = nodes.alias("n").join(spans.alias("p"), same("n", "p") & (F.col("n.parent") == F.col("p.span_id")), "left")
+    missing = F.when(F.col("parent").isNotNull() & F.col("p.span_id").isNull(), "missing_parent")
+    nodes = materialize(nodes.select("n.trace_id", "n.span_id", F.col("p.span_id").alias("parent"), "key", "shared", missing.alias("issue")), "nodes")
+    most = nodes.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    state, cyclic = _ascend(nodes, most)
+    if cyclic:
+        # what is left points into cycles, at each of their spans; the way from there is the whole cycle
+        ends = state.where("up is not null").select("trace_id", F.col("up").alias("span_id")).distinct()
+        cut = ends.alias("e").join(state.alias("s"), same("e", "s") & (F.col("e.span_id") == F.col("s.span_id"))).select(F.col("s.trace_id").alias("t"), F.col("least").alias("c")).distinct()
+        nodes = nodes.join(cut, F.col("trace_id").eqNullSafe(F.col("t")) & (F.col("span_id") == F.col("c")), "left")
+        nodes = nodes.withColumn("issue", F.when(F.col("c").isNotNull(), "cycle").otherwise(F.col("issue"))).withColumn("parent", F.when(F.col("c").isNull(), F.col("parent"))).drop("t", "c")
+        nodes = materialize(nodes, "nodes")
+        state, _ = _ascend(nodes, most)
+    made = state.alias("s").join(nodes.alias("n"), same("s", "n") & (F.col("s.span_id") == F.col("n.span_id"))).select(
+        F.col("n.trace_id").alias("t"), F.col("n.span_id").alias("s"), F.coalesce(F.element_at("tops", F.col("key")), F.col("n.span_id")).alias("run_id"), "issue")
+    out = cols.join(made, F.col("trace_id").eqNullSafe(F.col("t")) & (F.col("span_id") == F.col("s")), "left")
+    return out.select("trace_id", "span_id", "parent_span_id", "sdk", "identity", "run_id", "issue")
 
 
 def roll_up(steps: DataFrame, by: str, start: str, text_in: str, text_out: str, model: str, tokens: str) -> DataFrame:
