@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import functions as F
 
-from opsframe.sources.tables import micros
+from opsframe.operators import lines
+from opsframe.sources.tables import micros, read
+from opsframe.storage import shared_folder
 from opsframe.streaming import stateful
 
 from .q_signals import _MARK, DAY, H, ended, stream
@@ -58,3 +61,28 @@ def w11_watch(spark, sf):
     d = stream(spark, sf).where("not late").select("event_type", "ts", "event_id", named("k", 3).alias("kind"), named("o", 50).alias("object"), op.alias("op"), F.col("event_id").cast("string").alias("version"))
     out = ended(stateful.watch_triggers(d, ["event_type"], "30 minutes", None, order=["event_id"]), spark, "w11")
     return out.withColumn("start", micros("start")).withColumn("ends", micros("ends"))
+
+
+_LINE = "CASE WHEN value > 80 THEN 'START ' ELSE '  at ' END || event_id || ' ' || event_type"
+
+
+@query("s24_multi_line_records", f"""WITH l AS (SELECT event_type, event_id, {_LINE} AS line, sum(CASE WHEN value > 80 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events),
+g AS (SELECT event_type, r, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY event_id)) AS message FROM l GROUP BY ALL) SELECT event_type, r - min(r) OVER (PARTITION BY event_type) AS record, n, message FROM g""")
+def s24_records(spark, sf):
+    path = f"{shared_folder(spark)}/opsframe-{uuid.uuid4().hex}/text"
+    head = F.when(F.col("value") > 80, "START ").otherwise("  at ")
+    e = read(spark, sf, "events").select("event_type", "event_id", F.concat(head, F.col("event_id").cast("string"), F.lit(" "), "event_type").alias("value"))
+    # a file a type, its lines in order
+    e.repartitionByRange(16, "event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
+    out = lines.records(lines.read_lines(spark, f"{path}/event_type=*"), start="^START ")
+    return out.select(F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type"), "record", F.col("n").cast("long").alias("n"), F.md5("message").alias("message"))
+
+
+@query("s24_record_stream", f"""WITH l AS (SELECT event_type, epoch_us(ts) AS t, event_id, {_LINE} AS line, CASE WHEN value > 80 OR lag(ts) OVER q IS NULL OR epoch_us(ts) >= epoch_us(lag(ts) OVER q) + {H} THEN 1 ELSE 0 END AS new FROM events WINDOW q AS (PARTITION BY event_type ORDER BY ts, event_id)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY t, event_id) AS r FROM l), g AS (SELECT event_type, r, min(t) AS start, max(t) AS last, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY t, event_id)) AS message FROM k GROUP BY ALL),
+x AS (SELECT *, lead(start) OVER (PARTITION BY event_type ORDER BY r) AS next FROM g) SELECT event_type, start, n, message FROM x WHERE least(coalesce(next, last + {H}), last + {H}) < {_MARK}""")
+def s24_stream(spark, sf):
+    head = F.when(F.col("value") > 80, "START ").otherwise("  at ")
+    d = stream(spark, sf).where("not late").select("event_type", "ts", "event_id", F.concat(head, F.col("event_id").cast("string"), F.lit(" "), "event_type").alias("line"))
+    out = ended(lines.record_stream(d, ["event_type"], start="^START ", flush="1 hour", order=["event_id"]), spark, "s24")
+    return out.select("event_type", micros("ts").alias("start"), "n", F.md5("message").alias("message"))
