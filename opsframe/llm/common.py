@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING, Any
@@ -91,16 +93,31 @@ def _through_arrow(df: DataFrame, path: str, f: ArrowMap, schema, owner: str = "
     return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
 
+#: Seconds that a worker keeps what it has cached after the last task that asked for it.
+IDLE = 10.0
 _cache: dict[str, dict[str, Any]] = {}
+_asked = [0.0]
 
 
 def cached(owner: str, key: str, make: Callable[[], Any]) -> Any:
     """make() once a worker and key. A worker lives on and runs other operators' tasks: it keeps what the
-    last owner made for one key, and nothing of others."""
-    if owner not in _cache or key not in _cache[owner]:
+    last owner made for one key, nothing of others, and nothing at all IDLE seconds after it was last asked for."""
+    _asked[0] = time.monotonic()
+    found = _cache.get(owner, {}).get(key)
+    if found is None:
         release()
-        _cache[owner] = {key: make()}
-    return _cache[owner][key]
+        found = make()
+        _cache[owner] = {key: found}
+        _asked[0] = time.monotonic()
+        threading.Thread(target=_drop_when_idle, daemon=True).start()
+    return found
+
+
+def _drop_when_idle() -> None:
+    """A worker that gets no task waits for one; this runs meanwhile. A task that still uses a thing holds it itself."""
+    while (left := _asked[0] + IDLE - time.monotonic()) > 0:
+        time.sleep(left)
+    release()
 
 
 def release(owner: str = "") -> None:
@@ -109,7 +126,7 @@ def release(owner: str = "") -> None:
     import gc
 
     for other in [k for k in _cache if k != owner]:
-        del _cache[other]
+        _cache.pop(other, None)
     gc.collect()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -87,6 +87,20 @@ def _unpack(words: np.ndarray, bits: int, index: np.ndarray) -> np.ndarray:
     return (words[word] >> shift | high) & np.uint64((1 << bits) - 1)
 
 
+def _byte_selects() -> np.ndarray:
+    """For each byte and rank the place of the byte's set bit of that rank."""
+    out = np.zeros((256, 8), dtype=np.uint64)
+    for byte in range(256):
+        for rank, at in enumerate(i for i in range(8) if byte >> i & 1):
+            out[byte, rank] = at
+    return out.ravel()
+
+
+_SELECT = _byte_selects()
+_U = np.arange(256, dtype=np.uint64)
+_ODD, _PAIRS, _NIBBLES, _ONES, _HIGH = (np.uint64(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
+
+
 class EliasFano:
     """A monotone sequence of n values below 2**64. The bits of a high part are found by a sampled directory."""
 
@@ -120,28 +134,61 @@ class EliasFano:
 
     @staticmethod
     def _within(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """The place of the left-th set bit (from 0) in each word."""
-        at = np.zeros(len(bits), dtype=np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            half = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-            up = left >= half
-            left, at = np.where(up, left - half, left), np.where(up, at + width, at)
-            bits = np.where(up, bits >> np.uint64(width), bits)
-        return at
+        """The place of the left-th set bit (from 0) in each word: its byte by running sums of all bytes' counts at once, then a table."""
+        left = left.astype(np.uint64)
+        c = bits - (bits >> _U[1] & _ODD)
+        c = (c & _PAIRS) + (c >> _U[2] & _PAIRS)
+        sums = (c + (c >> _U[4]) & _NIBBLES) * _ONES
+        # bytes whose running sum is at most left keep their high bit
+        byte = np.bitwise_count((left * _ONES | _HIGH) - sums & _HIGH).astype(np.uint64) << _U[3]
+        rank = left - (sums << _U[8] >> byte & _U[255])
+        return (byte + _SELECT[(bits >> byte & _U[255]) << _U[3] | rank]).astype(np.int64)
+
+    @staticmethod
+    def _lowest(bits: np.ndarray) -> np.ndarray:
+        """The place of the lowest set bit; 64 for none."""
+        return np.bitwise_count((bits & (~bits + _U[1])) - _U[1]).astype(np.int64)
 
     def _select(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th set bit (from 0) in high."""
         word = np.searchsorted(self.ranks, k, side="right") - 1
         return word * 64 + self._within(self.high[word], k - self.ranks[word])
 
-    def _before(self, h: np.ndarray) -> np.ndarray:
-        """How many values have a high part below h: the set bits before the zero that ends part h - 1."""
+    def _part(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values have a high part below h, and up to h: set bits before and after the zero that ends part h - 1."""
         if self.zeros is None:
             self.zeros = np.arange(len(self.ranks), dtype=np.int64) * 64 - self.ranks
         k = np.minimum(np.maximum(h - 1, 0), self.zeros[-1] - 1)
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        at = word * 64 + self._within(~self.high[word], k - self.zeros[word])
-        return np.where(h > 0, np.where(h - 1 < self.zeros[-1], np.minimum(at - k, self.n), self.n), 0)
+        at = word * 64 + self._within(~self.high[word], k - self.zeros[word]) + 1
+        at[h == 0] = 0
+        beyond = h - 1 >= self.zeros[-1]
+        below = np.where(beyond, self.n, np.minimum(at - h, self.n))
+        # the part's values are the set bits from there on; most stretches end in the same word
+        word = np.minimum(at >> 6, len(self.high) - 1)
+        after = ~self.high[word] >> (at & 63).astype(np.uint64)
+        upto = below + self._lowest(after)
+        far = np.flatnonzero((after == 0) & ~beyond)
+        while len(far):
+            word[far] += 1
+            inside = word[far] < len(self.high)
+            upto[far[~inside]] = self.n
+            far = far[inside]
+            more = self._lowest(~self.high[word[far]])
+            upto[far] = np.where(word[far] == (at[far] >> 6) + 1, below[far] + 64 - (at[far] & 63), upto[far]) + more
+            far = far[more == 64]
+        return below, np.where(beyond, self.n, np.minimum(upto, self.n))
+
+    def pair(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values k and k + 1."""
+        at = self._select(k)
+        shift = (at & 63).astype(np.uint64)
+        after = self.high[at >> 6] >> shift >> _U[1]
+        then = at + 1 + self._lowest(after)
+        far = np.flatnonzero(after == 0)
+        then[far] = self._select(k[far] + 1)
+        value = lambda x, k: ((x - k).astype(np.uint64) << np.uint64(self.low_bits) | _unpack(self.low, self.low_bits, k)) + np.uint64(self.first)
+        return value(at, k), value(then, k + 1)
 
     def get(self, k: np.ndarray) -> np.ndarray:
         k = k.astype(np.int64)
@@ -157,9 +204,9 @@ class EliasFano:
         rest = np.maximum(values, np.uint64(self.first)) - np.uint64(self.first)
         low = rest & np.uint64((1 << self.low_bits) - 1)
         high = (rest >> np.uint64(self.low_bits)).astype(np.int64)
-        ends = self._before(np.concatenate((high, high + 1)))
-        a = np.clip(ends[: len(high)], lo, hi)
-        b = end = np.clip(ends[len(high) :], a, hi)
+        below, upto = self._part(high)
+        a = np.clip(below, lo, hi)
+        b = end = np.clip(upto, a, hi)
         open_ = np.flatnonzero(a < b)
         a, b = a.copy(), b.copy()
         while len(open_):
@@ -203,7 +250,7 @@ def _load(uri: str) -> np.ndarray:
     """The file, mapped into memory where the store has local files, else read."""
     fs, path = store(uri)
     if fs.type_name == "local":
-        return np.memmap(path, dtype=np.uint8, mode="r")
+        return np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)  # slices of a memmap cost more
     with fs.open_input_file(path) as f:
         return np.frombuffer(f.read(), dtype=np.uint8)
 
@@ -434,7 +481,7 @@ class Level:
         c, of = context[new], np.cumsum(new) - 1
         inside = np.flatnonzero(c + 1 < self.pointers.n)
         lo, hi = np.zeros(len(c), dtype=np.int64), np.zeros(len(c), dtype=np.int64)
-        lo[inside], hi[inside] = self.pointers.get(c[inside]), self.pointers.get(c[inside] + 1)
+        lo[inside], hi[inside] = self.pointers.pair(c[inside])
         lo, hi = lo[of], hi[of]
         at = np.flatnonzero(hi > lo)
         w, c = word[at], context[at]
@@ -446,6 +493,16 @@ class Level:
         return out, place
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, where one of each is, which one each key is); np.unique() would sort stably, which takes longer."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.append(True, own[1:] != own[:-1])[: len(own)]
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return own[new], order[new], back
+
+
 class Ngrams:
     """Levels 2 and up, sharded by the first word's id."""
 
@@ -474,7 +531,7 @@ class Ngrams:
         shards, places = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         for level in range(self.order - 1):
             at = np.flatnonzero(context >= 0)
-            keys, first, back = np.unique(context[at].astype(np.uint64) << np.uint64(32) | word[at], return_index=True, return_inverse=True)
+            keys, first, back = distinct(context[at].astype(np.uint64) << np.uint64(32) | word[at])
             c, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
             shard, local = (c // self.per_shard, c % self.per_shard) if level == 0 else (shards[c], places[c])
             got, place = out[at[first]], np.full(len(keys), -1, dtype=np.int64)

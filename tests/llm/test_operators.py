@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -657,14 +658,11 @@ def test_workers_keep_no_other_operators_caches(spark):
         for b in batches:
             yield pa.RecordBatch.from_pydict({"held": [",".join(common._cache)]})
 
-    for _ in range(6):  # a worker without a task in between keeps what it has
-        common.materialize(spark.range(0, 200, 1, 200), "ids")
-        held = {r["held"] for r in spark.range(0, 200, 1, 200).mapInArrow(look, "held string").distinct().collect()}
-        if held == {""}:
-            break
+    time.sleep(common.IDLE + 3)
+    held = {r["held"] for r in spark.range(0, 200, 1, 200).mapInArrow(look, "held string").distinct().collect()}
     assert held == {""}
-    common.cached("one", "a", dict)
-    common.cached("two", "b", dict)
+    common.cached("one", "a", lambda: [1])
+    common.cached("two", "b", lambda: [2])
     assert list(common._cache) == ["two"]
     common.release()
     assert not common._cache
