@@ -7,6 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from opsframe.functions import cron
 from opsframe.operators import lines
 from opsframe.sources.tables import micros, read
 from opsframe.storage import shared_folder
@@ -86,3 +87,21 @@ def s24_stream(spark, sf):
     d = stream(spark, sf).where("not late").select("event_type", "ts", "event_id", F.concat(head, F.col("event_id").cast("string"), F.lit(" "), "event_type").alias("line"))
     out = ended(lines.record_stream(d, ["event_type"], start="^START ", flush="1 hour", order=["event_id"]), spark, "s24")
     return out.select("event_type", micros("ts").alias("start"), "n", F.md5("message").alias("message"))
+
+
+#: Schedules with what their fields mean: hours, minutes, months, days of the month and of the week, whether either day will do.
+_SPECS = [
+    ("*/20 8-17/3 * * mon-fri", "[8, 11, 14, 17]", "[0, 20, 40]", "range(1, 13)", "range(1, 32)", "[1, 2, 3, 4, 5]", False),
+    ("0 9 1,15 * 5", "[9]", "[0]", "range(1, 13)", "[1, 15]", "[5]", True), ("30 23 29 FEB *", "[23]", "[30]", "[2]", "[29]", "range(0, 7)", False),
+    ("@monthly", "[0]", "[0]", "range(1, 13)", "[1]", "range(0, 7)", False), ("15 6 31 4 *", "[6]", "[15]", "[4]", "[31]", "range(0, 7)", False), ("61 * * * *", "[]", "[]", "[]", "[]", "[]", False),
+]
+
+
+@query("fn_cron_next", f"""WITH s AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{x[0]}', {x[1]}::INT[], {x[2]}::INT[], {x[3]}::INT[], {x[4]}::INT[], {x[5]}::INT[], {x[6]})" for i, x in enumerate(_SPECS))}) v(k, spec, hours, minutes, months, doms, dows, either)),
+c AS (SELECT k, d, h * 60 + m AS slot FROM s, (SELECT unnest(range(DATE '2023-12-01', DATE '2029-12-31', INTERVAL 1 DAY)) AS d), (SELECT unnest(range(0, 24)) AS h), (SELECT unnest(range(0, 60)) AS m)
+ WHERE list_contains(months, month(d)) AND list_contains(hours, h) AND list_contains(minutes, m) AND CASE WHEN either THEN list_contains(doms, day(d)) OR list_contains(dows, dayofweek(d)) ELSE list_contains(doms, day(d)) AND list_contains(dows, dayofweek(d)) END),
+f AS (SELECT k, epoch_us(d) + slot * 60000000 AS t FROM c), e AS (SELECT event_id, user_id % 6 AS k, epoch_us(ts) AS t FROM events)
+SELECT event_id, spec, f.t AS next FROM e JOIN s USING (k) ASOF LEFT JOIN f ON e.k = f.k AND e.t < f.t""")
+def fn_cron(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.get(F.array(*[F.lit(x[0]) for x in _SPECS]), (F.col("user_id") % 6).cast("int")).alias("spec"), micros("ts").alias("t"))
+    return e.select("event_id", "spec", cron.next_fire(F.col("spec"), F.col("t")).alias("next"))
