@@ -22,7 +22,6 @@ a machine share the pages.
 
 from __future__ import annotations
 
-import math
 import struct
 import uuid
 import zlib
@@ -469,12 +468,12 @@ class Level:
         self.runs, at = EliasFano.at(raw, at)
         tables = raw[at : at + 16 * BINS].view("<f8")
         at += 16 * BINS
-        self.probs, self.backs, self.pcode = tables[:BINS], tables[BINS:], raw[at : at + n]
+        self.probs, self.backs, self.pcode = 10.0 ** tables[:BINS], 10.0 ** tables[BINS:], raw[at : at + n]
         at += n + (-n % 8)
         self.bcode, self.end = raw[at : at + m], at + m + (-m % 8)
 
     def score(self, context: np.ndarray, word: np.ndarray, base: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 p(word | context), place of the n-gram or -1), where base has log10 p without the context's first word; words below 0 are unknown, contexts aren't."""
+        """(p(word | context), place of the n-gram or -1), where base has p without the context's first word; words below 0 are unknown, contexts aren't."""
         out, place = base.copy(), np.full(len(word), -1, dtype=np.int64)
         # equal contexts lie together: each has its run looked up once
         new = np.append(True, context[1:] != context[:-1])
@@ -487,8 +486,8 @@ class Level:
         w, c = word[at], context[at]
         k, hit = self.runs.find((c * words + np.maximum(w, 0)).astype(np.uint64), lo[at], hi[at])
         hit &= w >= 0
-        low = base[at] + self.backs[self.bcode[c]]
-        low[hit] = np.log10(10.0 ** low[hit] + 10.0 ** self.probs[self.pcode[k[hit]]])
+        low = base[at] * self.backs[self.bcode[c]]
+        low[hit] += self.probs[self.pcode[k[hit]]]
         out[at], place[at[hit]] = low, k[hit]
         return out, place
 
@@ -520,7 +519,7 @@ class Ngrams:
         return self.open[s]
 
     def score(self, ids: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 p of each token after those before it in its text; ids below 0 are unknown, base has log10 p(word).
+        """p of each token after those before it in its text; ids below 0 are unknown, base has p(word).
 
         Each distinct n-gram is looked up once; its context is its place among the distinct ones of the length before.
         """
@@ -669,13 +668,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
         words, grams = cached("lm", key + "/score", lambda: (Words(m.words), Ngrams(m.ngrams, m.per, m.n, m.order)))
-        lowest = math.log10(0.5 / (m.tokens + 0.5 * (m.n + 1)))
+        whole = m.tokens + 0.5 * (m.n + 1)
         for b in batches:
             hashes, sizes = token_hashes(b)
             ids, counts = words.of(hashes)
-            base = np.log10(counts + 0.5) - math.log10(0.5) + lowest
+            alone = (counts + 0.5) / whole
             starts = np.cumsum(sizes) - sizes
-            full = grams.score(ids, sizes, base)
+            base, full = np.log10(alone), np.log10(grams.score(ids, sizes, alone))
             known = (counts > 0).astype(np.int64)
             sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (known, base, full)]
             yield pd.DataFrame({"n_tokens": sizes.astype(np.int64), "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
