@@ -13,25 +13,47 @@ from .registry import query
 DAY = 86_400_000_000
 
 
-@query("a6_red_benchmark_table", "SELECT 'service-' || i AS service, p AS protocol, 6.6667::DOUBLE AS rps, 0.25::DOUBLE AS error_rate, 6.6667::DOUBLE AS p50, 100.0::DOUBLE AS p95, 500.0::DOUBLE AS p99 FROM range(50) t(i), (VALUES ('http'), ('rpc')) v(p)")
-def a6(spark, sf):
-    out = red.summarise(red.request_table(spark, 50), ["service", "protocol"], 600_000_000, 600_000_000)
+#: Latency bounds of the request counters in seconds, and the counter of all requests.
+_BOUNDS = {"0.1": 0.1, "0.25": 0.25, "0.5": 0.5, "0.75": 0.75, "1": 1.0, "+Inf": 1e9, "count": 1e9}
+_TEN = 600_000_000
+
+
+def request_counters(lines, service: str):
+    """Cumulative request counters of a service and protocol, by status and bound, a sample a minute over ten minutes, from order lines."""
+    slot = (F.col("l_orderkey") + F.col("l_linenumber")) % 11
+    les = F.filter(F.array(*[F.struct(F.lit(k).alias("le"), F.lit(v).alias("bound")) for k, v in _BOUNDS.items()]), lambda x: x["bound"] >= F.col("l_quantity") / 50)
+    one = lines.select(F.col(service).cast("string").alias("service"), F.col("l_linestatus").alias("protocol"), F.when(F.col("l_returnflag") == "R", "500").otherwise("200").alias("status"), F.explode(les).alias("x"), slot.alias("slot"))
+    counts = one.groupBy("service", "protocol", "status", F.col("x.le").alias("le"), "slot").count()
+    grown = counts.withColumn("k", F.explode(F.sequence("slot", F.lit(10)))).groupBy("service", "protocol", "status", "le", "k").agg(F.sum("count").cast("double").alias("value"))
+    return grown.select("service", "protocol", "status", "le", (F.col("k") * 60_000_000).alias("t"), "value")
+
+
+def _red_sql(service: str, source: str) -> str:
+    at = "round(1000 * arg_min(l0 + (le - l0) * CASE WHEN v > c0 THEN ({q} * n - c0) / (v - c0) ELSE 0 END, le) FILTER (v >= {q} * n - 1e-9), 4) AS {name}"
+    return f"""WITH b AS (SELECT {service}::VARCHAR AS i, l_linestatus AS p, CASE WHEN l_returnflag = 'R' THEN '500' ELSE '200' END AS s, le, unnest(range((l_orderkey + l_linenumber) % 11, 11)) AS k FROM {source}, (VALUES {', '.join(f"('{k}', {v})" for k, v in _BOUNDS.items())}) y(le, bound) WHERE l_quantity / 50 <= bound),
+c AS (SELECT i, p, s, le, k, count(*)::DOUBLE AS value FROM b GROUP BY ALL),
+w AS (SELECT i, p, s, le, min(k) * 60.0::DOUBLE AS tf, arg_min(value, k) AS vf, max(value) - min(value) AS delta FROM c GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT i, p, s, le, delta * (600 - tf + CASE WHEN delta > 0 THEN least(CASE WHEN tf < 66 THEN tf ELSE 30 END, (600 - tf) * vf / delta) ELSE CASE WHEN tf < 66 THEN tf ELSE 30 END END) / (600 - tf) / 600 AS rate FROM w),
+m AS (SELECT i, p, le, sum(rate) AS v, coalesce(sum(rate) FILTER (s = '500'), 0) AS bad FROM r GROUP BY ALL), h AS (SELECT i, p, CASE WHEN le = '+Inf' THEN 'inf' ELSE le END::DOUBLE AS le, v FROM m WHERE le <> 'count'),
+g AS (SELECT *, coalesce(lag(le) OVER w, 0) AS l0, coalesce(lag(v) OVER w, 0) AS c0, last_value(v) OVER (PARTITION BY i, p ORDER BY le ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n FROM h WINDOW w AS (PARTITION BY i, p ORDER BY le)),
+q AS (SELECT i, p, {', '.join(at.format(q=q, name=n) for n, q in red.QUANTILES.items())} FROM g WHERE n > 0 GROUP BY i, p)
+SELECT m.i AS service, m.p AS protocol, round(v, 4) AS rps, round(bad / nullif(v, 0), 4) AS error_rate, p50, p95, p99 FROM m LEFT JOIN q ON m.i = q.i AND m.p = q.p WHERE le = 'count'"""
+
+
+def _red(lines, service: str):
+    out = red.summarise(request_counters(lines, service), ["service", "protocol"], _TEN, _TEN)
     return out.select("service", "protocol", *[F.round(c, 4).alias(c) for c in ("rps", "error_rate", "p50", "p95", "p99")])
 
 
-_REQUESTS = """b AS (SELECT i, p, s, le, w * f AS share FROM range(1000) t(i), (VALUES ('http'), ('rpc')) v(p), (VALUES ('200', 3), ('500', 1)) x(s, w),
- (VALUES ('0.01', 0.75), ('0.05', 0.9), ('0.1', 0.95), ('0.5', 0.99), ('1', 1.0), ('+Inf', 1.0), ('count', 1.0)) y(le, f)), c AS (SELECT *, (k + 1) * 100 * share AS value FROM b, range(11) z(k)),
-r AS (SELECT i, p, s, le, ((max(value) - min(value)) / 600)::DOUBLE AS rate FROM c GROUP BY ALL), m AS (SELECT i, p, le, sum(rate) AS v, sum(rate) FILTER (s = '500') AS bad FROM r GROUP BY ALL),
-h AS (SELECT i, p, CASE WHEN le = '+Inf' THEN 'inf' ELSE le END::DOUBLE AS le, v FROM m WHERE le <> 'count'),
-g AS (SELECT *, coalesce(lag(le) OVER w, 0) AS l0, coalesce(lag(v) OVER w, 0) AS c0, max(v) OVER (PARTITION BY i, p) AS n FROM h WINDOW w AS (PARTITION BY i, p ORDER BY le))"""
-_AT_RANK = "round(1000 * arg_min(l0 + (le - l0) * ({q} * n - c0) / (v - c0), le) FILTER (v >= {q} * n - 1e-9), 4) AS {name}"
+@query("a6_red_benchmark_table", _red_sql("s_nationkey", "lineitem JOIN supplier ON l_suppkey = s_suppkey"))
+def a6(spark, sf):
+    lines = read(spark, sf, "lineitem")
+    return _red(lines.join(read(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), lines.l_suppkey == F.col("s_suppkey")), "s_nationkey")
 
 
-@query("a6_red_thousand_services", f"""WITH {_REQUESTS}, q AS (SELECT i, p, {', '.join(_AT_RANK.format(q=q, name=n) for n, q in red.QUANTILES.items())} FROM g GROUP BY i, p)
-SELECT 'service-' || m.i AS service, m.p AS protocol, round(v, 4) AS rps, round(bad / v, 4) AS error_rate, p50, p95, p99 FROM m JOIN q ON m.i = q.i AND m.p = q.p WHERE le = 'count'""")
+@query("a6_red_thousand_services", _red_sql("l_suppkey", "lineitem"))
 def a6_thousand(spark, sf):
-    out = red.summarise(red.request_table(spark), ["service", "protocol"], 600_000_000, 600_000_000)
-    return out.select("service", "protocol", *[F.round(c, 4).alias(c) for c in ("rps", "error_rate", "p50", "p95", "p99")])
+    return _red(read(spark, sf, "lineitem"), "l_suppkey")
 
 
 _SVC = "SELECT event_type AS service, user_id % 3 AS protocol, value AS ms, value > 200 AS bad FROM events"
