@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +73,15 @@ the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""],
     "Unlicense": ["""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
-either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""],
+either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make
+this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org/>"""],
     "Apache-2.0": ["""Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
 License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""],
@@ -163,17 +172,36 @@ class Scanner:
             # no alignment has more words than text and template share, repeats counted
             if sum(min(n, have.get(x, 0)) for x, n in vocabulary.items()) / len(template) < self.least:
                 continue
-            for lo, hi in self._regions(w, template, vocabulary):
-                got = patience(w[lo:hi], template)
-                cover = len(got) / len(template)
-                if cover >= self.least and (name not in best or (cover, len(got)) > best[name][:2]):
-                    best[name] = cover, len(got), lo + got[0][0], lo + got[-1][0] + 1
+            at = [i for i, x in enumerate(w) if x in vocabulary]
+            own: tuple[float, int, int, int] | None = None
+            for regions in (self._regions, self._all_regions):
+                for lo, hi in regions(w, at, template, vocabulary):
+                    got = patience(w[lo:hi], template)
+                    cover = len(got) / len(template)
+                    if cover >= self.least and (own is None or (cover, len(got)) > own[:2]):
+                        own = cover, len(got), lo + got[0][0], lo + got[-1][0] + 1
+                if own:
+                    break
+            if own and (name not in best or own[:2] > best[name][:2]):
+                best[name] = own
         order = sorted(best, key=lambda x: (-best[x][0], -best[x][1], x))
         return [(x, best[x][0], *best[x][2:]) for x in order]
 
-    def _regions(self, w: list[str], template: list[str], vocabulary: Counter[str]) -> Iterator[tuple[int, int]]:
+    def _all_regions(self, w: list[str], at: list[int], template: list[str], vocabulary: Counter[str]) -> Iterator[tuple[int, int]]:
+        """Every stretch of one and of two template lengths that has enough of the template's words: where steps find nothing, none is left out."""
+        need, places = -(-round(self.least * len(template) * 1000) // 1000), np.array(at, dtype=np.int64)
+        if len(at) < need:
+            return
+        for length in (len(template), 2 * len(template)):
+            close = places[need - 1 :] - places[: len(places) - need + 1] < length
+            begins = np.unique(np.concatenate([np.arange(max(0, places[k + need - 1] - length + 1), places[k] + 1) for k in np.flatnonzero(close).tolist()] or [places[:0]]))
+            for lo in begins.tolist():
+                have = Counter(x for x in w[lo : lo + length] if x in vocabulary)
+                if sum(min(n, vocabulary[x]) for x, n in have.items()) >= self.least * len(template):
+                    yield lo, min(len(w), lo + length)
+
+    def _regions(self, w: list[str], at: list[int], template: list[str], vocabulary: Counter[str]) -> Iterator[tuple[int, int]]:
         reach, size = max(3, len(template) // 2), 2 * len(template)
-        at = [i for i, x in enumerate(w) if x in vocabulary]
         k = 0
         while k < len(at):
             m = k

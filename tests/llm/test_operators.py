@@ -213,21 +213,59 @@ class Unfiltered(licenses.Scanner):
         return {name for name, t, _ in self.all for lo in range(len(w)) for n in (len(t), 2 * len(t)) if len(licenses.patience(w[lo : lo + n], t)) >= self.least * len(t)}
 
 
+def aligned(text, template, ties):
+    """Patience alignment word by word, without work lists: common ends, then the longest chain of words unique to both sides, then the gaps."""
+    if not text or not template:
+        return []
+    if text[0] == template[0]:
+        return [(0, 0), *[(a + 1, b + 1) for a, b in aligned(text[1:], template[1:], ties)]]
+    if text[-1] == template[-1]:
+        return [*aligned(text[:-1], template[:-1], ties), (len(text) - 1, len(template) - 1)]
+    pairs = [(i, template.index(x)) for i, x in enumerate(text) if text.count(x) == 1 and template.count(x) == 1]
+    chains = []  # all chains that are the longest ones to their last pair
+    for i, (_, y) in enumerate(pairs):
+        to = [[*c, i] for c in chains if pairs[c[-1]][1] < y] or [[i]]
+        chains += [c for c in to if len(c) == max(map(len, to))]
+    longest = [c for c in chains if len(c) == max(map(len, chains))]
+    if not longest:
+        return []
+    if len(longest) > 1:
+        ties.append(longest)
+    chain = [pairs[i] for i in longest[0]]
+    out, ends = [], [(-1, -1), *chain, (len(text), len(template))]
+    for (a, c), (b, d) in zip(ends, ends[1:], strict=False):
+        out += [(a + 1 + i, c + 1 + j) for i, j in aligned(text[a + 1 : b], template[c + 1 : d], ties)] + ([(b, d)] if (b, d) != ends[-1] else [])
+    return out
+
+
+def test_patience_against_a_plain_recursion():
+    rng = random.Random(8)
+    alike = 0
+    for _ in range(600):
+        k = rng.choice([2, 5, 12, 30])
+        a, b = ([f"w{rng.randrange(k)}" for _ in range(rng.randrange(14))] for _ in range(2))
+        if rng.random() < 0.5:
+            b = [x for x in a if rng.random() < 0.8] + b[:2]
+        got, want = licenses.patience(a, b), aligned(a, b, ties := [])
+        assert all(a[i] == b[j] for i, j in got) and got == sorted(got) and all(x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+        assert ties or got == want  # of chains of one length either may be taken
+        alike += not ties
+    assert alike > 300
+    assert licenses.patience(list("abcdef"), list("abxdef")) == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
+
+
 def test_license_scan_against_all_regions():
     rng = random.Random(6)
     some = {k: [v[0]] for k, v in licenses.FULL_TEXTS.items() if k in ("MPL-2.0", "CC-BY-4.0", "CC0-1.0", "Unlicense")}
     fast, slow = licenses.Scanner(some, 0.8), Unfiltered(some, 0.8)
-    for _ in range(40):
+    for _ in range(120):
         w = licenses.words(rng.choice(list(some.values()))[0])
-        keep = rng.choice([0.75, 0.85, 0.95])
+        keep = rng.choice([0.75, 0.8, 0.82, 0.85, 0.95])
         w = [x for x in w if rng.random() < keep]
         w = [rng.choice(["the", "license", "of", "plain"]) for _ in range(rng.randrange(30))] + w + [rng.choice(["software", "words", "public"]) for _ in range(rng.randrange(30))]
         text = " ".join(w * rng.choice([1, 1, 2]))
         found = {x[0] for x in fast.scan(text)}
-        # each region that it aligns is one of all; what it misses is within a step of a region's edge, a word or two
-        assert found <= slow.covered(text)
-        near = Unfiltered(some, 0.86).covered(text)
-        assert near <= found
+        assert found == slow.covered(text)
 
 
 def test_license_scan_tells_full_texts_apart(spark):
