@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opsframe.llm import filter_audit, queries, runs, suffix
+from opsframe.llm import filter_audit, langid, queries, runs, suffix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -240,3 +241,61 @@ def test_queries_give_the_digests(spark):
             r = got[d["doc_id"]]
             assert r["n_runs"] == len(found) and r["runs_sha256"] == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in found).encode()).hexdigest()
             assert r["collapsed_sha256"] == hashlib.sha256(brute_collapsed(words, found).encode()).hexdigest()
+
+
+# --- 2: the mixture against plain loops ------------------------------------------------------------------
+
+
+def plain_em(p, steps):
+    """p: a row of probabilities a trigram."""
+    n = len(p[0])
+    share = [1 / n] * n
+    for _ in range(steps):
+        total = [0.0] * n
+        for row in p:
+            whole = sum(s * x for s, x in zip(share, row, strict=True))
+            for k in range(n):
+                total[k] += share[k] * row[k] / whole
+        share = [t / len(p) for t in total]
+    return share, sum(math.log(sum(s * x for s, x in zip(share, row, strict=True))) for row in p)
+
+
+def plain_languages(model, text):
+    """Languages by trying every one that could be added, with the whole likelihood of each set."""
+    p = model.p[langid.grams(text)].astype(float)
+    every = range(len(model.langs))
+    chosen = [max(every, key=lambda k: float(np.log(p[:, k]).sum()))]
+    share, value = [1.0], float(np.log(p[:, chosen[0]]).sum())
+    while len(chosen) < len(model.langs):
+        tried = {k: plain_em(p[:, [*chosen, k]].tolist(), langid.STEPS) for k in every if k not in chosen}
+        k = max(tried, key=lambda k: tried[k][1])
+        new, best = tried[k]
+        if (best - value) / 3 <= 0.5 * langid.PENALTY * math.log(len(p) + 1) or min(new) < langid.LEAST_SHARE:
+            break
+        chosen, share, value = [*chosen, k], new, best
+    return dict(zip([model.langs[k] for k in chosen], share, strict=True))
+
+
+def test_language_mixtures_against_plain_loops(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and length(text) > 300").select("text", "lang").orderBy("doc_id").collect()]
+    langs = sorted({r["lang"] for r in rows})
+    counts = np.zeros((len(langs), langid.BUCKETS))
+    for r in rows[::2]:
+        counts[langs.index(r["lang"])] += np.bincount(langid.grams(r["text"]), minlength=langid.BUCKETS)
+    model, rng, same = langid.Mixture(langs, counts), random.Random(1), 0
+    texts = [" ".join(rng.choice(rows[1::2])["text"][:250] for _ in range(k)) for k in (1, 1, 2, 2, 3) for _ in range(6)]
+    for text in texts:
+        got, want = dict(model.infer(text)), plain_languages(model, text)
+        assert max(got, key=lambda k: (got[k], k)) == max(want, key=lambda k: (want[k], k)) or len(got) != len(want)
+        if set(got) == set(want):
+            same += 1
+            assert all(abs(got[k] - want[k]) < 1e-3 for k in got)
+    # one step of a slope chooses which language to try; trying all of them hardly ever says otherwise
+    assert same >= len(texts) - 2 and any(len(model.infer(t)) > 1 for t in texts)
+
+
+def test_equal_languages_go_to_the_first_name_and_repeats_stay(spark):
+    rows = [(1, "uno due tre quattro", "b"), (2, "uno due tre quattro", "a"), (2, "uno due tre quattro", "a"), (None, "uno due tre", None), (None, "uno due tre", None), (3, None, "a"), (4, "12 34", "b")]
+    docs = spark.createDataFrame([(i, t, k, "own", 1) for i, t, k in rows], "doc_id long, text string, lang string, lang_pred string, score int")
+    got = Counter((r["doc_id"], r["lang_pred"]) for r in langid.detect(docs, langid.fit(docs)).collect())
+    assert got == Counter([(1, "a"), (2, "a"), (2, "a"), (None, "a"), (None, "a"), (3, "und"), (4, "und")])
