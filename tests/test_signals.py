@@ -37,7 +37,7 @@ def test_specs(spark):
     got = [(x["kind"], x["spec"]) for x in specs.normalise(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, kind string, spec map<string,string>")).orderBy("i").collect()]
     assert got[0] == ("metric_burn_rate", {"slo": "99.9", "sli": "x"}) and got[1] == ("metric_burn_rate", {"slo": "99.5"})
     assert got[2] == ("metric_forecast", {"operator": ">=", "fit_window": "1h", "predict_seconds": "21600"}) and got[3] == ("", {"other": "1"})
-    assert got[4] == ("log_match", {"threshold": "1", "window": "5m", "operator": ">="}) and got[5] == ("", {})
+    assert got[4] == ("log_match", {"threshold": "1", "window": "5m", "operator": ">=", "stream_selector": '{source=~"journald(:.*)?"}'}) and got[5] == ("", {})
 
 
 def test_logical_fields():
