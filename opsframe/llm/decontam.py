@@ -9,7 +9,7 @@ cover it: 128 bits.
 
 Documents are read once: each gives a row for itself and a row per kept hash. Kept hashes, windows and
 sets of items are each broadcast if their own number, for sets that of all their ids, is at most BROADCAST_ROWS, else
-they are joined by a shuffle. Windows, not item pairs, are joined, and windows that the same items have share one set of items,
+they are joined by a shuffle, in which rows without a value are spread by document. Windows, not item pairs, are joined, and windows that the same items have share one set of items,
 so a passage of many items or documents makes one row a document.
 """
 
@@ -107,6 +107,17 @@ def _by_length(w: Column, lengths: list[int]) -> Column:
     return out
 
 
+def left_join(rows: DataFrame, to: DataFrame, on: list[str], keys: tuple[str, ...], small: bool) -> DataFrame:
+    """rows joined to `to` on columns that are null together: by a broadcast if small, else by a shuffle in which rows without a value
+    go to partitions by their keys instead of all to that of null. `to` has no nulls there."""
+    if small:
+        return rows.join(F.broadcast(to), on, "left")
+    own = F.col(on[0]).isNull()
+    apart = rows.withColumn("own", own).withColumns({c: F.coalesce(c, F.xxhash64(*keys)) for c in on})
+    met = apart.join(to.withColumn("own", F.lit(False)), [*on, "own"], "left")
+    return met.withColumns({c: F.when(~F.col("own"), F.col(c)) for c in on}).drop("own")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs (doc_id, text).
 
@@ -130,13 +141,10 @@ def by_text(docs: DataFrame, items: DataFrame) -> DataFrame:
     # the document's own mark holds its number of words
     marks = let(words(text), lambda w: F.concat(F.array(_mark(F.lit(0), F.lit(None), F.size(w), F.array())), _kept(w), *[_short(w, n) for n in lengths]))
     rows = docs.select("doc_id", text_key().alias("tk"), F.explode(marks).alias("m")).select(*keys, "m.*")
-    if few["prints"]:
-        met = rows.join(F.broadcast(prints.withColumn("met", F.lit(True))), "fp", "left").where("met or len = 0").drop("met")
-    else:
-        met = rows.where("len > 0").join(prints, "fp", "left_semi").unionByName(rows.where("len = 0"))
+    met = left_join(rows, prints.withColumn("met", F.lit(True)), ["fp"], keys, few["prints"]).where("met or len = 0").drop("met")
     around = _windows(met, *keys)
     to = known.select("a", "b", "set")
-    around = around.join(F.broadcast(to) if few["windows"] else to, ["a", "b"], "left")
+    around = left_join(around, to, ["a", "b"], keys, few["windows"])
     hit = F.col("set").isNotNull()
     per = around.groupBy(*keys).agg(
         F.max("n").cast("long").alias("n_words"), F.count("n").alias("copies"),
@@ -144,7 +152,7 @@ def by_text(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
     per = per.select(*keys, "n_words", "copies", F.size(covered).cast("long").alias("n_hit"), F.explode_outer("sets").alias("set"))
-    per = per.join(F.broadcast(sets) if few["ids"] else sets, "set", "left")
+    per = left_join(per, sets, ["set"], keys, few["ids"])
     ids = F.array_distinct(F.flatten(F.collect_set("items")))
     out = per.groupBy(*keys).agg(F.first("n_words").alias("n_words"), F.first("copies").alias("copies"), F.first("n_hit").alias("n_hit"), ids.alias("ids"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

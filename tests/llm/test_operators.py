@@ -357,6 +357,24 @@ def brute_decontam(texts, items):
     return out
 
 
+def test_rows_without_a_window_are_spread(spark):
+    """In joins by shuffle the rows without a value, most of all, are not one partition's."""
+    F, was = common.F, {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    rows = spark.range(4000).selectExpr("id AS doc_id", "id AS tk", "IF(id % 100 = 0, id, NULL) AS a", "IF(id % 100 = 0, id, NULL) AS b")
+    to = spark.range(0, 4000, 200).selectExpr("id AS a", "id AS b", "id AS set")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = decontam.left_join(rows, to, ["a", "b"], ("doc_id", "tk"), False).withColumn("p", F.spark_partition_id())
+        parts = [r["count"] for r in out.groupBy("p").count().collect()]
+        assert len(parts) > 4 and max(parts) < 1000
+        got = sorted(map(tuple, out.select("doc_id", "a", "b", "set").collect()), key=str)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == sorted(map(tuple, decontam.left_join(rows, to, ["a", "b"], ("doc_id", "tk"), True).select("doc_id", "a", "b", "set").collect()), key=str)
+
+
 @pytest.mark.parametrize("broadcast", [1 << 20, 0])
 def test_decontaminate(spark, monkeypatch, broadcast):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
