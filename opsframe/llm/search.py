@@ -10,14 +10,15 @@ blocks are the same ranges of texts for all lists, so a list's cursor moves from
 WAND's pivot test, whether the maxima of the lists that are present can add up to the threshold, is
 taken for all blocks of a query at once. Where it fails, every list skips its part of the block.
 
-The threshold is a query's k-th best score so far. A shard scores the FIRST_BLOCKS blocks with the
-highest sums first, which raises it, and a task takes it along from shard to shard and returns k rows
-a query. So there are (groups of shards) x k rows a query before the merge, however many shards there are.
+The threshold is a query's k-th best score so far. A query's blocks with the highest sums come first,
+which raises it, each block raises it further, and a task takes it along from shard to shard and returns
+k rows a query. So there are (groups of shards) x k rows a query before the merge, however many shards there are.
 
-The COMMON most frequent terms of a shard also have their impacts by block as small dense tiles. In a
-block that passes, these are multiplied first, in single precision; then the test is taken again with
-their sums in place of their maxima, and only where it holds are the other lists' postings read. What
-reaches the threshold within the error of that is scored again, term by term in double precision.
+Lists that many of a block's texts have are rows of its tile, a small dense matrix of impacts. In a block
+that passes, the weights of all queries that ask there are multiplied with it at once, in single
+precision; then the test is taken again with these sums in place of the maxima, and only where it holds
+are the other lists' postings read. What reaches the threshold within the error of that is scored again
+in double precision, from the terms that a text has.
 
 Shards are files in the shared folder. A task is a block of queries and a group of shards, and holds
 one shard at a time.
@@ -42,8 +43,9 @@ from .warc import store
 from .wordhash import word_hashes
 
 K1, B = 1.2, 0.75
-#: Documents of a shard, texts of a block, blocks that are scored first, terms with tiles.
-SHARD, BLOCK, FIRST_BLOCKS, COMMON = 16384, 32, 16, 1024
+#: Documents of a shard, texts of a block, most rows of a block's tile; a list is dense in a block where more than one in DENSE of its
+#: texts has it; of a query's blocks one in FIRST is scored before the others.
+SHARD, BLOCK, COMMON, DENSE, FIRST = 16384, 2048, 1024, 20, 16
 #: Queries that a task asks, and how many of them at once; groups of shards at least, if there are so many shards.
 TASK_QUERIES, QUERY_BLOCK, GROUPS = 2048, 128, 12
 #: Hashes that a task holds before it sends their counts; relative error of single precision sums, with room.
@@ -99,36 +101,36 @@ def _firsts(x: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The index of some documents. scored and skipped count postings of the queries' terms."""
+    """The index of some documents. scored counts the postings of sparse lists that were read, skipped those that a pass left out, so one that
+    the first pass leaves to the second counts there too."""
 
-    #: ids: of all copies, by text; id_at: where a text's begin; norm: of each text; terms: sorted; at: where a term's postings begin;
-    #: doc, tf: postings by (term, text); parts: where lists' parts begin; part_at: the first part of each term.
-    ARRAYS = ("ids", "id_at", "norm", "terms", "at", "doc", "tf", "parts", "part_at")
+    #: ids: of all copies, by text; id_at: where a text's begin; norm: of each text; terms: sorted; doc, tf: postings by (term, text);
+    #: parts: where lists' parts begin; part_at: the first part of each term; own, own_tf: numbers of a text's terms, by (text, term); own_at: where a text's begin.
+    ARRAYS = ("ids", "id_at", "norm", "terms", "doc", "tf", "parts", "part_at", "own", "own_tf", "own_at")
 
     def __init__(self, arrays: dict[str, np.ndarray], block: int = BLOCK, common: int = COMMON):
         for name in self.ARRAYS:
             setattr(self, name, arrays[name])
         n, self.block, self.blocks = len(self.norm), block, -(-len(self.norm) // block)
+        self.copies = np.diff(self.id_at)
         self.impact = (self.tf * (K1 + 1) / (self.tf + self.norm[self.doc])).astype(np.float32)
-        self.keys = (np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.at)) << 32) + self.doc
-        self.part_block = (self.doc[self.parts[:-1]] // block).astype(np.int32)
-        self.part_max = np.maximum.reduceat(self.impact, self.parts[:-1]) if len(self.parts) > 1 else np.empty(0, dtype=np.float32)
-        size = np.diff(self.at)
-        often = np.sort(np.argsort(-size, kind="stable")[:common])
-        often = often[size[often] > 1]
-        self.tile_of = np.full(len(size), -1, dtype=np.int32)
-        self.tile_of[often] = np.arange(len(often))
-        # a tile has a row for each part of a common term's list in the block
-        part = _spans(self.part_at[often], self.part_at[often + 1])
-        column = np.repeat(np.arange(len(often)), self.part_at[often + 1] - self.part_at[often])
-        order = np.argsort(self.part_block[part], kind="stable")
-        part, self.column = part[order], column[order]
-        self.row_at = np.searchsorted(self.part_block[part], np.arange(self.blocks + 1))
-        self.rows = np.zeros((len(part), block), dtype=np.float32)
-        posts = _spans(self.parts[part], self.parts[part + 1])
-        self.rows[np.repeat(np.arange(len(part)), self.parts[part + 1] - self.parts[part]), self.doc[posts] % block] = self.impact[posts]
-        self.most = np.zeros((self.blocks, len(often)), dtype=np.float32)
-        self.most[self.part_block[part], self.column] = self.part_max[part]
+        size = np.diff(self.parts)
+        self.part_block = (self.doc[self.parts[:-1]] // block).astype(np.min_scalar_type(self.blocks))
+        self.part_max = np.maximum.reduceat(self.impact, self.parts[:-1]) if len(size) else np.empty(0, dtype=np.float32)
+        # the block's row of a part whose list is dense there
+        self.row_of = np.full(len(size), -1, dtype=np.int32)
+        self.tiles: list[np.ndarray] = []
+        often = np.flatnonzero(size > max(1, block // DENSE))
+        for b in range(self.blocks):
+            part = often[self.part_block[often] == b]
+            if len(part) > common:
+                part = np.sort(part[np.argsort(-size[part], kind="stable")[:common]])
+            self.row_of[part] = np.arange(len(part))
+            tile = np.zeros((len(part), min(block, n - b * block)), dtype=np.float32)
+            posts = _spans(self.parts[part], self.parts[part + 1])
+            tile[np.repeat(np.arange(len(part)), size[part]), self.doc[posts] - b * block] = self.impact[posts]
+            self.tiles.append(tile)
+        self.weight = np.zeros(len(self.terms))
         self.scored = self.skipped = 0
 
     @classmethod
@@ -145,18 +147,22 @@ class Shard:
         length = np.array([n.sum() for _, n, _ in texts], dtype=np.float64)
         join = lambda xs, kind: np.concatenate([*xs, np.empty(0, dtype=kind)]).astype(kind)
         term, tf = join([t for t, _, _ in texts], np.uint64), join([n for _, n, _ in texts], np.int32)
-        doc = np.repeat(np.arange(len(texts), dtype=np.uint32), [len(t) for t, _, _ in texts])
+        tf = tf.astype(np.min_scalar_type(int(tf.max()) if len(tf) else 0))
+        sizes = [len(t) for t, _, _ in texts]
+        doc = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)
         order = np.argsort(term, kind="stable")
-        term, doc, tf = term[order], doc[order], tf[order]
+        term, doc, own_tf = term[order], doc[order], tf
         at = _firsts(term)
         new = np.zeros(len(term) + 1, dtype=bool)
         new[at] = True
+        own = np.empty(len(term), dtype=np.uint32)
+        own[order] = np.cumsum(new[:-1], dtype=np.uint32) - np.uint32(1)
         new[1:-1] |= doc[1:] // block != doc[:-1] // block
         parts = np.flatnonzero(new[:-1])
         return {
             "ids": join([x for _, _, x in texts], np.int64), "id_at": np.cumsum([0, *[len(x) for _, _, x in texts]]), "norm": K1 * (1 - B + B * length / max(average, 1e-9)),
-            "terms": term[at], "at": np.append(at, len(term)), "doc": doc, "tf": tf.astype(np.min_scalar_type(int(tf.max()) if len(tf) else 0)),
-            "parts": np.append(parts, len(term)), "part_at": np.append(np.searchsorted(parts, at), len(parts)),
+            "terms": term[at], "doc": doc, "tf": tf[order], "parts": np.append(parts, len(term)), "part_at": np.append(np.searchsorted(parts, at), len(parts)),
+            "own": own, "own_tf": own_tf, "own_at": np.cumsum([0, *sizes]),
         }
 
     def _terms(self, query: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,91 +174,110 @@ class Shard:
         hit = self.terms[at] == t
         return at[hit], w[hit]
 
-    def _ask(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list]:
-        """(weights of the common terms, what the maxima of the other lists add up to by query and block, each query's terms, weights, parts of the other lists and their weights)."""
-        asked = np.zeros((len(queries), self.most.shape[1]), dtype=np.float32)
-        rest = np.zeros((len(queries), self.blocks), dtype=np.float32)
-        lists = []
-        for i, query in enumerate(queries):
-            t, w = self._terms(query)
-            k = self.tile_of[t]
-            asked[i, k[k >= 0]] = w[k >= 0]
-            rare, wr = t[k < 0], w[k < 0].astype(np.float32)
-            lo, hi = self.part_at[rare], self.part_at[rare + 1]
-            parts, weights = _spans(lo, hi), np.repeat(wr, hi - lo)
-            rest[i] = np.bincount(self.part_block[parts], weights=weights * self.part_max[parts], minlength=self.blocks)
-            lists.append((t, w, parts, weights))
-        return asked, rest, lists
-
-    def _score(self, asked: np.ndarray, rest: np.ndarray, lists: list, live: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Scores by query and text in the live blocks, 0 elsewhere and where no score of the block can reach least. live: by query and block.
-
-        Tiles come first; with their sums in place of their maxima the pivot test is taken again, before postings are read.
+    def _score(self, b: int, number: np.ndarray, least: np.ndarray, rest: np.ndarray, asked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Scores by query and text of block b, 0 where no score of the block can reach least. number: of each query, -1 for those that don't ask
+        here; least and rest: of those that do, rest being what the maxima of the sparse lists add up to; asked: the parts of all queries' lists, whose queries, their weights.
+
+        The tile comes first; with its sums in place of their maxima the pivot test is taken again, before postings are read.
         """
-        n = len(lists)
-        scores = np.zeros((n, self.blocks, self.block), dtype=np.float32)
-        live, by_term = live.copy(), np.ascontiguousarray(asked.T)
-        for b in np.flatnonzero(live.any(axis=0)):
-            row = slice(self.row_at[b], self.row_at[b + 1])
-            got = by_term[self.column[row]].T @ self.rows[row]
-            live[:, b] &= got.max(axis=1) + rest[:, b] >= least
-            np.multiply(got, live[:, b, None], out=scores[:, b])
-        scores = scores.reshape(n, -1)
-        for i, (_, _, parts, weights) in enumerate(lists):
-            on = live[i][self.part_block[parts]]
-            self.skipped += int((self.parts[parts[~on] + 1] - self.parts[parts[~on]]).sum())
-            parts, weights = parts[on], weights[on]
-            if len(parts):
-                lo, hi = self.parts[parts], self.parts[parts + 1]
-                posts = _spans(lo, hi)
-                scores[i] += np.bincount(self.doc[posts], weights=np.repeat(weights, hi - lo) * self.impact[posts], minlength=scores.shape[1])
-                self.scored += len(posts)
-        return scores
+        part, query, weight = asked
+        tile, query = self.tiles[b], number[query]
+        row = self.row_of[part]
+        dense = (row >= 0) & (query >= 0)
+        by_row = np.zeros((len(least), len(tile)), dtype=np.float32)
+        by_row[query[dense], row[dense]] = weight[dense]
+        got = by_row @ tile
+        out = (got.max(axis=1) + rest) * (1 + ERROR) < least
+        got[out] = 0
+        sparse = (row < 0) & (query >= 0)
+        part, query, weight = part[sparse], query[sparse], weight[sparse]
+        size = self.parts[part + 1] - self.parts[part]
+        on = ~out[query]
+        self.skipped += int(size[~on].sum())
+        part, query, weight, size = part[on], query[on], weight[on], size[on]
+        self.scored += int(size.sum())
+        posts = _spans(self.parts[part], self.parts[part] + size)
+        cell = np.repeat(query * tile.shape[1] - b * self.block, size) + self.doc[posts]
+        got += np.bincount(cell, weights=np.repeat(weight, size) * self.impact[posts], minlength=got.size).reshape(got.shape)
+        return got
 
     def exact(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores in double precision, summed in the order of the terms."""
-        want = (terms[:, None].astype(np.int64) << 32) + docs
-        at = np.minimum(np.searchsorted(self.keys, want.ravel()), len(self.keys) - 1).reshape(want.shape)
-        tf = np.where(self.keys[at] == want, self.tf[at], 0).astype(np.float64)
-        return (weights[:, None] * (tf * (K1 + 1) / (tf + self.norm[docs]))).cumsum(axis=0)[-1]
+        self.weight[terms] = weights
+        size = self.own_at[docs + 1] - self.own_at[docs]
+        posts, each = _spans(self.own_at[docs], self.own_at[docs + 1]), np.repeat(np.arange(len(docs)), size)
+        weight = self.weight[self.own[posts]]
+        hit = np.flatnonzero(weight)
+        weight, posts, each = weight[hit], posts[hit], each[hit]
+        tf = self.own_tf[posts].astype(np.float64)
+        got = np.bincount(each, weights=weight * (tf * (K1 + 1) / (tf + self.norm[docs][each])), minlength=len(docs))
+        self.weight[terms] = 0
+        return got
+
+    def _raise(self, found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of found (queries, texts, scores) that may be among the k best, by query and falling score; raises least."""
+        order = np.lexsort((-found[2], found[0]))
+        q, d, s = (x[order] for x in found)
+        first = _firsts(q)
+        n = np.cumsum(self.copies[d])
+        before = n[first] - self.copies[d[first]]
+        at = np.searchsorted(n, before + k)
+        full = at < np.append(first[1:], len(q))
+        least[q[first[full]]] = np.maximum(least[q[first[full]]], s[at[full]] * (1 - ERROR))
+        kept = s >= least[q]
+        return q[kept], d[kept], s[kept]
 
     def best(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (sorted terms, weights) the (doc_ids, scores) of its k best documents here whose score is positive and reaches least; ties by id."""
         none = np.empty(0, dtype=np.int64), np.empty(0)
         if not self.blocks:
             return [none] * len(queries)
-        asked, rest, lists = self._ask(queries)
-        copies = np.minimum(np.diff(self.id_at), k)
-        bound, least = asked @ self.most.T + rest, least * (1 - ERROR)
-        # the best blocks first: they raise the threshold for all others
-        top = np.zeros(bound.shape, dtype=bool)
-        m = min(FIRST_BLOCKS, self.blocks)
-        np.put_along_axis(top, np.argpartition(bound, -m, axis=1)[:, -m:], True, axis=1)
-        live = bound > np.maximum(least, 0)[:, None] * (1 - ERROR)
-        scores = self._score(asked, rest, lists, live & top, least)
-        for i, s in enumerate(scores):
-            found = np.flatnonzero((s > 0) & (s >= least[i]))
-            if len(found) > k:
-                found = found[np.argpartition(s[found], -k)[-k:]]
-            found = found[np.argsort(-s[found])]
-            n = np.cumsum(copies[found])
-            if len(n) and n[-1] >= k:
-                least[i] = max(least[i], s[found[np.searchsorted(n, k)]] * (1 - ERROR))
-        scores += self._score(asked, rest, lists, live & ~top & (bound >= least[:, None]), least)
-        out = []
-        for i, (t, w, _, _) in enumerate(lists):
-            found = np.flatnonzero((scores[i] > 0) & (scores[i] >= least[i]))
-            if len(found) > k:
-                s = scores[i][found]
-                found = found[s >= np.partition(s, -k)[-k] * (1 - ERROR)]
-            if not len(found):
-                out.append(none)
-                continue
-            size = copies[found]
-            value = np.repeat(self.exact(found, t, w), size)
-            ids = self.ids[_spans(self.id_at[found], self.id_at[found] + size)]
+        m, here = len(queries), [self._terms(q) for q in queries]
+        lists = np.concatenate([t for t, _ in here])
+        lo, hi = self.part_at[lists], self.part_at[lists + 1]
+        part, query = _spans(lo, hi), np.repeat(np.repeat(np.arange(m), [len(t) for t, _ in here]), hi - lo)
+        weight = np.repeat(np.concatenate([w for _, w in here]).astype(np.float32), hi - lo)
+        block = self.part_block[part]
+        order = np.argsort(block, kind="stable")
+        part, query, weight, block = part[order], query[order], weight[order], block[order]
+        edge = np.searchsorted(block, np.arange(self.blocks + 1))
+        most, cell, sparse = weight * self.part_max[part], block.astype(np.int64) * m + query, self.row_of[part] < 0
+        bound = np.bincount(cell, weights=most, minlength=self.blocks * m).reshape(self.blocks, m)
+        rest = np.bincount(cell[sparse], weights=most[sparse], minlength=self.blocks * m).reshape(self.blocks, m)
+        least, top = least * (1 - ERROR), np.zeros(bound.shape, dtype=bool)
+        first = -(-self.blocks // FIRST)
+        np.put_along_axis(top, np.argpartition(bound, -first, axis=0)[-first:], True, axis=0)
+        found = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        # a query's best blocks first: they raise the threshold for all others
+        for early in (True, False):
+            for b in np.argsort(-bound.sum(axis=1)):
+                wanted = top[b] == early
+                live = wanted & (bound[b] > 0) & (bound[b] * (1 + ERROR) >= least)
+                own = slice(edge[b], edge[b + 1])
+                off = part[own][sparse[own] & ~live[query[own]]]
+                self.skipped += int((self.parts[off + 1] - self.parts[off]).sum())
+                asks = np.flatnonzero(live)
+                if not len(asks):
+                    continue
+                number = np.full(m, -1, dtype=np.int64)
+                number[asks] = np.arange(len(asks))
+                got = self._score(b, number, least[asks], rest[b, asks], (part[own], query[own], weight[own]))
+                if early and got.shape[1] > k:
+                    # copies only raise the k-th best score
+                    least[asks] = np.maximum(least[asks], np.partition(got, -k, axis=1)[:, -k] * (1 - ERROR))
+                i, d = np.nonzero((got >= least[asks, None]) & (got > 0))
+                if len(i):
+                    more = asks[i], d + b * self.block, got[i, d].astype(np.float64)
+                    found = self._raise(tuple(np.concatenate(x) for x in zip(found, more, strict=True)), k, least)
+        out = [none] * m
+        at = np.append(_firsts(found[0]), len(found[0]))
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            i, d = int(found[0][lo]), found[1][lo:hi]
+            size = np.minimum(self.copies[d], k)
+            value = np.repeat(self.exact(d, *here[i]), size)
+            ids = self.ids[_spans(self.id_at[d], self.id_at[d] + size)]
             order = np.lexsort((ids, -value))[:k]
-            out.append((ids[order], value[order]))
+            out[i] = ids[order], value[order]
         return out
 
 

@@ -171,6 +171,19 @@ def test_search_skips_postings():
     assert all((a[0] == b[0]).all() for a, b in zip(got, again, strict=True)) and shard.scored - before <= before
 
 
+def test_search_tiles_are_of_a_block():
+    """Each language's frequent words are dense in its own blocks, so none of their postings is read one by one."""
+    texts = [" ".join(["xyz"[i // 16]] * 9 + [f"{'xyz'[i // 16]}{2 * j + (i >> j & 1)}" for j in range(4)]) for i in range(48)]
+    bags = search.bags(texts)
+    df = Counter(t for b, _ in bags for t in b.tolist())
+    asked = [(t, np.array([c * math.log(1 + (48 - df[x] + 0.5) / (df[x] + 0.5)) for x, c in zip(t.tolist(), k.tolist(), strict=True)])) for t, k in bags]
+    shard = search.Shard(search.Shard.arrays(list(range(48)), bags, 13, 16), 16, 9)
+    got = shard.best(asked, 3, np.zeros(48))
+    want = search.brute_force(list(enumerate(texts)), list(enumerate(texts)), 3)
+    assert [(q, int(d), round(float(s), 6)) for q, (ds, ss) in enumerate(got) for d, s in zip(ds, ss, strict=True)] == [(q, d, round(s, 6)) for q, _, d, s in want]
+    assert shard.scored == 0
+
+
 def test_search_of_nothing(spark):
     q = spark.createDataFrame([(1, "a b")], "query_id long, text string")
     assert search.search(empty(spark), q).count() == 0
