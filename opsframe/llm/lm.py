@@ -42,8 +42,8 @@ if TYPE_CHECKING:
 
 #: Fixed value: what stands for a document's end among the word hashes.
 END = 0xE2D0_F7E8_17A9_5C33
-#: Documents for each shard, tokens that a task holds before it sends their counts.
-SHARD_DOCS, HELD = 4096, 1 << 20
+#: Documents for each shard, tokens that a task holds before it sends their counts, tokens that are scored together.
+SHARD_DOCS, HELD, ASKED = 4096, 1 << 20, 1 << 20
 #: Words of the longest n-grams, and how often those of three words or more occur at least: 1 keeps all.
 ORDER, LEAST_COUNT = 3, 1
 BINS = 256
@@ -82,7 +82,8 @@ def _unpack(words: np.ndarray, bits: int, index: np.ndarray) -> np.ndarray:
         return np.zeros(len(index), dtype=np.uint64)
     at = index.astype(np.uint64) * np.uint64(bits)
     word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    high = np.where(shift > 0, words[word + 1] << (np.uint64(64) - np.maximum(shift, 1).astype(np.uint64)), np.uint64(0))
+    # in two steps, as a shift by 64 is none
+    high = words[word + 1] << np.uint64(1) << (np.uint64(63) - shift)
     return (words[word] >> shift | high) & np.uint64((1 << bits) - 1)
 
 
@@ -146,7 +147,7 @@ class EliasFano:
     @staticmethod
     def _lowest(bits: np.ndarray) -> np.ndarray:
         """The place of the lowest set bit; 64 for none."""
-        return np.bitwise_count((bits & (~bits + _U[1])) - _U[1]).astype(np.int64)
+        return np.bitwise_count(~bits & bits - _U[1]).astype(np.int64)
 
     def _select(self, k: np.ndarray) -> np.ndarray:
         """The place of the k-th set bit (from 0) in high."""
@@ -157,17 +158,18 @@ class EliasFano:
         """How many values have a high part below h, and up to h: set bits before and after the zero that ends part h - 1."""
         if self.zeros is None:
             self.zeros = np.arange(len(self.ranks), dtype=np.int64) * 64 - self.ranks
-        k = np.minimum(np.maximum(h - 1, 0), self.zeros[-1] - 1)
+        beyond = np.flatnonzero(h > self.zeros[-1])
+        k = np.maximum(h - 1, 0)
+        k[beyond] = self.zeros[-1] - 1
         word = np.searchsorted(self.zeros, k, side="right") - 1
         at = word * 64 + self._within(~self.high[word], k - self.zeros[word]) + 1
         at[h == 0] = 0
-        beyond = h - 1 >= self.zeros[-1]
-        below = np.where(beyond, self.n, np.minimum(at - h, self.n))
+        below = at - h
         # the part's values are the set bits from there on; most stretches end in the same word
         word = np.minimum(at >> 6, len(self.high) - 1)
         after = ~self.high[word] >> (at & 63).astype(np.uint64)
         upto = below + self._lowest(after)
-        far = np.flatnonzero((after == 0) & ~beyond)
+        far = np.flatnonzero(after == 0)
         while len(far):
             word[far] += 1
             inside = word[far] < len(self.high)
@@ -176,7 +178,8 @@ class EliasFano:
             more = self._lowest(~self.high[word[far]])
             upto[far] = np.where(word[far] == (at[far] >> 6) + 1, below[far] + 64 - (at[far] & 63), upto[far]) + more
             far = far[more == 64]
-        return below, np.where(beyond, self.n, np.minimum(upto, self.n))
+        below[beyond] = upto[beyond] = self.n
+        return below, np.minimum(upto, self.n, out=upto)
 
     def pair(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values k and k + 1."""
@@ -205,17 +208,24 @@ class EliasFano:
         high = (rest >> np.uint64(self.low_bits)).astype(np.int64)
         below, upto = self._part(high)
         a = np.clip(below, lo, hi)
-        b = end = np.clip(upto, a, hi)
+        b = np.clip(upto, a, hi)
+        same = np.zeros(len(a), dtype=bool)
         open_ = np.flatnonzero(a < b)
-        a, b = a.copy(), b.copy()
+        x, y, want = a[open_], b[open_], low[open_]
         while len(open_):
-            mid = (a[open_] + b[open_]) >> 1
-            less = _unpack(self.low, self.low_bits, mid) < low[open_]
-            a[open_[less]], b[open_[~less]] = mid[less] + 1, mid[~less]
-            open_ = open_[a[open_] < b[open_]]
-        same = np.zeros(len(a), dtype=bool)
-        inside = np.flatnonzero(a < end)
-        same[inside] = (_unpack(self.low, self.low_bits, a[inside]) == low[inside]) & (values[inside] >= np.uint64(self.first))
+            mid = (x + y) >> 1
+            got = _unpack(self.low, self.low_bits, mid)
+            less = got < want
+            x, y = np.where(less, mid + 1, x), np.where(less, y, mid)
+            # what y stands at last decides
+            same[open_] = np.where(less, same[open_], got == want)
+            left = x < y
+            a[open_] = x
+            if left.all():
+                continue
+            open_, x, y, want = open_[left], x[left], y[left], want[left]
+        if self.first:
+            same &= values >= np.uint64(self.first)
         return a, same
 
 
@@ -301,25 +311,32 @@ class Words:
         self.n = n
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts); id -1 and count 0 for unknown words."""
+        """(ids, counts) of hashes that lie sorted; id -1 and count 0 for unknown words."""
         ids, counts = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
         shard = shard_of(hashes, len(self.shards))
-        for s in np.unique(shard):
+        for lo, hi in _runs(shard):
+            s = int(shard[lo])
             seq, c = self.shards[s]
-            at = np.flatnonzero(shard == s)
             if not seq.n:
                 continue
-            k, hit = seq.find(hashes[at], np.zeros(len(at)), np.full(len(at), seq.n))
-            ids[at[hit]], counts[at[hit]] = k[hit] + self.starts[s], c[k[hit]]
+            k, hit = seq.find(hashes[lo:hi], np.zeros(hi - lo), np.full(hi - lo, seq.n))
+            at = lo + np.flatnonzero(hit)
+            ids[at], counts[at] = k[hit] + self.starts[s], c[k[hit]]
         return ids, counts
 
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """look_up(), once for each distinct hash."""
-        distinct, back = np.unique(hashes, return_inverse=True)
-        ids, counts = self.look_up(distinct)
+        own, _, back = distinct(hashes)
+        ids, counts = self.look_up(own)
         return ids[back], counts[back]
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of equal values."""
+    edge = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)])).tolist()
+    return list(zip(edge[:-1], edge[1:], strict=True)) if len(x) else []
+
+
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
@@ -535,8 +552,7 @@ class Ngrams:
             shard, local = (c // self.per_shard, c % self.per_shard) if level == 0 else (shards[c], places[c])
             got, place = out[at[first]], np.full(len(keys), -1, dtype=np.int64)
             # contexts are sorted by shard
-            edge = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else shard
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            for lo, hi in _runs(shard):
                 if (levels := self.shard(int(shard[lo]))) is not None:
                     got[lo:hi], place[lo:hi] = levels[level].score(local[lo:hi], w[lo:hi], got[lo:hi], self.words)
             out = out.copy()
@@ -558,11 +574,13 @@ def _ngram_levels(train: DataFrame, folder: str, words: list[str], total: int, s
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level = cached("lm", words[0], lambda: Words(sent.value))
-        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
 
         def send() -> pd.DataFrame:
-            t = Tries.of(np.concatenate([h[0] for h in held]), [np.concatenate(x) for x in zip(*(h[1] for h in held), strict=True)])
+            hashes, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            t = Tries.of(*windows(level.of(hashes)[0].astype(np.uint64), sizes, total, total + 1, order))
             shard = (t.pairs >> np.uint64(32)).astype(np.int64) // per
             at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
             return pd.DataFrame({"shard": shard[at], "grams": [t.cut(lo, hi).dump() for lo, hi in zip(at, [*at[1:], len(shard)], strict=True)]}).astype({"shard": "int32"})
@@ -571,11 +589,11 @@ def _ngram_levels(train: DataFrame, folder: str, words: list[str], total: int, s
             hashes, sizes = token_hashes(b["text"])
             if not len(hashes):
                 continue
-            held.append(windows(level.of(hashes)[0].astype(np.uint64), sizes, total, total + 1, order))
+            held.append((hashes, sizes))
             n += len(hashes)
             if n > HELD:
                 yield send()
-                held, n = [], 0
+                n = 0
         if held:
             yield send()
 
@@ -654,6 +672,20 @@ def train_model(train: DataFrame, folder: str | None = None, order: int = ORDER,
     return Model(words, n, total, files, per, order)
 
 
+def together(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The batches (hashes, sizes), joined up to ASKED tokens: every shard is asked once for each, so few tokens at a time would cost more the more shards there are."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for b in batches:
+        if held and n + len(b[0]) > ASKED:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+        held.append(b)
+        n += len(b[0])
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns but the text, with n_tokens, n_known, train_tokens, base_score and score (log10).
 
@@ -669,8 +701,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         words, grams = cached("lm", key + "/score", lambda: (Words(m.words), Ngrams(m.ngrams, m.per, m.n, m.order)))
         whole = m.tokens + 0.5 * (m.n + 1)
-        for b in batches:
-            hashes, sizes = token_hashes(b)
+        for hashes, sizes in together(map(token_hashes, batches)):
             ids, counts = words.of(hashes)
             alone = (counts + 0.5) / whole
             starts = np.cumsum(sizes) - sizes

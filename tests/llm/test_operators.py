@@ -646,6 +646,27 @@ def test_elias_fano(values, asked):
     assert k.tolist() == np.searchsorted(v, q).tolist() and same.tolist() == np.isin(q, v).tolist()
 
 
+def test_lm_asks_each_shard_once_for_many_batches(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(1, 30)) for i in range(40)] + ["", "unseen w1 w2"]
+    model = lm.train_model(documents(spark, texts[:40]))
+    words, grams, calls = lm.Words(model.words), lm.Ngrams(model.ngrams, model.per, model.n, model.order), []
+    level = lm.Level.score
+    monkeypatch.setattr(lm.Level, "score", lambda self, *a: calls.append(1) or level(self, *a))
+
+    def scores(asked: int) -> np.ndarray:
+        monkeypatch.setattr(lm, "ASKED", asked)
+        out = []
+        for hashes, sizes in lm.together(lm.token_hashes([t]) for t in texts):
+            ids, counts = words.of(hashes)
+            out.append(grams.score(ids, sizes, (counts + 0.5) / (model.tokens + 0.5 * (model.n + 1))))
+        return np.concatenate(out)
+
+    single = scores(1)
+    one_by_one = len(calls)
+    calls.clear()
+    assert (scores(1 << 20) == single).all() and len(calls) <= len(grams.open) * 2 < one_by_one
+
+
 # --- 10 --------------------------------------------------------------------------------------------
 
 
