@@ -37,15 +37,15 @@ def dimension(c: str | Column) -> Column:
     return F.when(~v.isin("", "unknown_service"), v)
 
 
-def count_by(logs: DataFrame, request: LogRequest, by: Sequence[str] = (), limit: int = 10_000) -> DataFrame:
-    """Counts in (start, end] by at most five dimensions; more than `limit` groups is an error."""
+def count_by(logs: DataFrame, request: LogRequest, by: Sequence[str] = (), limit: int | None = 10_000) -> DataFrame:
+    """Counts in (start, end] by at most five dimensions; more than `limit` groups is an error. None: any number, for rules that look at all groups."""
     if len(by) > 5:
         raise ValueError("at most five dimensions")
     rows = logs.where(request.condition(half_open=True))
     if not by:
         return rows.agg(F.count(F.lit(1)).alias("n"))
     out = rows.groupBy(*[dimension(c).alias(c) for c in by]).agg(F.count(F.lit(1)).alias("n"))
-    return bounded(out, limit)
+    return out if limit is None else bounded(out, limit)
 
 
 def bounded(rows: DataFrame, limit: int) -> DataFrame:

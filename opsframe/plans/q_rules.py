@@ -84,7 +84,7 @@ def ar6(spark, sf):
     from opsframe.operators.select import LogRequest
     from opsframe.sources.tables import logs
 
-    n = count_by(logs(spark, sf), LogRequest(_AT - 5 * DAY, _AT, scope={"service": ["error"]}), ["host"])
+    n = count_by(logs(spark, sf), LogRequest(_AT - 5 * DAY, _AT, scope={"service": ["error"]}), ["host"], limit=None)
     return n.where("n >= 3").select(F.col("host").cast("long").alias("host"), "n")
 
 
