@@ -41,11 +41,14 @@ class Vector:
         made = self.df.groupBy(*by).agg(AGGREGATES[how](F.col("value")).cast("double").alias("value"))
         return Vector(made.where("value is not null"), tuple(by))
 
-    def binary(self, other: Vector, f: Callable[[Column, Column], Column], on: Sequence[str] | None = None) -> Vector:
-        """One to one on all labels, or on some; the labels of the result are those matched on."""
+    def binary(self, other: Vector, f: Callable[[Column, Column], Column], on: Sequence[str] | None = None, nan: bool = False) -> Vector:
+        """One to one on all labels, or on some; the labels of the result are those matched on. nan: results that are NaN are kept."""
         keys = tuple(on if on is not None else self.keys)
         a, b = self.df.select(*keys, F.col("value").alias("__a")), other.df.select(*keys, F.col("value").alias("__b"))
-        return Vector.of(_join(a, b, keys, "inner"), keys, f(F.col("__a"), F.col("__b")))
+        both, value = _join(a, b, keys, "inner"), f(F.col("__a"), F.col("__b"))
+        if nan:
+            return Vector(both.select(*keys, value.cast("double").alias("value")).where("value is not null"), keys)
+        return Vector.of(both, keys, value)
 
     def group_left(self, one: Vector, f: Callable[[Column, Column], Column], on: Sequence[str] = ()) -> Vector:
         """Many to one: `one` has a value for each combination of `on`, or a single one. It is an aggregate, a row for each key of on."""

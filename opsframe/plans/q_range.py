@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsframe.functions import scalars as sc
 from opsframe.operators import range as r
 from opsframe.operators import vector as v
 from opsframe.sources.tables import SAMPLES_SQL, read, samples
@@ -40,7 +41,8 @@ def counter(spark, sf) -> DataFrame:
 
 
 def rounded(d: DataFrame, digits: int = 4) -> DataFrame:
-    return d.withColumn("value", F.round("value", digits))
+    double = dict(d.dtypes)["value"] == "double"
+    return d.withColumn("value", sc.rounded(F.col("value"), digits) if double else F.round("value", digits))
 
 
 INCREASE_SQL = f"""WITH {COUNTER}, {SPREAD.format(src="counter")},
@@ -208,7 +210,7 @@ def pair(spark, sf) -> tuple[v.Vector, v.Vector]:
 @query("j1_vector_arithmetic", f"WITH {SAMPLES_SQL}, {_AB} SELECT host, round(a.value / b.value, 4) AS value FROM a JOIN b USING (host)")
 def j1(spark, sf):
     a, b = pair(spark, sf)
-    return rounded(a.binary(b, lambda x, y: x / y).df)
+    return rounded(a.binary(b, sc.divided, nan=True).df)
 
 
 @query("j2_match_on", f"WITH {SAMPLES_SQL}, {_LAST}, m AS (SELECT name, max(value) AS value FROM last GROUP BY name), n AS (SELECT name, min(value) AS value FROM last GROUP BY name) SELECT name, round(m.value - n.value, 4) AS value FROM m JOIN n USING (name)")

@@ -34,3 +34,12 @@ def test_more_than_ten_thousand_hosts_in_a_grouped_log_rule(spark):
     path = events(spark, [(20 * 86400 - 60 - k, u, "error", 1.0) for u in range(10_050) for k in range(3)] + [(20 * 86400 - 60, 20_000, "error", 1.0)])
     got, want = compared(spark, "ar6_log_search_grouped", path)
     assert got == want and len(got) == 10_050
+
+
+def test_ratios_by_zero_and_of_halves(spark):
+    hosts = [(1, 5.0, 0.0), (2, 0.0, 0.0), (3, -5.0, 0.0), (4, 5.0, -0.0), (5, 1.0, 3.0), (6, 0.0, 2.0)]
+    # of these some lie at a half of the last digit: the decimal text of the double and the double times 10^4 part there
+    hosts += [(10 + k, float(k * 7 % 1999) / 100, float(k % 37 + 1) / 100) for k in range(2000)]
+    path = events(spark, [(60, h, kind, x) for h, view, error in hosts for kind, x in (("view", view), ("error", error))])
+    got, want = compared(spark, "j1_vector_arithmetic", path)
+    assert got == want and len(got) == len(hosts)
