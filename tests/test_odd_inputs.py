@@ -43,3 +43,11 @@ def test_ratios_by_zero_and_of_halves(spark):
     path = events(spark, [(60, h, kind, x) for h, view, error in hosts for kind, x in (("view", view), ("error", error))])
     got, want = compared(spark, "j1_vector_arithmetic", path)
     assert got == want and len(got) == len(hosts)
+
+
+def test_sizes_and_addresses_of_large_keys(spark):
+    path = tempfile.mkdtemp(prefix="spark-")
+    keys = [0, 255, 65_535, 65_536, 97_345, 1 << 24, (1 << 40) + 513]
+    pd.DataFrame({"p_partkey": keys, "p_size": pd.array([1, 50, 999, 1000, 1023, 1024, 5000], dtype="int32")}).to_parquet(f"{path}/part.parquet", index=False)
+    got, want = compared(spark, "fn_bytes", path, ["part"])
+    assert got == want
