@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.functions.scalars import divided
+
 from . import range as r
 from .select import match
 from .vector import AGGREGATES, Vector, constant, label_join, label_replace, scalar
@@ -27,7 +29,7 @@ _TOKEN = re.compile(
 _UNIT = {"ms": 1_000, "s": r.SECOND, "m": 60 * r.SECOND, "h": 3600 * r.SECOND, "d": 86400 * r.SECOND, "w": 604800 * r.SECOND, "y": 31536000 * r.SECOND}
 _LEVELS = [["or"], ["and", "unless"], ["==", "!=", ">", ">=", "<", "<="], ["+", "-"], ["*", "/", "%"]]
 _ARITHMETIC: dict[str, Callable[[Column, Column], Column]] = {
-    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: F.try_divide(a, b), "%": lambda a, b: F.try_mod(a, b), "^": lambda a, b: F.pow(a, b),
+    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": divided, "%": lambda a, b: F.try_mod(a, b), "^": lambda a, b: F.pow(a, b),
 }
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsframe.functions.scalars import rounded
 from opsframe.operators import promql
 from opsframe.sources.tables import SAMPLES_SQL, samples
 
@@ -16,7 +17,7 @@ _LAST = f"last AS (SELECT name, host, arg_max(value, t) AS value FROM samples WH
 
 def run(spark, sf, text, digits=4, lookback=2 * DAY):
     d = promql.evaluate(text, samples(spark, sf).withColumn("host", F.col("host").cast("string")), ["host"], AT, lookback).df
-    return d.withColumn("value", F.round("value", digits))
+    return d.withColumn("value", rounded(F.col("value"), digits))
 
 
 @query("promql_selector_arithmetic", f"WITH {SAMPLES_SQL}, {_LAST} SELECT host::VARCHAR AS host, round(100 * (value - 3) / 2, 4) AS value FROM last WHERE name = 'view' AND regexp_full_match(host::VARCHAR, '1.*')")

@@ -51,3 +51,10 @@ def test_sizes_and_addresses_of_large_keys(spark):
     pd.DataFrame({"p_partkey": keys, "p_size": pd.array([1, 50, 999, 1000, 1023, 1024, 5000], dtype="int32")}).to_parquet(f"{path}/part.parquet", index=False)
     got, want = compared(spark, "fn_bytes", path, ["part"])
     assert got == want
+
+
+def test_promql_ratios_by_zero_and_of_halves(spark):
+    hosts = [(1, 0.0, 5.0), (2, 0.0, -5.0), (3, 3.0, 1.0), (4, 2.0, 1.0)] + [(10 + k, float(k % 37 + 1) / 100, float(k * 7 % 1999) / 100) for k in range(2000)]
+    path = events(spark, [(4 * 86400 - 60, h, kind, x) for h, view, error in hosts for kind, x in (("view", view), ("error", error))])
+    got, want = compared(spark, "promql_ratio_on", path)
+    assert got == want and len(got) > 1000
