@@ -63,8 +63,8 @@ def w10(spark, sf):
 
 @query("w12_counter_stream", "WITH p AS (SELECT event_type, epoch_us(ts) AS t, value - lag(value) OVER (PARTITION BY event_type ORDER BY ts) AS d FROM events) SELECT event_type, t, round(greatest(d, 0), 6) AS delta FROM p WHERE d IS NOT NULL")
 def w12(spark, sf):
-    d = events(spark, sf).select("event_type", micros("ts").alias("t"), "value")
-    return ended(w.counter_deltas(d, ["event_type"]), spark, "w12").withColumn("delta", F.round("delta", 6))
+    d = events(spark, sf).select("event_type", micros("ts").alias("t"), "event_id", "value")
+    return ended(w.counter_deltas(d, ["event_type"], ["event_id"]), spark, "w12").withColumn("delta", F.round("delta", 6))
 
 
 @query("w8_service_graph_stream", """SELECT c.event_type AS client, coalesce(s.event_type, 'virtual_node') AS server, count(*) AS n FROM events c LEFT JOIN events s ON s.event_id = c.event_id + 1 AND s.event_type <> 'view' AND s.ts BETWEEN c.ts - INTERVAL 1 HOUR AND c.ts + INTERVAL 1 HOUR

@@ -58,3 +58,12 @@ def test_promql_ratios_by_zero_and_of_halves(spark):
     path = events(spark, [(4 * 86400 - 60, h, kind, x) for h, view, error in hosts for kind, x in (("view", view), ("error", error))])
     got, want = compared(spark, "promql_ratio_on", path)
     assert got == want and len(got) > 1000
+
+
+def test_counters_take_every_sample_of_equal_times(spark):
+    some = [(t, 1, kind, v) for t, kind, v in [(0, "a", 5.0), (0, "b", 1.0), (10, "a", 7.0), (10, "a", 3.0), (10, "a", 4.5), (20, "a", 4.5), (10, "b", 9.0), (400_000, "a", 1.0), (400_000, "a", 2.0), (400_000, "b", 0.0)]]
+    short = [x for x in some if x[0] < 400_000]  # here the late file repeats the last time too
+    for name in ("w12_counter_stream", "w12_counter_files_stream"):
+        for rows_ in (some, short):
+            got, want = compared(spark, name, events(spark, rows_))
+            assert got == want and len(got) == len(rows_) - 2
