@@ -24,6 +24,32 @@ def interval_join(left: DataFrame, right: DataFrame, lo: str, hi: str, t: str, w
     return a.join(b, cond & F.col(t).between(F.col(lo), F.col(hi))).drop("__b", "__c", *[f"__{k}" for k in on])
 
 
+def interval_counts(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: str, hi: str, t: str, by: Sequence[str], width: int) -> DataFrame:
+    """(keys, by, n): how many pairs with lo <= t <= hi the rows of left and right make, without making them; groups without any are left out.
+
+    In each bucket of `width` that an interval touches, the count of right's rows up to its end there less those before its start,
+    from one sort of the bucket's rows and ends by group: time and rows grow with the rows, not the pairs. lo, hi and t are whole
+    numbers; null keys and groups are values as others. An interval has an end a bucket and group, so width is several usual lengths.
+    """
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    keys, by = list(keys), list(by)
+    own, groups = [f"__k{i}" for i in range(len(keys))], [f"__g{i}" for i in range(len(by))]
+    rows = right.where(F.col(t).isNotNull()).groupBy(bucket(t).alias("__b"), F.col(t).alias("__x"), *[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)]).agg(F.count(F.lit(1)).alias("__c"))
+    kinds = right.where(F.col(t).isNotNull()).select(bucket(t).alias("__b"), *[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)]).distinct()
+    spans = left.where(F.col(lo) <= F.col(hi)).select(*[F.col(c).alias(k) for c, k in zip(keys, own, strict=True)], F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.explode(F.sequence(bucket(lo), bucket(hi))).alias("__b"))
+    end = lambda x, sign: F.struct(x.cast("long").alias("x"), F.lit(sign).alias("sign"))
+    upper = end(F.least(F.col("__hi"), (F.col("__b") + 1) * width - 1), 1)
+    ends = F.when(F.col("__lo") > F.col("__b") * width, F.array(upper, end(F.col("__lo") - 1, -1))).otherwise(F.array(upper))
+    asked = spans.select(*own, "__b", F.explode(ends).alias("__e")).join(kinds, "__b")
+    one = rows.select("__b", *groups, "__x", F.lit(0).alias("__sign"), "__c", *[F.lit(None).cast(left.schema[c].dataType).alias(k) for c, k in zip(keys, own, strict=True)])
+    two = asked.select("__b", *groups, F.col("__e.x").alias("__x"), F.col("__e.sign").alias("__sign"), F.lit(0).cast("long").alias("__c"), *own)
+    # at equal times the rows come before the ends
+    before = Window.partitionBy("__b", *groups).orderBy("__x", F.col("__sign") != 0).rowsBetween(Window.unboundedPreceding, 0)
+    counted = one.unionByName(two).withColumn("__n", F.sum("__c").over(before)).where("__sign <> 0")
+    out = counted.groupBy(*own, *groups).agg(F.sum(F.col("__sign") * F.col("__n")).alias("n")).where("n > 0")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keys, own, strict=True)], *[F.col(g).alias(c) for c, g in zip(by, groups, strict=True)], "n")
+
+
 def as_of(left: DataFrame, right: DataFrame, on: Sequence[str], t: str, take: Sequence[str], within: int | None = None) -> DataFrame:
     """left with the columns `take` of right's last row at or before t, null if none lies within `within`.
 

@@ -56,7 +56,7 @@ def j12(spark, sf):
 def j13(spark, sf):
     e = read(spark, sf, "events").select("event_id", "event_type", micros("ts").alias("t"))
     inc = e.where("event_type = 'error'").select(F.col("event_id").alias("incident"), (F.col("t") - 30 * MIN).alias("lo"), (F.col("t") + 30 * MIN).alias("hi"))
-    return iv.interval_join(inc, e.where("event_type <> 'error'"), "lo", "hi", "t", 60 * MIN).groupBy("incident", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return iv.interval_counts(inc, e.where("event_type <> 'error'"), ["incident"], "lo", "hi", "t", ["event_type"], 240 * MIN)
 
 
 @query("j14_null_safe_neighbourhood", """WITH e AS (SELECT *, nullif(user_id, 7) AS device FROM events WHERE event_type IN ('error', 'signup'))

@@ -1,11 +1,14 @@
 """Queries against their SQL on small tables of odd rows: many groups, zeros, equal times, large keys."""
 
+import random
 import tempfile
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from opsframe.operators import interval as iv
 from tests.test_queries import rows
 
 T0 = pd.Timestamp("2024-01-01")
@@ -67,3 +70,25 @@ def test_counters_take_every_sample_of_equal_times(spark):
         for rows_ in (some, short):
             got, want = compared(spark, name, events(spark, rows_))
             assert got == want and len(got) == len(rows_) - 2
+
+
+def test_interval_counts_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    left = [(rng.choice([None, *range(30)]), a := rng.randrange(-50, 400), a + rng.choice([-1, 0, 5, 40, 130])) for _ in range(80)] + [(99, None, 5), (99, 5, None)]
+    right = [(rng.choice([None, "x", "y", "z"]), rng.choice([None, *range(-60, 500)])) for _ in range(600)]
+    a, b = spark.createDataFrame(left, "id long, lo long, hi long"), spark.createDataFrame(right, "kind string, t long")
+    want: dict = {}
+    for i, lo, hi in left:
+        for kind, t in right:
+            if None not in (lo, hi, t) and lo <= t <= hi:
+                want[i, kind] = want.get((i, kind), 0) + 1
+    for width in (7, 40, 1000):
+        got = iv.interval_counts(a, b, ["id"], "lo", "hi", "t", ["kind"], width).collect()
+        assert len(got) == len(want) and {tuple(r)[:2]: r["n"] for r in got} == want
+
+
+def test_interval_counts_make_no_pairs(spark):
+    # 20,000 intervals that all hold 20,000 rows: pairs would be 400 million
+    a = spark.range(20_000).select("id", F.lit(0).cast("long").alias("lo"), (F.col("id") + 20_000).alias("hi"))
+    out = iv.interval_counts(a, a.select("id", (F.col("id") % 2).alias("kind")), ["id"], "lo", "hi", "id", ["kind"], 100_000)
+    assert out.count() == 40_000 and out.agg(F.sum("n")).first()[0] == 400_000_000
