@@ -104,4 +104,4 @@ f AS (SELECT k, epoch_us(d) + slot * 60000000 AS t FROM c), e AS (SELECT event_i
 SELECT event_id, spec, f.t AS next FROM e JOIN s USING (k) ASOF LEFT JOIN f ON e.k = f.k AND e.t < f.t""")
 def fn_cron(spark, sf):
     e = read(spark, sf, "events").select("event_id", F.get(F.array(*[F.lit(x[0]) for x in _SPECS]), (F.col("user_id") % 6).cast("int")).alias("spec"), micros("ts").alias("t"))
-    return e.select("event_id", "spec", cron.next_fire(F.col("spec"), F.col("t")).alias("next"))
+    return cron.next_fires(e, F.col("spec"), F.col("t")).select("event_id", "spec", "next")

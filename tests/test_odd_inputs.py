@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from opsframe.functions import cron
 from opsframe.operators import interval as iv
 from tests.test_queries import rows
 
@@ -92,3 +93,23 @@ def test_interval_counts_make_no_pairs(spark):
     a = spark.range(20_000).select("id", F.lit(0).cast("long").alias("lo"), (F.col("id") + 20_000).alias("hi"))
     out = iv.interval_counts(a, a.select("id", (F.col("id") % 2).alias("kind")), ["id"], "lo", "hi", "id", ["kind"], 100_000)
     assert out.count() == 40_000 and out.agg(F.sum("n")).first()[0] == 400_000_000
+
+
+def test_next_fires_of_a_table_are_those_of_its_rows(spark):
+    rng = random.Random(5)
+    specs = ["30 2 * * *", "30 1 * * *", "*/7 * * * *", "15,45 0-4/2 * * sun", "0 0 29 2 *", "59 23 13 * 5", "@hourly", "61 * * * *", "0 0 30 2 *", None, "0 0 * * *"]
+    zones = ["UTC", "Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "America/St_Johns", None]
+    # minutes around changes of clocks and years, and exact ones
+    near = [1_710_054_000, 1_711_846_800, 1_730_595_600, 1_712_415_600, 1_735_689_600, 1_704_067_200, 1_709_164_800]
+    some = [(i, rng.choice(specs), rng.choice(zones), rng.choice([None, *near * 4]), rng.choice([0, 1, 59_999_999, rng.randrange(10**12)]) - rng.choice([0, 3 * 10**10])) for i in range(800)]
+    d = spark.createDataFrame([(i, s, z, None if t is None else t * 1_000_000 + x) for i, s, z, t, x in some], "id long, spec string, zone string, at long").repartition(8)
+    want = {r["id"]: r["n"] for r in d.select("id", cron.next_fire(F.col("spec"), F.col("at"), F.col("zone")).alias("n")).collect()}
+    got = cron.next_fires(d, F.col("spec"), F.col("at"), F.col("zone"))
+    assert got.columns == [*d.columns, "next"] and {r["id"]: r["next"] for r in got.collect()} == want and sum(x is None for x in want.values()) > 100
+
+
+def test_next_fires_search_a_day_once(spark):
+    # 400,000 rows of two days; a search for each would take minutes
+    d = spark.range(400_000).select((F.col("id") * 432_000 + 1_709_164_800_000_000).alias("at"))
+    out = cron.next_fires(d, F.lit("*/5 * * * *"), F.col("at"))
+    assert out.where("next <> (at div 300000000 + 1) * 300000000 or next is null").count() == 0 and out.count() == 400_000
