@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opsframe.streaming.stateful import TIME, InOrder, micros, with_state
+from opsframe.streaming.stateful import TIME, InOrder, Packed, micros, with_state
 
 #: Characters of a record; a longer one is given in parts.
 MOST = 256 * 1024
@@ -75,12 +75,12 @@ class _Assembler(InOrder):
         self.line, self.start, self.end, self.flush, self.most = line, start, end, flush, most
 
     def begin(self, handle):
-        self.lines = handle.getListState("lines", "line string")
+        self.lines = Packed(handle, "lines")
         self.open = handle.getValueState("open", "first long, last long, n long, size long")
 
     def step(self, key, rows, clock):
         first, last, n, size = self.open.get() if self.open.exists() else (None, None, 0, 0)
-        held = [r[0] for r in self.lines.get()] if n else []
+        held = [r[0] for r in self.lines.get()]
         out: list[tuple] = []
         matches = re.compile(self.start if self.start is not None else self.end).search
 
@@ -102,9 +102,8 @@ class _Assembler(InOrder):
                 give()
         if n and clock >= last + self.flush:
             give()
-        self.lines.clear()
+        self.lines.put([(x,) for x in held])
         if n:
-            self.lines.put([(x,) for x in held])
             self.open.update((first, last, n, size))
         else:
             self.open.clear()

@@ -2,18 +2,23 @@
 
 All take their rows in the order of the rows' own time: rows wait in their key's state until the watermark passes them, so results
 don't depend on how rows are dealt to files and batches. Rows later than the watermark are dropped, as everywhere.
+Rows lie in state by the thousand, a value for each batch of them, as a value a row costs more than the row's own work.
 A machine says when it must be woken; a timer by event time does so. State is in RocksDB (see with_state()), and
 what is done with a key is cleared.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -27,11 +32,37 @@ def micros(interval: str) -> int:
     return int(pd.Timedelta(interval).total_seconds() * 1_000_000)
 
 
+#: Rows of a value in state, and rows that a machine takes in one step. They change speed and memory, never a result.
+PACKED, STEP = 4096, 1 << 17
+
+
+class Packed:
+    """A list state of rows, many to a value."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.state = handle.getListState(name, "packed binary")
+
+    def get(self) -> list[tuple]:
+        return [r for (b,) in self.state.get() for r in pickle.loads(bytes(b))] if self.state.exists() else []
+
+    def add(self, rows: list[tuple]) -> None:
+        if rows:
+            self.state.appendList([(pickle.dumps(rows[i : i + PACKED], 5),) for i in range(0, len(rows), PACKED)])
+
+    def put(self, rows: list[tuple]) -> None:
+        self.state.clear()
+        self.add(rows)
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key in the order of (time, order columns).
 
     Subclasses define begin(handle), step(key, rows, clock), which gives output rows, and due(), the microsecond at
-    which step() must be called even without rows, or None.
+    which step() must be called even without rows, or None. Rows come in as many steps as there are STEP of them; all
+    rows before a step's clock have come with it.
     """
 
     def __init__(self, schema: StructType, ts: str, order: Sequence[str], out: Sequence[str]):
@@ -43,7 +74,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.inbox = handle.getListState("inbox", self.state)
+        self.schema = to_arrow_schema(self.state)
+        self.inbox = handle.getListState("inbox", "first long, packed binary")
         self.begin(handle)
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
@@ -56,33 +88,58 @@ class InOrder(StatefulProcessor):
         return None
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = None
+        first, packed = None, []
         for b in rows:
-            b = b[self.names].astype(object)
-            new = list(b.where(b.notna(), None).itertuples(index=False, name=None))
-            if new:
-                self.inbox.appendList(new)
-                first = min([r[0] for r in new] + ([] if first is None else [first]))
+            if len(b):
+                packed.append(self._packed(pa.Table.from_arrays([self._column(b[f.name], f.type) for f in self.schema], schema=self.schema)))
+                first = min([packed[-1][0]] + ([] if first is None else [first]))
         if first is not None:
+            self.inbox.appendList(packed)
             self._wake(first, timerValues)
         return iter(())
 
+    @staticmethod
+    def _column(x: pd.Series, kind: pa.DataType) -> pa.Array:
+        if pa.types.is_map(kind):
+            return pa.array([list(v.items()) if isinstance(v, dict) else v for v in x], kind)
+        return pa.Array.from_pandas(x, type=kind)
+
+    @staticmethod
+    def _packed(rows: pa.Table) -> tuple[int, bytes]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as w:
+            w.write_table(rows)
+        return pc.min(rows.column(0)).as_py(), sink.getvalue().to_pybytes()
+
+    def _tuples(self, rows: pa.Table) -> list[tuple]:
+        values = [[v if v is None else dict(v) for v in c.to_pylist()] if pa.types.is_map(c.type) else c.to_pylist() for c in rows.columns]
+        return list(zip(*values, strict=True))
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         clock = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.inbox.get()] if self.inbox.exists() else []
-        ready = sorted((r for r in waiting if r[0] <= clock), key=lambda r: tuple((r[i] is None, r[i]) for i in self.order))
-        later = [r for r in waiting if r[0] > clock]
-        if ready:
+        waiting = [(r[0], bytes(r[1])) for r in self.inbox.get()] if self.inbox.exists() else []
+        later = [x for x in waiting if x[0] > clock]
+        ready = self.schema.empty_table()
+        if len(later) < len(waiting):
+            some = pa.concat_tables([pa.ipc.open_stream(b).read_all() for first, b in waiting if first <= clock])
+            come = pc.less_equal(some.column(0), clock)
+            ready, rest = some.filter(come), some.filter(pc.invert(come))
+            if len(rest):
+                later.append(self._packed(rest))
+            del some, waiting
+            ready = ready.take(pc.sort_indices(ready, sort_keys=[(self.names[i], "ascending") for i in self.order], null_placement="at_end"))
             self.inbox.clear()
             if later:
                 self.inbox.put(later)
-        out = list(self.step(tuple(key), ready, clock))
+        for at in range(0, max(len(ready), 1), STEP):
+            rows = self._tuples(ready.slice(at, STEP))
+            out = list(self.step(tuple(key), rows, clock if at + STEP >= len(ready) else rows[-1][0] - 1))
+            if out:
+                yield pd.DataFrame(out, columns=self.out)
         if later:
-            self._wake(min(r[0] for r in later), timerValues)
+            self._wake(min(x[0] for x in later), timerValues)
         if (due := self.due()) is not None:
             self._wake(due, timerValues)
-        if out:
-            yield pd.DataFrame(out, columns=self.out)
 
     def _wake(self, at: int, timerValues: Any) -> None:
         self.handle.registerTimer(max(-(-at // 1000), timerValues.getCurrentWatermarkInMs()) + 1)
@@ -112,7 +169,7 @@ class _TailSampler(InOrder):
         self.drop_if, self.wait, self.remember, self.most, self.give = drop_if, wait, remember, most, names
 
     def begin(self, handle):
-        self.pending = handle.getListState("pending", self.state)
+        self.pending = Packed(handle, "pending")
         self.trace = handle.getValueState("trace", "first long, last long, n long, decision string")
 
     def step(self, key, rows, clock):
@@ -123,7 +180,7 @@ class _TailSampler(InOrder):
         def decide(what: str) -> None:
             nonlocal decision, held
             if what == "sampled":
-                out.extend([tuple(r) for r in self.pending.get()] if self.pending.exists() else [])
+                out.extend(self.pending.get())
                 out.extend(held)
             decision, held = what, []
             self.pending.clear()
@@ -147,7 +204,7 @@ class _TailSampler(InOrder):
             self.trace.clear()
         elif first is not None:
             if held:
-                self.pending.appendList(held)
+                self.pending.add(held)
             self.trace.update((first, last, n, decision))
         when = self.names.index(TIME)
         return [(*[r[self.at[c]] for c in self.give], pd.Timestamp(r[when], unit="us")) for r in out]
@@ -238,21 +295,18 @@ class _QueueProcessor(InOrder):
         self.machine, self.give = queue, names
 
     def begin(self, handle):
-        self.waiting = handle.getListState("queue", self.state)
-        self.batch = handle.getListState("sending", self.state)
+        self.waiting = Packed(handle, "queue")
+        self.batch = Packed(handle, "sending")
         self.meta = handle.getValueState("meta", "batch long, attempts long, again long")
 
     def step(self, key, rows, clock):
-        rows_of = lambda s: [tuple(r) for r in s.get()] if s.exists() else []
         m = self.machine
-        m.load(key, rows_of(self.waiting), rows_of(self.batch), *(self.meta.get() if self.meta.exists() else (0, 0, None)))
+        m.load(key, self.waiting.get(), self.batch.get(), *(self.meta.get() if self.meta.exists() else (0, 0, None)))
         for r in rows:
             m.push(r)
         m.advance(clock)
         for state, now in ((self.waiting, m.queue), (self.batch, m.sending)):
-            state.clear()
-            if now:
-                state.put(now)
+            state.put(now)
         self.meta.update((m.batch, m.attempts, m.again))
         stamp = lambda t: pd.Timestamp(t, unit="us")
         return [(*[r[self.at[c]] for c in self.give], stamp(r[0]), b, n, outcome, stamp(at)) for r, b, n, outcome, at in m.fates]
@@ -298,7 +352,7 @@ class _Watch(InOrder):
         self.gap, self.longest = gap, longest
 
     def begin(self, handle):
-        self.objects = handle.getMapState("objects", "kind string, object string", "op string, version string")
+        self.objects = Packed(handle, "objects")
         self.trigger = handle.getValueState("trigger", "first long, last long, n long, full boolean, version string")
 
     def _ends(self, first: int, last: int) -> int:
@@ -306,16 +360,17 @@ class _Watch(InOrder):
 
     def step(self, key, rows, clock):
         now = self.trigger.get() if self.trigger.exists() else None
+        objects = {r[:2]: r[2:] for r in self.objects.get()}
         out: list[tuple] = []
 
         def give(t: tuple) -> None:
             first, last, n, full, version = t
             stamps = (pd.Timestamp(first, unit="us"), pd.Timestamp(self._ends(first, last), unit="us"), n, "full" if full else "delta", version)
-            if full or not self.objects.exists():
+            if full or not objects:
                 out.append((*key, *stamps, None, None, None, None))
             else:
-                out.extend((*key, *stamps, *k, *v) for k, v in sorted((tuple(k), tuple(v)) for k, v in self.objects.iterator()))
-            self.objects.clear()
+                out.extend((*key, *stamps, *k, *v) for k, v in sorted(objects.items()))
+            objects.clear()
 
         for r in rows:
             t, kind, name, op, version = (r[self.at[c]] for c in (TIME, "kind", "object", "op", "version"))
@@ -325,15 +380,15 @@ class _Watch(InOrder):
             first, _, n, full, known = now or (t, t, 0, False, None)
             if op == "resync":
                 full = True
-                self.objects.clear()
+                objects.clear()
             elif not full and name:
                 place = (kind, name)
-                before = self.objects.getValue(place)[1] if self.objects.exists() and self.objects.containsKey(place) else None
-                self.objects.updateValue(place, (op, newer(before, version)))
+                objects[place] = (op, newer(objects.get(place, (None, None))[1], version))
             now = (first, t, n + 1, full, newer(known, version))
         if now and clock >= self._ends(now[0], now[1]):
             give(now)
             now = None
+        self.objects.put([(*k, *v) for k, v in objects.items()])
         if now:
             self.trigger.update(now)
         else:

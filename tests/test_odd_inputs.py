@@ -2,14 +2,18 @@
 
 import random
 import tempfile
+from types import SimpleNamespace
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import __spark_entry__ as entry
 from opsframe.functions import cron
 from opsframe.operators import interval as iv
+from opsframe.streaming import stateful
 from tests.test_queries import rows
 
 T0 = pd.Timestamp("2024-01-01")
@@ -113,3 +117,51 @@ def test_next_fires_search_a_day_once(spark):
     d = spark.range(400_000).select((F.col("id") * 432_000 + 1_709_164_800_000_000).alias("at"))
     out = cron.next_fires(d, F.lit("*/5 * * * *"), F.col("at"))
     assert out.where("next <> (at div 300000000 + 1) * 300000000 or next is null").count() == 0 and out.count() == 400_000
+
+
+class Kept:
+    """A list state of a test: its values, and how many were ever put."""
+
+    def __init__(self):
+        self.values, self.puts = [], 0
+
+    def exists(self):
+        return bool(self.values)
+
+    def get(self):
+        return iter(list(self.values))
+
+    def appendList(self, values):  # noqa: N802
+        self.values += values
+        self.puts += len(values)
+
+    def put(self, values):
+        self.values = []
+        self.appendList(values)
+
+    def clear(self):
+        self.values = []
+
+
+def test_rows_wait_in_state_by_the_batch_and_come_in_order(monkeypatch):
+    class Machine(stateful.InOrder):
+        def begin(self, handle):
+            self.steps = []
+
+        def step(self, key, rows, clock):
+            self.steps.append((len(rows), clock))
+            return [r[:2] for r in rows]
+
+    states: dict = {}
+    handle = SimpleNamespace(getListState=lambda name, schema: states.setdefault(name, Kept()), registerTimer=lambda at: None)
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 9)
+    monkeypatch.setattr(stateful, "STEP", 3000)
+    machine = Machine(StructType().add("ts", "timestamp").add("id", "long").add("note", "string"), "ts", ["id"], [stateful.TIME, "id"])
+    machine.init(handle)
+    d = pd.DataFrame({stateful.TIME: [(k * 7919) % 10_000 for k in range(10_000)], "id": range(10_000), "note": [None, "x"] * 5000})
+    list(machine.handleInputRows(("k",), iter([d[:5000], d[5000:]]), clock))
+    assert states["inbox"].puts == 2
+    out = pd.concat(machine.handleExpiredTimer(("k",), clock, None))
+    assert out[stateful.TIME].tolist() == list(range(9001)) and [n for n, _ in machine.steps] == [3000, 3000, 3000, 1] and machine.steps[-1][1] == 9000
+    left = [r for _, b in states["inbox"].values for r in machine._tuples(pa.ipc.open_stream(b).read_all())]
+    assert sorted(r[0] for r in left) == list(range(9001, 10_000)) and {r[2] for r in left} == {None, "x"}
