@@ -5,6 +5,7 @@ import tempfile
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 import __spark_entry__ as entry
 from opsframe.functions import cron
 from opsframe.operators import interval as iv
+from opsframe.sources import remote_write as rw
 from opsframe.streaming import stateful
 from tests.test_queries import rows
 
@@ -165,3 +167,16 @@ def test_rows_wait_in_state_by_the_batch_and_come_in_order(monkeypatch):
     assert out[stateful.TIME].tolist() == list(range(9001)) and [n for n, _ in machine.steps] == [3000, 3000, 3000, 1] and machine.steps[-1][1] == 9000
     left = [r for _, b in states["inbox"].values for r in machine._tuples(pa.ipc.open_stream(b).read_all())]
     assert sorted(r[0] for r in left) == list(range(9001, 10_000)) and {r[2] for r in left} == {None, "x"}
+
+
+def test_few_samples_and_many_have_the_same_bytes(monkeypatch):
+    t = np.array([0, 1, 127, 128, 1 << 41, (1 << 63) - 1, -1, -(1 << 63)] * 5, dtype=np.int64)
+    v = np.array([0.0, -0.0, np.inf, 1e-300, 5.0, -7.5, np.nan, -np.inf] * 5)
+    many = rw.encode_samples(t, v)
+    monkeypatch.setattr(rw, "FEW", 1000)
+    assert rw.encode_samples(t, v) == many and rw.encode_samples(t[:0], v[:0]) == b""
+    series = rw._field(1, rw.encode_series("m", {}, t, v))
+    assert [(x[2], str(x[3])) for x in rw.decode(rw.pack(series))] == [(a, str(b)) for a, b in zip(t.tolist(), v.tolist(), strict=True)]
+    # the time before the value, and a field that isn't known
+    odd = b"\x12\x0b\x10\x05\x09" + b"\0" * 8 + b"\x12\x0d\x09" + b"\0" * 8 + b"\x10\x07\x18\x01"
+    assert [x[2:] for x in rw.decode(rw.pack(rw._field(1, odd)))] == [(5, 0.0), (7, 0.0)]
